@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.arrow import sorted_groups
@@ -168,7 +168,7 @@ class SimilarVectors:
             out[model] = (centre, np.maximum(1, np.ceil(share * amount / BLOCK)).astype(np.int32))
         return out
 
-    def cells(self) -> DataFrame:
+    def cells(self, queries: Column | None = None) -> DataFrame:
         """A row for each vector's own place (kind 0) and one for each block that it is to be searched in (kind 1)."""
         shared = self.points.sparkSession.sparkContext.broadcast(self.index)
         order = {m: i for i, m in enumerate(sorted(self.index))}
@@ -190,8 +190,9 @@ class SimilarVectors:
                     home = near.argmin(axis=1)
                     spot = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
                     base_key = (order[model] << 40) | (home.astype(np.int64) << 20) | (spot % blocks[home])
+                    asked = own.column("asked").to_numpy(zero_copy_only=False)
                     source = np.repeat(np.arange(len(ids)), p)
-                    times = blocks[cells.ravel()]
+                    times = blocks[cells.ravel()] * asked[source]
                     source = np.repeat(source, times)
                     cell = np.repeat(cells.ravel().astype(np.int64), times)
                     block = np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
@@ -200,9 +201,15 @@ class SimilarVectors:
                     kinds = np.concatenate([np.zeros(len(ids), np.int8), np.ones(len(source), np.int8)])
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(kinds), pa.array(ids[take]), own.column("vector").take(pa.array(take))], ["key", "kind", "vec_id", "vector"])
 
-        return self.points.mapInArrow(run, "key bigint, kind tinyint, vec_id bigint, vector array<float>")
+        points = self.points
+        if queries is None:
+            points = points.withColumn("asked", F.lit(True))
+        else:  # a distinct vector is asked for if any of its ids is
+            asked = self.vectors.where(queries).select("model", "same").distinct().join(self.classes, ["model", "same"]).select("model", "vec_id", F.lit(True).alias("asked"))
+            points = points.join(asked, ["model", "vec_id"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        return points.select("model", "vec_id", "vector", "asked").mapInArrow(run, "key bigint, kind tinyint, vec_id bigint, vector array<float>")
 
-    def neighbours(self, least: float = -1.0) -> DataFrame:
+    def neighbours(self, least: float = -1.0, queries: Column | None = None) -> DataFrame:
         """(model, vec_id, other, similarity): for each distinct vector its k most similar distinct vectors of at least that similarity."""
         shared = self.points.sparkSession.sparkContext.broadcast(self.index)
         names = sorted(self.index)
@@ -231,22 +238,28 @@ class SimilarVectors:
                         q, other, value = map(np.concatenate, (q, other, value))
                         yield pa.RecordBatch.from_arrays([pa.array([model] * len(q)), pa.array(q), pa.array(other), pa.array(value)], ["model", "vec_id", "other", "similarity"])
 
-        found = self.cells().repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, "model string, vec_id bigint, other bigint, similarity double")
+        found = self.cells(queries).repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, "model string, vec_id bigint, other bigint, similarity double")
         best = Window.partitionBy("model", "vec_id").orderBy(F.desc("similarity"), "other")
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
 
-    def top(self, least: float = -1.0) -> DataFrame:
-        """(model, vec_id, other, similarity, rank): the k most similar vectors of every vector, copies included."""
+    def top(self, least: float = -1.0, queries: Column | None = None) -> DataFrame:
+        """(model, vec_id, other, similarity, rank): the k most similar vectors of every vector, copies included.
+
+        Given a condition on vec_id, only of the vectors that it holds for, still against all vectors.
+        """
         classes = self.classes.select("model", F.col("vec_id").alias("rep"), "same", "copies")
-        near = self.neighbours(least)
+        near = self.neighbours(least, queries)
         # Distinct vectors found, and the vector itself, become the ids of their copies; k + 1 ids of each are enough.
         itself = classes.where("copies > 1").select("model", F.col("rep").alias("vec_id"), F.col("rep").alias("other"), F.lit(1.0).alias("similarity"))
         named = self.first_ids.join(classes.select("model", "same", F.col("rep").alias("other")), ["model", "same"]).select("model", "other", F.col("vec_id").alias("id"))
         wide = near.unionByName(itself).join(named, ["model", "other"], "left").select("model", "vec_id", F.coalesce("id", "other").alias("other"), "similarity")
         best = Window.partitionBy("model", "vec_id").orderBy(F.desc("similarity"), "other")
         wide = wide.withColumn("r", F.row_number().over(best)).where(F.col("r") <= self.k + 1).drop("r")
-        many = self.vectors.select("model", "same", F.col("vec_id").alias("member")).join(classes.where("copies > 1"), ["model", "same"]).select("model", F.col("rep").alias("vec_id"), "member")
-        out = wide.join(many, ["model", "vec_id"], "left").select("model", F.coalesce("member", "vec_id").alias("vec_id"), "other", "similarity").where("vec_id != other")
+        wanted = self.vectors if queries is None else self.vectors.where(queries)
+        many = wanted.select("model", "same", F.col("vec_id").alias("member")).join(classes.where("copies > 1"), ["model", "same"]).select("model", F.col("rep").alias("vec_id"), "member")
+        named_rows = wide.join(many, ["model", "vec_id"])
+        single = wide.join(classes.where("copies = 1").select("model", F.col("rep").alias("vec_id")), ["model", "vec_id"], "left_semi")
+        out = named_rows.select("model", F.col("member").alias("vec_id"), "other", "similarity").unionByName(single).where("vec_id != other")
         return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= self.k)
 
     def close_pairs(self, least: float = 0.8) -> DataFrame:
