@@ -3,10 +3,9 @@
 Unit vectors are assigned to the nearest of some centroids, fitted on a bounded sample; a query looks
 into the cells of its nearest centroids. Within a cell, a vector is its residual from the centroid:
 the signs of the residual after a random rotation, packed into words of 64 bits, and two scalars (its
-length and how well the signs stand for its direction). A query's rotated residual is quantised to
-four bit planes, so that an inner product is four rounds of "and" and bit count over the packed words.
-The estimate is unbiased and comes with an error bound; only vectors whose upper bound reaches both
-the wanted similarity and the k-th largest lower bound are compared exactly, in double precision.
+length and how well the signs stand for its direction). From these the inner product with a query is
+estimated, with an error bound; only vectors whose upper bound reaches both the wanted similarity and
+the k-th largest lower bound are compared exactly, in double precision.
 
 What limits recall is the choice of cells and the bound's confidence, not the codes.
 """
@@ -24,14 +23,13 @@ from gristmill.functions.arrow import sorted_groups
 from gristmill.session import checkpoint
 
 #: The index is fitted on at most so many vectors of a model; every vector is indexed and searched.
-SAMPLE = 20_000
-CELL = 2_000  # vectors per cell that the number of centroids aims at
-MOST_CELLS = 1_024
+SAMPLE = 40_000
+CELL = 1_000  # vectors per cell that the number of centroids aims at
+MOST_CELLS = 2_048
 PROBES = 12
 #: Rows of one cell that a task compares at once; a larger cell is searched in blocks.
 BLOCK = 20_000
-PLANES = 4
-BOUND = 2.6  # half-width of the error bound, in standard deviations of the estimate
+BOUND = 2.6  # half-width of the error bound, in standard deviations of the estimate (0.3 % of the bounds fail)
 
 
 def rotation(dim: int, bits: int) -> np.ndarray:
@@ -62,31 +60,28 @@ def bit_codes(residual: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.packbits(rotated > 0, axis=1, bitorder="little").view(np.uint64), length, np.where(length > 1e-9, fit, 1.0)
 
 
-def estimates(query: np.ndarray, base: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated cosine of each query with each base vector, and the half-width of its error bound.
+class Codes:
+    """Bit codes of a block around its centroid, with the scalars that correct the estimates.
 
-    For unit q and x with residuals q - c and x - c, <q, x> = <q, c> + <x - c, c> + <q - c, x - c>,
-    of which the first two are known from scalars and the last is estimated from the packed bits.
+    For unit q and x with residuals q - c and x - c, <q, x> = <q, c> + <x - c, c> + <q - c, x - c>. The
+    first two are scalars; the last is estimated as the inner product of the rotated query with the
+    signs that the packed bits stand for, divided by how well the signs fit the direction. Bits are
+    expanded once per block, so that estimates and bounds of all pairs are one product of matrices.
     """
-    bits = turn.shape[1]
-    code, length, fit = bit_codes(base - centre, turn)
-    own = (query - centre) @ turn
-    low = own.min(axis=1, keepdims=True)
-    step = np.maximum((own.max(axis=1, keepdims=True) - low) / (2**PLANES - 1), 1e-12)
-    level = np.clip(np.rint((own - low) / step), 0, 2**PLANES - 1).astype(np.uint8)
-    dot = np.zeros((len(query), len(base)), dtype=np.float32)
-    for plane in range(PLANES):
-        packed = np.packbits((level >> plane) & 1, axis=1, bitorder="little").view(np.uint64)
-        for word in range(bits // 64):
-            dot += np.bitwise_count(packed[:, word, None] & code[None, :, word]).astype(np.float32) * np.float32(1 << plane)
-    ones = np.bitwise_count(code).sum(axis=1)
-    # sum over coordinates of own * sign, where own = low + step * level and sign = 2 * bit - 1
-    signed = 2 * (step * dot + low * ones) - (step * level.sum(axis=1, keepdims=True) + low * bits)
-    inner = signed / np.sqrt(bits) / np.maximum(fit, 1e-6) * length
-    reach = np.linalg.norm(query - centre, axis=1)[:, None]
-    spread = np.sqrt(np.maximum(1 - fit**2, 0)) / np.maximum(fit, 1e-6) / np.sqrt(bits - 1)
-    known = (query @ centre)[:, None] + ((base - centre) @ centre)[None, :]
-    return known + inner, BOUND * reach * length * spread + step * length * 0.5
+
+    def __init__(self, base: np.ndarray, centre: np.ndarray, turn: np.ndarray):
+        self.centre, self.turn, bits = centre, turn, turn.shape[1]
+        code, length, fit = bit_codes(base - centre, turn)
+        signs = np.unpackbits(code.view(np.uint8), axis=1, bitorder="little").astype(np.float32) * 2 - 1
+        weight = length / np.sqrt(bits) / np.maximum(fit, 1e-6)
+        spread = length * np.sqrt(np.maximum(1 - fit**2, 0)) / np.maximum(fit, 1e-6) / np.sqrt(bits - 1)
+        self.table = np.concatenate([signs * weight[:, None], np.ones((len(base), 1)), ((base - centre) @ centre)[:, None], BOUND * spread[:, None]], axis=1).astype(np.float32).T
+
+    def bounds(self, query: np.ndarray, side: int) -> np.ndarray:
+        """Upper (side 1) or lower (side -1) bounds of the cosines of queries with all vectors, or the estimates (0)."""
+        residual = query - self.centre
+        scalars = np.stack([query @ self.centre, np.ones(len(query)), side * np.linalg.norm(residual, axis=1)], axis=1)
+        return np.concatenate([residual @ self.turn, scalars], axis=1).astype(np.float32) @ self.table
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -103,16 +98,15 @@ def search_block(q_ids: np.ndarray, query: np.ndarray, b_ids: np.ndarray, base:
     dim = base.shape[1]
     turn = rotation(dim, -(-dim // 64) * 64)
     b_unit = unit(base)
+    codes = Codes(b_unit, centre, turn)
     for start in range(0, len(query), 128):
         ids = q_ids[start : start + 128]
         q_unit = unit(query[start : start + 128])
-        value, width = estimates(q_unit, b_unit, centre, turn)
-        value[ids[:, None] == b_ids[None, :]] = -9
-        upper = value + width
+        upper = codes.bounds(q_unit, 1)
         floor = np.full(len(ids), least)
         many = np.flatnonzero((upper >= least).sum(axis=1) > 4 * k) if len(b_ids) > 4 * k else []
-        if len(many):
-            floor[many] = np.maximum(least, np.partition(value[many] - width[many], len(b_ids) - k, axis=1)[:, len(b_ids) - k])
+        if len(many):  # the k-th best lower bound, one more because the query itself may be in the block
+            floor[many] = np.maximum(least, np.partition(codes.bounds(q_unit[many], -1), len(b_ids) - k - 1, axis=1)[:, len(b_ids) - k - 1])
         rows, columns = np.nonzero(upper >= floor[:, None] - 1e-6)
         exact = np.round(np.einsum("ij,ij->i", q_unit[rows], b_unit[columns]), 6)
         edges = np.searchsorted(rows, np.arange(len(ids) + 1))
