@@ -30,6 +30,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CAPACITY = 2048
 SHARD = 10_000
+MOST_TASKS = 20_000
 
 
 def encoding(path: str):
@@ -239,5 +240,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER,
         return table.drop_columns(["shard", "source", "copy"]).append_column("container", pa.array((shard << 32) | np.array(bins, dtype=np.int64)))
 
     spread = items(texts, capacity, tokenizer).withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).cast("int"))
+    spread = spread.repartition(min(shards, MOST_TASKS), "shard")  # by number, as its bytes don't tell the work of a shard
     packed = spread.groupBy("shard").applyInArrow(run, f"id {kind}, piece int, start int, end int, tokens int, container bigint")
     return packed.withColumnRenamed("id", id_col)
