@@ -33,17 +33,19 @@ CLOSING = ".!?…:;。"
 QUOTES = "\"'”’»)*_"
 SEPARATORS = "|;\t={}<>[]\\"
 
-#: name, statistic, (low, high): a line votes "running" from high up and "else" up to low; reversed where low > high.
+#: name, statistic, low, high, trust: a line votes "running" from high up and "else" up to low; reversed where
+#: low > high. Trust is where learning starts from, and weighs as much as PRIOR lines.
 LABELLERS = (
-    ("common", "common_share", 0.07, 0.16),
-    ("symbols", "symbol_ratio", 0.14, 0.06),
-    ("digits", "digit_ratio", 0.25, 0.12),
-    ("length", "mean_length_off", 3.5, 1.8),
-    ("words", "words", 3, 6),
-    ("closing", "closed", -1, 1),
-    ("lower", "plain_share", 0.35, 0.62),
-    ("fields", "separators", 2, -1),
+    ("common", "common_share", 0.07, 0.16, 3.0),
+    ("symbols", "symbol_ratio", 0.14, 0.06, 1.0),
+    ("digits", "digit_ratio", 0.25, 0.12, 1.0),
+    ("length", "mean_length_off", 3.5, 1.8, 1.0),
+    ("words", "words", 3, 6, 2.0),
+    ("closing", "closed", -1, 1, 2.0),
+    ("lower", "plain_share", 0.35, 0.62, 1.0),
+    ("fields", "separators", 2, -1, 2.0),
 )
+PRIOR = 20.0
 
 
 def line_statistics(batch: Batch, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
@@ -95,7 +97,7 @@ def line_statistics(batch: Batch, common: np.ndarray) -> tuple[np.ndarray, np.nd
 def votes(stats: dict[str, np.ndarray]) -> np.ndarray:
     """One number per line whose base-3 digits are the votes: 0 none, 1 running, 2 else."""
     code = np.zeros(len(stats["words"]), dtype=np.int64)
-    for _, name, low, high in LABELLERS:
+    for _, name, low, high, _ in LABELLERS:
         x = stats[name]
         run, other = (x >= high, x <= low) if low < high else (x <= high, x >= low)
         code = code * 3 + np.where(other, 2, np.where(run, 1, 0))
@@ -110,20 +112,22 @@ def digits_of(codes: np.ndarray) -> np.ndarray:
 def posteriors(codes: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Probability that a line with each pattern is running text, and P(vote | class) of each labeller.
 
-    Starts from the majority of votes and alternates between classes and accuracies. Every labeller
-    is smoothed by one line per vote, so an empty or uniform corpus gives one half everywhere.
+    Starts from votes weighed by trust and alternates between classes and accuracies, which PRIOR
+    imagined lines keep from drifting where there are few lines or all are of one kind.
     """
     seen = digits_of(codes)
-    agree = (seen == 1).sum(axis=1) - (seen == 2).sum(axis=1)
-    p = 1 / (1 + np.exp(-agree.astype(float)))
+    trust = np.array([x[4] for x in LABELLERS])
+    right = 1 / (1 + np.exp(-trust))
+    imagined = PRIOR * np.stack([np.stack([np.full(len(trust), 0.2), 0.8 * a, 0.8 * b], axis=1) for a, b in ((right, 1 - right), (1 - right, right))])
+    p = 1 / (1 + np.exp(-np.where(seen == 1, trust, np.where(seen == 2, -trust, 0)).sum(axis=1)))
     table = np.full((2, len(LABELLERS), 3), 1 / 3)
     for _ in range(rounds):
         shares = np.stack([p, 1 - p]) * weight
         for k in range(2):
             for j in range(len(LABELLERS)):
-                table[k, j] = np.bincount(seen[:, j], weights=shares[k], minlength=3) + 1.0
+                table[k, j] = np.bincount(seen[:, j], weights=shares[k], minlength=3) + imagined[k, j]
         table /= table.sum(axis=2, keepdims=True)
-        prior = (shares.sum(axis=1) + 1) / (weight.sum() + 2)
+        prior = (shares.sum(axis=1) + PRIOR) / (weight.sum() + 2 * PRIOR)
         score = np.log(prior)[:, None] + sum(np.log(table[:, j, :])[:, seen[:, j]] for j in range(len(LABELLERS)))
         new = 1 / (1 + np.exp(np.clip(score[1] - score[0], -700, 700)))
         if np.abs(new - p).max(initial=0) < 1e-9:
