@@ -24,9 +24,9 @@ from gristmill.session import checkpoint
 
 #: The index is fitted on at most so many vectors of a model; every vector is indexed and searched.
 SAMPLE = 40_000
-CELL = 1_000  # vectors per cell that the number of centroids aims at
-MOST_CELLS = 2_048
-PROBES = 12
+CELL = 250  # vectors per cell that the number of centroids aims at
+MOST_CELLS = 4_096
+PROBES = 16
 #: Rows of one cell that a task compares at once; a larger cell is searched in blocks.
 BLOCK = 20_000
 BOUND = 2.6  # half-width of the error bound, in standard deviations of the estimate (0.3 % of the bounds fail)
@@ -38,7 +38,7 @@ def rotation(dim: int, bits: int) -> np.ndarray:
     return (q * np.sign(np.diag(r)))[:dim]
 
 
-def centroids(sample: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
+def centroids(sample: np.ndarray, cells: int, rounds: int = 6) -> np.ndarray:
     """Spherical k-means on unit vectors from a fixed start; empty cells keep their centroid."""
     rng = np.random.default_rng(104729)
     centre = sample[rng.choice(len(sample), size=min(cells, len(sample)), replace=False)].astype(np.float32)
