@@ -113,6 +113,7 @@ def instant(text: str) -> Column:
     clean = F.regexp_replace(F.upper(F.trim(F.col(text))), r"\s*(Z|UTC|GMT)$", "+00:00")
     clean = F.regexp_replace(clean, r"(?<=:\d\d|:\d\d\.\d{1,9})\s*([+-]\d\d):?(\d\d)?$", "$1:$2")
     clean = F.regexp_replace(clean, r"([+-]\d\d):$", "$1:00")
+    clean = F.when(clean.rlike(r"[+-]\d\d:\d\d$"), clean).otherwise(F.concat(clean, F.lit("+00:00")))
     return clean.try_cast("timestamp")
 
 

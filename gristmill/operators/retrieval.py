@@ -136,7 +136,7 @@ def prompts(context: DataFrame, questions: DataFrame, isolation: bool = False) -
 def extractive_answers(context: DataFrame, questions: DataFrame) -> DataFrame:
     """(qid, answer): the sentence nearest to the question of each of the first two passages that aren't blank, cited."""
     place = Window.partitionBy("qid").orderBy("rank")
-    rows = context.withColumn("marker", F.row_number().over(place)).where("marker <= 2").join(questions.select("qid", "question"), "qid")
+    rows = context.select("qid", "rank", "text").withColumn("marker", F.row_number().over(place)).where("marker <= 2").join(questions.select("qid", "question"), "qid")
     rows = rows.where(F.length(T.squeeze(F.coalesce("text", F.lit("")))) > 0)
     said = rows.select("qid", "marker", F.concat(T.best_sentence(F.col("text"), F.col("question")), F.lit(" ["), F.col("marker").cast("string"), F.lit("]")).alias("said"))
     joined = said.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("marker", "said"))), lambda s: s["said"]), " ").alias("answer"))

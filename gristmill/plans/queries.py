@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from gristmill.functions import text as T
 from gristmill.operators import analytics as A
 from gristmill.operators import evaluation as E
-from gristmill.operators.attacks import HELDOUT, PAYLOADS, SEEN, foreign_markers, injections, poison, targets
+from gristmill.operators import suites
+from gristmill.operators.attacks import HELDOUT, PAYLOADS, SEEN, canaries, foreign_markers, injections, poison, targets
 from gristmill.operators.chunking import chunk
 from gristmill.operators.drift import canonical_names, changes, drift_report, instant, profiles, steps, unify_kind
 from gristmill.operators.filters import apply_filter, apply_filters, drop_rates, filter_after, provenance
@@ -541,7 +542,7 @@ def injection_predicate(spark, folder):
 
 UNIT_CASE = "CASE lower(q[2]) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.UNIT_NAMES.items()) + " ELSE lower(q[2]) END"
 QUANTITY_SQL = f"""claims AS (SELECT DISTINCT doc_id, source, corpus, unit, value FROM (SELECT doc_id, source, corpus, {UNIT_CASE} AS unit, CASE WHEN contains(replace(q[1], ',', ''), '.') THEN regexp_replace(replace(q[1], ',', ''), '\\.?0*$', '') ELSE replace(q[1], ',', '') END AS value
-FROM (SELECT doc_id, source, corpus, regexp_extract(m, '([0-9][0-9,]*(?:\\.[0-9]+)?)[{WS}]*([^0-9,.{WS}].*)$', ['a', 'b']) AS s, [s.a, s.b] AS q FROM (SELECT doc_id, source, corpus, unnest(regexp_extract_all(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_-])([0-9][0-9,]*(?:\\.[0-9]+)?[{WS}]*(?:{T.UNITS}))\\b', 1)) AS m FROM documents WHERE text IS NOT NULL))))"""
+FROM (SELECT doc_id, source, corpus, [s.a, s.b] AS q FROM (SELECT doc_id, source, corpus, regexp_extract(m, '([0-9][0-9,]*(?:\\.[0-9]+)?)[{WS}]*([^0-9,.{WS}].*)$', ['a', 'b']) AS s FROM (SELECT doc_id, source, corpus, unnest(regexp_extract_all(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_-])([0-9][0-9,]*(?:\\.[0-9]+)?[{WS}]*(?:{T.UNITS}))\\b', 1)) AS m FROM documents WHERE text IS NOT NULL)))))"""
 
 
 def _claims(spark, folder):
@@ -549,12 +550,12 @@ def _claims(spark, folder):
     return docs.select("doc_id", "source", "corpus", F.explode(T.quantities(F.col("text"))).alias("q")).select("doc_id", "source", "corpus", "q.*")
 
 
-@query()
+@query(f"WITH {QUANTITY_SQL} SELECT source, unit, count(*) AS claims, count(DISTINCT value) AS distinct_values FROM claims GROUP BY ALL")
 def numeric_claims(spark, folder):
     return _claims(spark, folder).groupBy("source", "unit").agg(F.count("*").alias("claims"), F.countDistinct("value").alias("distinct_values"))
 
 
-@query()
+@query(f"WITH {QUANTITY_SQL} SELECT source, unit, count(DISTINCT value)::INT AS n FROM claims GROUP BY ALL HAVING count(DISTINCT value) > 1 AND count(DISTINCT doc_id) > 1")
 def numeric_conflicts(spark, folder):
     return E.conflicts(_claims(spark, folder), "source").select("source", "unit", F.size("values").alias("n"))
 
@@ -569,3 +570,31 @@ def conflict_resolution(spark, folder):
 @query("SELECT id, run_id FROM records WHERE kind = 'attack' AND contains(lower(payload_json), 'roleplay')")
 def evidence_drilldown(spark, folder):
     return drill_down(tables(spark, folder, "records"), "RolePlay", kind="attack").select("id", "run_id")
+
+
+def _indexed(spark, folder):
+    return suites.index(suites.with_provenance(tables(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "path", "text")))
+
+
+@query()
+def suite_retrieval(spark, folder):
+    """Retrieval quality over the whole corpus for the questions that say what is relevant."""
+    qa = tables(spark, folder, "qa").where("gold_fact is not null or size(gold_docs) > 0")
+    return suites.retrieval_suite(_indexed(spark, folder), qa)
+
+
+@query()
+def suite_faithfulness(spark, folder):
+    return suites.faithfulness_suite(_indexed(spark, folder), tables(spark, folder, "qa"))
+
+
+@query()
+def suite_security(spark, folder):
+    docs, qa = tables(spark, folder, "documents", "qa")
+    return suites.security_suite(suites.with_provenance(docs), qa)
+
+
+@query()
+def suite_privacy(spark, folder):
+    hosts = canaries(spark, {"api_key": ["the billing gateway", "the archive store"], "email": ["Ada Quill", "Ben Marsh"], "phone": ["the night desk", "the field team"]})
+    return suites.privacy_suite(suites.with_provenance(tables(spark, folder, "documents")), hosts)
