@@ -16,13 +16,13 @@ def run_diff(one: DataFrame, two: DataFrame) -> DataFrame:
     """(suite, name, variant, a, b, delta) of all metrics that either has; delta null unless both are measured."""
     left = one.select(*KEYS, measured(F.col("value"), F.col("state")).alias("a"))
     right = two.select(*KEYS, measured(F.col("value"), F.col("state")).alias("b"))
-    return left.join(right, KEYS, "full_outer").withColumn("delta", F.bround(F.col("b") - F.col("a"), 4))
+    return left.join(right, KEYS, "full_outer").withColumn("delta", F.bround(F.col("b") - F.col("a"), 6))
 
 
 def against(metrics: DataFrame, keys: list[str], variant: str, baseline: str) -> DataFrame:
     """Every variant's value beside the baseline variant's, and their difference."""
     base = metrics.where(F.col(variant) == baseline).select(*keys, F.col("value").alias("base"))
-    return metrics.where(F.col(variant) != baseline).join(base, keys, "left").withColumn("delta", F.bround(F.col("value") - F.col("base"), 4))
+    return metrics.where(F.col(variant) != baseline).join(base, keys, "left").withColumn("delta", F.bround(F.col("value") - F.col("base"), 6))
 
 
 def worst_of(metrics: DataFrame, keys: list[str]) -> DataFrame:

@@ -31,30 +31,48 @@ def apply_filter(docs: DataFrame, name: str, order: list[Column] | None = None)
     """One named filter; texts may change, ids don't."""
     if name == "dedup":
         return keep_first(docs, order or [path_key()])
+    text, passes = row_filter(name)
+    return docs.withColumn("text", text).where(passes)
+
+
+def row_filter(name: str) -> tuple[Column, Column]:
+    """A filter that looks at one document: the text it leaves, and whether that text stays."""
     text = F.coalesce("text", F.lit(""))
     if name == "language":
-        return docs.where(T.is_english(text))
+        return F.col("text"), T.is_english(text)
     if name == "boilerplate":
-        return docs.withColumn("text", T.without_boilerplate(text)).where(F.length("text") >= T.LEAST_CHARS)
+        return T.without_boilerplate(text), F.length("text") >= T.LEAST_CHARS
     if name == "pii":
-        return docs.withColumn("text", T.redacted(text))
+        return T.redacted(text), F.lit(True)
     raise ValueError(f"unknown filter {name!r}; there are {', '.join(REASONS)}")
 
 
+def mark(docs: DataFrame, name: str, number: int, order: list[Column]) -> DataFrame:
+    """Set _dropped to the filter's number where it drops a document that is still in."""
+    inside = F.col("_dropped").isNull()
+    if name != "dedup":
+        text, passes = row_filter(name)
+        return docs.withColumn("text", F.when(inside, text).otherwise(F.col("text"))).withColumn("_dropped", F.when(inside & ~passes, number).otherwise(F.col("_dropped")))
+    keyed = docs.withColumn("_digest", F.sha1(T.normal(F.coalesce("text", F.lit(""))))).withColumn("_order", F.struct(*order, "doc_id"))
+    first = keyed.where(inside).groupBy("_digest").agg(F.min("_order").alias("_first"))
+    joined = keyed.join(first, "_digest", "left")
+    return joined.withColumn("_dropped", F.when(inside & (F.col("_order") != F.col("_first")), number).otherwise(F.col("_dropped"))).drop("_digest", "_order", "_first")
+
+
 def apply_filters(docs: DataFrame, names: list[str], order: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents that are left, and (filter_no, filter, doc_id, reason) of each that was dropped.
 
-    Filters run in the order given. Rows of equal doc_id are the same document.
+    Filters run in the order given, in one pass that marks what each drops. Rows of equal doc_id are
+    the same document.
     """
-    audit = None
+    state = docs.withColumn("_dropped", F.lit(None).cast("int"))
     for i, name in enumerate(names):
-        left = apply_filter(docs, name, order)
-        gone = docs.select("doc_id").join(left.select("doc_id"), "doc_id", "left_anti").select(F.lit(i).alias("filter_no"), F.lit(name).alias("filter"), "doc_id", F.lit(REASONS[name]).alias("reason"))
-        audit = gone if audit is None else audit.unionByName(gone)
-        docs = left
-    if audit is None:
-        audit = docs.sparkSession.createDataFrame([], f"filter_no int, filter string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, reason string")
-    return docs, audit
+        state = mark(state, name, i, order or [path_key()])
+    left = state.where("_dropped is null").select(*docs.columns)
+    listed = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    reasons = F.array(*(F.lit(REASONS[n]) for n in names)) if names else F.array().cast("array<string>")
+    gone = state.where("_dropped is not null").select(F.col("_dropped").alias("filter_no"), F.get(listed, F.col("_dropped")).alias("filter"), "doc_id", F.get(reasons, F.col("_dropped")).alias("reason"))
+    return left, gone
 
 
 def filter_after(corpus: DataFrame, batch: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -111,9 +111,13 @@ def exact_top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "q
     return out.withColumn("rank", F.row_number().over(place) - 1).where(F.col("rank") < k).select(F.col("q").alias(query_id), F.col("i").alias(item_id), F.col("s").alias("score"), "rank")
 
 
-def rerank(candidates: DataFrame, question: str = "question", text: str = "text", keys: tuple[str, ...] = ("qid",), before: tuple[str, ...] = ("rank",), top: int | None = None) -> DataFrame:
-    """Candidates with score and rank by token overlap with the question, ties in the order before."""
-    scored = candidates.withColumn("score", T.jaccard(T.token_set(F.col(question)), T.token_set(F.col(text))))
+def rerank(candidates: DataFrame, question: str = "question", text: str = "text", keys: tuple[str, ...] = ("qid",), before: tuple[str, ...] = ("rank",), top: int | None = None, sets: tuple[str, str] | None = None) -> DataFrame:
+    """Candidates with score and rank by token overlap with the question, ties in the order before.
+
+    sets names columns of the token sets of question and text, if they were made before the join.
+    """
+    one, two = (F.col(sets[0]), F.col(sets[1])) if sets else (T.token_set(F.col(question)), T.token_set(F.col(text)))
+    scored = candidates.withColumn("score", T.jaccard(one, two))
     place = Window.partitionBy(*keys).orderBy(F.desc("score"), *before)
     out = scored.withColumn("reranked", F.row_number().over(place) - 1)
     return out if top is None else out.where(F.col("reranked") < top)

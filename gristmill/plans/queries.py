@@ -245,21 +245,26 @@ CANDIDATES = f"""candidates AS (SELECT qid, doc_id, row_number() OVER (PARTITION
   {JACCARD.format("list_distinct(" + TOKENS.format("question") + ")", "list_distinct(" + TOKENS.format("coalesce(text, '')") + ")")} AS score, path, text, question FROM qa JOIN documents ON source = regexp_extract(gold_doc, '^(.*)/[^/]*$', 1))"""
 
 
-def _candidates(spark, folder):
+def _best(spark, folder):
+    """The five candidates of every question nearest by tokens; sets of tokens are made before the join."""
     docs, qa = tables(spark, folder, "documents", "qa")
-    asked = qa.select("qid", "question", F.regexp_extract("gold_doc", "^(.*)/[^/]*$", 1).alias("source"))
-    return docs.select("doc_id", "path", "source", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(asked), "source")  # the questions are a fixed set
+    asked = qa.select("qid", T.token_set(F.col("question")).alias("asked"), F.regexp_extract("gold_doc", "^(.*)/[^/]*$", 1).alias("source"))
+    text = F.coalesce("text", F.lit(""))
+    listed = docs.select("doc_id", "path", "source", T.token_set(text).alias("tokens"))
+    rows = listed.join(F.broadcast(asked), "source")  # the questions are a fixed set
+    best = rerank(rows, before=(F.split("path", "/"),), top=5, sets=("asked", "tokens")).select("qid", "doc_id", "reranked", "score")
+    return docs, checkpoint(best)
 
 
 @query(f"WITH {CANDIDATES} SELECT qid, doc_id, reranked::INT AS reranked, round(score, 6) AS score FROM candidates WHERE reranked < 5")
 def rerank_jaccard(spark, folder):
-    ranked_rows = rerank(_candidates(spark, folder), before=(F.split("path", "/"),), top=5)
-    return ranked_rows.select("qid", "doc_id", "reranked", F.round("score", 6).alias("score"))
+    return _best(spark, folder)[1].select("qid", "doc_id", "reranked", F.round("score", 6).alias("score"))
 
 
 def _context(spark, folder):
-    best = rerank(_candidates(spark, folder), before=(F.split("path", "/"),), top=5)
-    return best.select("qid", F.col("reranked").alias("rank"), F.col("path").alias("source"), F.lit(None).cast("string").alias("section"), "text")
+    docs, best = _best(spark, folder)
+    rows = docs.select("doc_id", "path", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(best), "doc_id")  # five rows a question
+    return rows.select("qid", F.col("reranked").alias("rank"), F.col("path").alias("source"), F.lit(None).cast("string").alias("section"), "text")
 
 
 @query(f"""WITH {CANDIDATES}, blocks AS (SELECT qid, string_agg('[' || (reranked + 1) || '] (source: ' || path || ')' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY reranked) AS b FROM candidates WHERE reranked < 5 GROUP BY qid)
@@ -428,7 +433,7 @@ def _measured(spark, folder):
     return rows.groupBy("run_id", "suite", "name", "variant").agg(F.max("value").alias("value"))
 
 
-@query(f"WITH {MEASURED} SELECT a.run_id, a.suite, a.name, a.variant, a.value, b.value AS base, round_even(a.value - b.value, 4) AS delta FROM m a LEFT JOIN m b ON a.run_id = b.run_id AND a.suite = b.suite AND a.name = b.name AND b.variant = 'rerank=off' WHERE a.variant <> 'rerank=off'")
+@query(f"WITH {MEASURED} SELECT a.run_id, a.suite, a.name, a.variant, a.value, b.value AS base, round_even(a.value - b.value, 6) AS delta FROM m a LEFT JOIN m b ON a.run_id = b.run_id AND a.suite = b.suite AND a.name = b.name AND b.variant = 'rerank=off' WHERE a.variant <> 'rerank=off'")
 def rerank_lift(spark, folder):
     return A.against(_measured(spark, folder), ["run_id", "suite", "name"], "variant", "rerank=off")
 
@@ -437,7 +442,7 @@ NAMED = "named AS (SELECT m.*, r.name AS spec, first_value(r.id) OVER (PARTITION
 
 
 @query("""WITH ends AS (SELECT min(id) AS one, max(id) AS two FROM runs JOIN (SELECT DISTINCT run_id FROM metrics_v1) ON id = run_id), m AS (SELECT run_id, suite, name, variant, max(CASE WHEN coalesce(state, 'measured') = 'measured' THEN value END) AS value FROM metrics_v1 GROUP BY ALL),
-a AS (SELECT m.* FROM m JOIN ends ON run_id = one), b AS (SELECT m.* FROM m JOIN ends ON run_id = two) SELECT suite, name, variant, a.value AS a, b.value AS b, round_even(b.value - a.value, 4) AS delta FROM a FULL OUTER JOIN b USING (suite, name, variant)""")
+a AS (SELECT m.* FROM m JOIN ends ON run_id = one), b AS (SELECT m.* FROM m JOIN ends ON run_id = two) SELECT suite, name, variant, a.value AS a, b.value AS b, round_even(b.value - a.value, 6) AS delta FROM a FULL OUTER JOIN b USING (suite, name, variant)""")
 def run_diff(spark, folder):
     """The metrics of the oldest and the newest run that have any, side by side."""
     rows = tables(spark, folder, "metrics_v1").groupBy("run_id", "suite", "name", "variant").agg(F.max(A.measured(F.col("value"), F.col("state"))).alias("value")).withColumn("state", F.lit("measured"))
