@@ -30,6 +30,7 @@ BOILERPLATE = (
     r"subscribe to our newsletter",
     r"terms of (service|use)",
 )
+BOILERPLATE_WORDS = r"(?iU)©|copyright|all rights reserved|cookie (?:policy|preferences|settings)|about us|contact|careers|home|our newsletter|terms of (?:service|use)"
 LEAST_CHARS = 80
 
 # What personal data looks like, in order, and what replaces it.
@@ -103,7 +104,9 @@ def without_boilerplate(text: Column) -> Column:
     """The text without boilerplate lines, line ends unified, at most one blank line in a row, stripped."""
     lines = F.split(text, LINE_END)
     kept = F.filter(lines, lambda line: ~line.rlike("(?iU)" + "|".join(f"(?:{p})" for p in BOILERPLATE)))
-    return strip(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"))
+    # Only texts with one of the words that such lines have are taken apart.
+    whole = F.when(text.rlike(BOILERPLATE_WORDS), F.array_join(kept, "\n")).otherwise(F.regexp_replace(text, LINE_END, "\n"))
+    return strip(F.regexp_replace(whole, "\n{3,}", "\n\n"))
 
 
 def redacted(text: Column) -> Column:
