@@ -13,8 +13,6 @@ and word pairs (cookie notices in new wordings, addresses, bylines of one page),
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,18 +20,23 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.arrow import texts_of
 from gristmill.functions.codepoints import BASE, MASK, Batch, batches, mix, powers
+from gristmill.session import checkpoint
 
 LONG_LINE = 13  # words from which on a line counts as running text
 TOKEN_WORDS = 6
 NUMBER, MODEL = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC6A4A7935BD1E995)
-#: A feature must be seen so often, and make up this share of all, to have a weight: at most 1 / SHARE have one.
-LEAST, SHARE = 4, 1e-6
+#: A feature must be seen so often to have a weight.
+LEAST = 4
 PRIOR, PAIR_GAIN = 3.0, 1.0
 LEAST_PAGES = 3
 LIMIT = 3.0
 #: A line is furniture from this score on; one that is shaped like a sentence needs more.
 THRESHOLD, SENTENCE_THRESHOLD, SENTENCE_WORDS, OPEN_SENTENCE_WORDS = 0.6, 1.15, 6, 9
 NEIGHBOUR, NEIGHBOUR_LIMIT = 0.3, 2.0
+#: Characters of the pages whose weights are looked up together, and of a batch.
+CHUNK_CHARS, BATCH_CHARS = 1 << 22, 1 << 22
+WORDS, PAIRS, TOKENS = 0, 1, 2
+TOKEN_TABLE = "chunk bigint, host bigint, token bigint, vector bigint, pages bigint, odds double, features double"
 
 
 class Page:
@@ -118,67 +121,50 @@ def lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-class Counter:
-    """Sums by 64-bit key, folded now and then so that memory follows the distinct keys."""
-
-    def __init__(self):
-        self.keys, self.sums, self.rows = [], [], 0
-
-    def add(self, keys: np.ndarray, *weights: np.ndarray) -> None:
-        distinct, at = np.unique(keys, return_inverse=True)
-        self.keys.append(distinct)
-        self.sums.append(np.stack([np.bincount(at, weights=w, minlength=len(distinct)) for w in weights]))
-        self.rows += len(distinct)
-        if self.rows > 2_000_000:
-            self.fold()
-
-    def fold(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.empty(0, np.uint64), np.empty((2, 0))
-        distinct, at = np.unique(np.concatenate(self.keys), return_inverse=True)
-        parts = np.concatenate(self.sums, axis=1)
-        sums = np.stack([np.bincount(at, weights=w, minlength=len(distinct)) for w in parts])
-        self.keys, self.sums, self.rows = [distinct], [sums], 0
-        return distinct, sums
-
-
-def count_features(pages: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
-    """How often each word (or, given the vocabulary, each pair of its words) is in short and in long lines."""
-    shared = None if vocabulary is None else pages.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter()
-        for part in parts:
-            for _, _, batch in batches(texts_of(part.column("text"))):
-                page = Page(batch)
-                if shared is None:
-                    at = np.flatnonzero(~page.masked)
-                    keys = page.word[at]
-                else:
-                    known = lookup(shared.value, page.word) >= 0
-                    keep = known[page.pair_at] & known[page.pair_at + 1] if len(page.pair_at) else np.empty(0, bool)
-                    at, keys = page.pair_at[keep], page.pair[keep]
-                short = page.short[page.line[at]].astype(float)
-                counter.add(keys, short, 1 - short)
-        keys, sums = counter.fold()
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64))], ["feature", "short", "long"])
-
-    counted = pages.select("text").mapInArrow(run, "feature bigint, short bigint, long bigint")
-    return counted.groupBy("feature").agg(F.sum("short").alias("short"), F.sum("long").alias("long"))
-
-
-def weights(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted features and their log odds of short against long lines; at most 1 / SHARE of them."""
-    counts = counts.persist()
-    short, long = counts.agg(F.coalesce(F.sum("short"), F.lit(0)), F.coalesce(F.sum("long"), F.lit(0))).first()
-    kept = counts.where(F.col("short") + F.col("long") >= max(LEAST, SHARE * (short + long))).toArrow()
-    counts.unpersist()
-    keys = kept["feature"].to_numpy().view(np.uint64)
+def count_features(pages: DataFrame) -> DataFrame:
+    """(chunk, pair, feature): how often each word and pair of words of a chunk is in its short and in its long lines."""
+
+    def run(part: pa.Table) -> pa.Table:
+        out = []
+        for _, _, batch in batches(texts_of(part["text"]), BATCH_CHARS):
+            page = Page(batch)
+            at = np.flatnonzero(~page.masked)
+            for pair, at, keys in ((False, at, page.word[at]), (True, page.pair_at, page.pair)):
+                distinct, back = np.unique(keys, return_inverse=True)
+                short = np.bincount(back, weights=page.short[page.line[at]], minlength=len(distinct)).astype(np.int64)
+                long = np.bincount(back, minlength=len(distinct)) - short
+                out.append(pa.table({"chunk": pa.array(np.full(len(distinct), part["chunk"][0].as_py(), np.int64)), "pair": pa.array(np.full(len(distinct), pair)), "feature": pa.array(distinct.view(np.int64)), "short": pa.array(short), "long": pa.array(long)}))
+        return pa.concat_tables(out)
+
+    return pages.select("chunk", "text").groupBy("chunk").applyInArrow(run, "chunk bigint, pair boolean, feature bigint, short bigint, long bigint")
+
+
+def weights(counts: DataFrame) -> DataFrame:
+    """(pair, feature): log odds of short against long lines, of every feature seen LEAST times."""
+    total = counts.groupBy("pair").agg(F.sum("short").alias("all_short"), F.sum("long").alias("all_long"))
+    part = F.col("all_short") / F.greatest(F.col("all_short") + F.col("all_long"), F.lit(1))
     # PRIOR sightings in proportion to all short and long lines keep rare features near 0.
-    part = short / max(short + long, 1)
-    odds = np.log((kept["short"].to_numpy() + PRIOR * part + 1e-9) / max(short, 1)) - np.log((kept["long"].to_numpy() + PRIOR * (1 - part) + 1e-9) / max(long, 1))
-    order = np.argsort(keys)
-    return keys[order], np.clip(odds, -LIMIT, LIMIT)[order]
+    short = F.log((F.col("short") + PRIOR * part + 1e-9) / F.greatest("all_short", F.lit(1)))
+    odds = short - F.log((F.col("long") + PRIOR * (1 - part) + 1e-9) / F.greatest("all_long", F.lit(1)))
+    each = counts.groupBy("pair", "feature").agg(F.sum("short").alias("short"), F.sum("long").alias("long")).where(f"short + long >= {LEAST}")
+    return each.join(F.broadcast(total), "pair").select("pair", "feature", F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), odds)).alias("weight"))  # two rows
+
+
+def chunk_features(pages: DataFrame) -> DataFrame:
+    """(chunk, kind, feature, weight): of each chunk the words (kind 0) and pairs (kind 1) that have a weight."""
+    counts = checkpoint(count_features(pages))
+    return counts.select("chunk", "pair", "feature").distinct().join(weights(counts), ["pair", "feature"]).select("chunk", F.col("pair").cast("int").alias("kind"), "feature", "weight")
+
+
+def tables_of(known: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys and weights of each kind."""
+    kind, key, weight = known["kind"].to_numpy(), known["feature"].to_numpy().view(np.uint64), known["weight"].to_numpy()
+    out = []
+    for k in (WORDS, PAIRS, TOKENS):
+        at = np.flatnonzero(kind == k)
+        at = at[np.argsort(key[at])]
+        out.append((key[at], weight[at]))
+    return out
 
 
 def evidence(page: Page, words: tuple, pairs: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -197,52 +183,44 @@ def evidence(page: Page, words: tuple, pairs: tuple) -> tuple[np.ndarray, np.nda
     return total, known
 
 
-def tokens(pages: DataFrame, words: tuple, pairs: tuple) -> DataFrame:
-    """(host, token): fingerprint of its occurrence vector, number of pages, evidence of its words."""
-    shared = pages.sparkSession.sparkContext.broadcast((words, pairs))
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            page_hash, host = part.column("page").to_numpy().view(np.uint64), part.column("host").to_numpy().view(np.uint64)
-            for first, _, batch in batches(texts_of(part.column("text")), 1 << 22):
-                page = Page(batch)
-                total, known = evidence(page, *shared.value)
-                at = np.flatnonzero(page.is_token)
-                if not len(at):
-                    continue
-                doc = page.owner_of(page.line_start[page.seg_line[at]])
-                with np.errstate(over="ignore"):
-                    key = mix(page.token[at] * np.uint64(BASE & MASK) + host[first + doc])
-                    once = np.unique(mix(key + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
-                    distinct, where, back = np.unique(key, return_index=True, return_inverse=True)
-                    prints = np.zeros(len(distinct), dtype=np.uint64)
-                    np.add.at(prints, back, mix(page_hash[first + doc]))
-                pages_with = np.bincount(back[once], minlength=len(distinct))
-                row = at[where]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(host[first + doc[where]].view(np.int64)), pa.array(page.token[row].view(np.int64)), pa.array(prints.view(np.int64)), pa.array(pages_with.astype(np.int64)), pa.array(total[row]), pa.array(known[row]),
-                ], ["host", "token", "vector", "pages", "odds", "features"])
-
-    found = pages.mapInArrow(run, "host bigint, token bigint, vector bigint, pages bigint, odds double, features double")
-    wrapped = F.sum(F.col("vector").cast("decimal(38,0)"))  # a sum that can't overflow; equal vectors have equal sums
-    return found.groupBy("host", "token").agg(wrapped.alias("vector"), F.sum("pages").alias("pages"), F.first("odds").alias("odds"), F.first("features").alias("features"))
-
-
-def deduce(pages: DataFrame, words: tuple, pairs: tuple) -> DataFrame:
+def tokens(pages: DataFrame, features: DataFrame) -> DataFrame:
+    """(chunk, host, token): fingerprint of its occurrence vector, number of pages, evidence of its words."""
+
+    def run(part: pa.Table, known: pa.Table) -> pa.Table:
+        words, pairs, _ = tables_of(known)
+        page_hash, host, out = part["page"].to_numpy().view(np.uint64), part["host"].to_numpy().view(np.uint64), []
+        for first, _, batch in batches(texts_of(part["text"]), BATCH_CHARS):
+            page = Page(batch)
+            total, seen = evidence(page, words, pairs)
+            at = np.flatnonzero(page.is_token)
+            doc = page.owner_of(page.line_start[page.seg_line[at]])
+            with np.errstate(over="ignore"):
+                key = mix(page.token[at] * np.uint64(BASE & MASK) + host[first + doc])
+                once = np.unique(mix(key + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+                distinct, where, back = np.unique(key, return_index=True, return_inverse=True)
+                prints = np.zeros(len(distinct), dtype=np.uint64)
+                np.add.at(prints, back, mix(page_hash[first + doc]))
+            pages_with = np.bincount(back[once], minlength=len(distinct))
+            row = at[where]
+            out.append(pa.table({
+                "chunk": pa.array(np.full(len(row), part["chunk"][0].as_py(), np.int64)), "host": pa.array(host[first + doc[where]].view(np.int64)), "token": pa.array(page.token[row].view(np.int64)), "vector": pa.array(prints.view(np.int64)),
+                "pages": pa.array(pages_with.astype(np.int64)), "odds": pa.array(total[row]), "features": pa.array(seen[row]),
+            }))
+        return pa.concat_tables(out)
+
+    return pages.groupBy("chunk").cogroup(features.groupBy("chunk")).applyInArrow(run, TOKEN_TABLE)
+
+
+def deduce(seen: DataFrame) -> DataFrame:
     """Equivalence classes of each host: (host, vector, pages, tokens, weight), weight pooled over the class."""
-    seen = tokens(pages, words, pairs).where(f"pages >= {LEAST_PAGES} and features > 0")
-    return seen.groupBy("host", "vector", "pages").agg(F.collect_list("token").alias("tokens"), (F.sum("odds") / F.sum("features")).alias("weight"))
+    wrapped = F.sum(F.col("vector").cast("decimal(38,0)"))  # a sum that can't overflow; equal vectors have equal sums
+    each = seen.groupBy("host", "token").agg(wrapped.alias("vector"), F.sum("pages").alias("pages"), F.first("odds").alias("odds"), F.first("features").alias("features")).where(f"pages >= {LEAST_PAGES}")
+    return each.groupBy("host", "vector", "pages").agg(F.collect_list("token").alias("tokens"), (F.sum("odds") / F.nullif(F.sum("features"), F.lit(0.0))).alias("weight")).where("weight is not null")
 
 
-def template(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted tokens and their weight over the hosts whose template has them; at most 1 / SHARE of them."""
-    each = classes.select(F.explode("tokens").alias("token"), "pages", "weight").groupBy("token").agg(F.sum("pages").alias("pages"), F.sum(F.col("pages") * F.col("weight")).alias("sum")).persist()
-    total = each.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
-    kept = each.where(F.col("pages") >= SHARE * total).select("token", (F.col("sum") / F.col("pages")).alias("weight")).toArrow()
-    each.unpersist()
-    keys = kept["token"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], kept["weight"].to_numpy()[order]
+def template(classes: DataFrame) -> DataFrame:
+    """(token, weight): every token of a class, its weight the mean over the hosts whose template has it."""
+    return classes.select(F.explode("tokens").alias("token"), "pages", "weight").groupBy("token").agg((F.sum(F.col("pages") * F.col("weight")) / F.sum("pages")).alias("weight"))
 
 
 def line_scores(page: Page, words: tuple, pairs: tuple, frame: tuple) -> np.ndarray:
@@ -274,27 +252,32 @@ def furniture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     furniture. Repeated rows are pages of their own. Columns other than the three named aren't read.
     """
     pages = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))).alias("host"), F.xxhash64(F.col(id_col)).alias("page")).where("text is not null")
-    words = weights(count_features(pages, None))
-    pairs = weights(count_features(pages, words[0]))
-    frame = template(deduce(pages, words, pairs))
-    shared = pages.sparkSession.sparkContext.broadcast((words, pairs, frame))
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            texts = texts_of(part.column("text"))
-            for first, last, batch in batches(texts):
-                page = Page(batch)
-                score = line_scores(page, *shared.value)
-                hit = np.flatnonzero(score >= np.where(page.is_sentence, sentence_threshold, threshold))
-                doc = page.owner_of(page.line_start[hit])
-                opening = np.searchsorted(page.line_end, batch.start)
-                number = hit - opening[doc]
-                offsets = np.searchsorted(doc, np.arange(batch.n + 1))
-                bodies = []
-                for i, text in enumerate(texts[first:last]):
-                    gone = set(number[offsets[i] : offsets[i + 1]].tolist())
-                    bodies.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone) if gone else text)
-                yield pa.RecordBatch.from_arrays([part.column("id").slice(first, last - first), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((number + 1).astype(np.int32))), pa.array(bodies, pa.string())], ["id", "furniture", "body"])
-
     kind = pages.schema["id"].dataType.simpleString()
-    return pages.select("id", "text").mapInArrow(run, f"id {kind}, furniture array<int>, body string").withColumnRenamed("id", id_col)
+    chunks = 1 + (pages.agg(F.sum(F.length("text"))).first()[0] or 0) // CHUNK_CHARS
+    pages = pages.withColumn("chunk", F.pmod(F.xxhash64("page", "text"), F.lit(chunks)))
+    # Weights are looked up by joins, so that no table of words or tokens has to fit a machine.
+    features = checkpoint(chunk_features(pages))
+    seen = checkpoint(tokens(pages, features))
+    frame = seen.select("chunk", "token").distinct().join(template(deduce(seen)), "token").select("chunk", F.lit(TOKENS).alias("kind"), F.col("token").alias("feature"), "weight")
+    known = features.unionByName(frame)
+
+    def run(part: pa.Table, known: pa.Table) -> pa.Table:
+        words, pairs, frame = tables_of(known)
+        texts, out = texts_of(part["text"]), []
+        for first, last, batch in batches(texts, BATCH_CHARS):
+            page = Page(batch)
+            score = line_scores(page, words, pairs, frame)
+            hit = np.flatnonzero(score >= np.where(page.is_sentence, sentence_threshold, threshold))
+            doc = page.owner_of(page.line_start[hit])
+            opening = np.searchsorted(page.line_end, batch.start)
+            number = hit - opening[doc]
+            offsets = np.searchsorted(doc, np.arange(batch.n + 1))
+            bodies = []
+            for i, text in enumerate(texts[first:last]):
+                gone = set(number[offsets[i] : offsets[i + 1]].tolist())
+                bodies.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone) if gone else text)
+            out.append(pa.table({"id": part["id"].slice(first, last - first), "furniture": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((number + 1).astype(np.int32))), "body": pa.array(bodies, pa.string())}))
+        return pa.concat_tables(out)
+
+    marked = pages.select("chunk", "id", "text").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, f"id {kind}, furniture array<int>, body string")
+    return marked.withColumnRenamed("id", id_col)

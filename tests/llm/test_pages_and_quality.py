@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from gristmill.functions.codepoints import Batch
+from gristmill.llm import boilerplate
 from gristmill.llm.boilerplate import Page, furniture
 from gristmill.llm.quality import LABELLERS, posteriors, quality, votes
 
@@ -95,3 +96,18 @@ def test_accuracies_are_learned():
     assert np.abs(table[0, :, 1] - accuracy).max() < 0.06
     assert len(LABELLERS) == 8 and len(posteriors(np.array([], dtype=int), np.array([]))[0]) == 0
     assert votes({name: np.array([1.0]) for _, name, *_ in LABELLERS}).shape == (1,)
+
+
+def test_rare_features_and_tokens_keep_their_weight_in_a_large_corpus(spark):
+    counts = spark.createDataFrame([(0, False, 1, 9_000_000, 1_000_000), (0, False, 2, 5, 0), (1, False, 3, 2, 1), (0, True, 4, 3, 0), (1, True, 4, 2, 0)], "chunk long, pair boolean, feature long, short long, long long")
+    assert {r["feature"] for r in boilerplate.weights(counts).collect()} == {1, 2, 4}
+    classes = spark.createDataFrame([(1, 1, 9_000_000, [7], 1.0), (2, 2, 3, [8, 9], 2.0)], "host long, vector long, pages long, tokens array<long>, weight double")
+    assert {tuple(r) for r in boilerplate.template(classes).collect()} == {(7, 1.0), (8, 2.0), (9, 2.0)}
+
+
+def test_chunks_do_not_change_the_result(spark, monkeypatch):
+    rows, _ = pages(2)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole = {tuple(map(str, r)) for r in furniture(frame).collect()}
+    monkeypatch.setattr(boilerplate, "CHUNK_CHARS", 4000)
+    assert {tuple(map(str, r)) for r in furniture(frame).collect()} == whole and len(whole) == len(rows)
