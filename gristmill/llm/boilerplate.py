@@ -1,7 +1,7 @@
 """Main body of web pages: template deduction from equivalence classes of tokens on same-host pages.
 
-Tokens are the segments that a page's short lines fall into (menu items, notices, teasers; names of
-models and numbers are masked), each with its role: whether its line also holds a model name. Tokens
+Tokens are the segments that a page's lines fall into (menu items, notices, teasers; names of models and
+numbers are masked), each with its role: whether its line is a long one or also holds a model name. Tokens
 of one host with the same occurrence vector over its pages form an equivalence class. The vector is
 kept as a linear fingerprint, a sum of page hashes, so classes of any host are found by grouping and
 no list of pages is ever gathered. A class is valid if it is frequent and its words, pooled over the
@@ -22,8 +22,8 @@ from gristmill.functions.arrow import texts_of
 from gristmill.functions.codepoints import BASE, MASK, Batch, batches, mix, powers
 from gristmill.session import checkpoint
 
-LONG_LINE = 13  # words from which on a line counts as running text
-TOKEN_WORDS = 6
+LONG_LINE = 13  # words from which on a line counts as running text, unless pages of its host repeat it
+PHRASE_WORDS = 6  # a longer segment of a short line is a phrase
 NUMBER, MODEL = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC6A4A7935BD1E995)
 #: A feature must be seen so often to have a weight.
 LEAST = 4
@@ -36,7 +36,7 @@ NEIGHBOUR, NEIGHBOUR_LIMIT = 0.3, 2.0
 #: Characters of the pages whose weights are looked up together, and of a batch.
 CHUNK_CHARS, BATCH_CHARS = 1 << 22, 1 << 22
 WORDS, PAIRS, TOKENS = 0, 1, 2
-TOKEN_TABLE = "chunk bigint, host bigint, token bigint, vector bigint, pages bigint, odds double, features double"
+TOKEN_TABLE = "chunk bigint, host bigint, token bigint, vector bigint, pages bigint, odds double, features double, role int"
 
 
 class Page:
@@ -84,13 +84,19 @@ class Page:
         has_model = np.bincount(self.line, weights=self.model, minlength=len(self.line_end)) > 0
         seg_line = self.line[self.first]
         self.short = self.line_words < LONG_LINE
-        self.is_token = self.short[seg_line] & (self.size <= TOKEN_WORDS)
         self.seg_line = seg_line
         power, inverse = powers(len(start) + 1)
         with np.errstate(over="ignore"):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.word * power[: len(start)], dtype=np.uint64)])
             last = self.first + self.size
-            self.token = mix((total[last] - total[self.first]) * inverse[self.first] + has_model[seg_line].astype(np.uint64))
+            self.token = mix((total[last] - total[self.first]) * inverse[self.first] + has_model[seg_line].astype(np.uint64) + np.uint64(2) * ~self.short[seg_line])
+            # Long lines, wrapped ones joined: number of the unit, hash of its words.
+            unit = self.unit[self.line]
+            head = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) if len(unit) else np.empty(0, np.int64)
+            tail = np.concatenate([head[1:], [len(unit)]]) if len(unit) else head
+            head, tail = (x[~self.short[unit[head]]] for x in (head, tail))
+            self.long_unit = unit[head]
+            self.long_hash = mix((total[tail] - total[head]) * inverse[head])
         pair = np.flatnonzero(self.segment[1:] == self.segment[:-1]) if len(start) > 1 else np.empty(0, np.int64)
         self.pair_at = pair[~(self.masked[pair] | self.masked[pair + 1])] if len(pair) else pair
         with np.errstate(over="ignore"):
@@ -121,22 +127,53 @@ def lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-def count_features(pages: DataFrame) -> DataFrame:
-    """(chunk, pair, feature): how often each word and pair of words of a chunk is in its short and in its long lines."""
+def of_host(keys: np.ndarray, host: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(keys * np.uint64(BASE & MASK) + host)
+
+
+def long_lines(page: Page, host: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key (of host and words) and page number of each long line."""
+    doc = page.owner_of(page.line_start[page.long_unit])
+    return of_host(page.long_hash, host[doc]), doc
+
+
+def repeated_lines(pages: DataFrame) -> DataFrame:
+    """(chunk, line): keys of the long lines that LEAST_PAGES pages of their host have."""
 
     def run(part: pa.Table) -> pa.Table:
-        out = []
-        for _, _, batch in batches(texts_of(part["text"]), BATCH_CHARS):
+        host, out = part["host"].to_numpy().view(np.uint64), []
+        for first, _, batch in batches(texts_of(part["text"]), BATCH_CHARS):
+            key, doc = long_lines(Page(batch), host[first:])
+            once = np.unique(of_host(key, doc.astype(np.uint64)), return_index=True)[1]
+            distinct, pages_with = np.unique(key[once], return_counts=True)
+            out.append(pa.table({"chunk": pa.array(np.full(len(distinct), part["chunk"][0].as_py(), np.int64)), "line": pa.array(distinct.view(np.int64)), "pages": pa.array(pages_with.astype(np.int64))}))
+        return pa.concat_tables(out)
+
+    lines = checkpoint(pages.select("chunk", "host", "text").groupBy("chunk").applyInArrow(run, "chunk bigint, line bigint, pages bigint"))
+    often = lines.groupBy("line").agg(F.sum("pages").alias("pages")).where(f"pages >= {LEAST_PAGES}").select("line")
+    return lines.select("chunk", "line").distinct().join(often, "line").select("chunk", "line")
+
+
+def count_features(pages: DataFrame) -> DataFrame:
+    """(chunk, pair, feature): how often each word and pair of words of a chunk is in its short lines, and in its long lines that don't repeat."""
+
+    def run(part: pa.Table, repeated: pa.Table) -> pa.Table:
+        host, lines, out = part["host"].to_numpy().view(np.uint64), np.sort(repeated["line"].to_numpy().view(np.uint64)), []
+        for first, _, batch in batches(texts_of(part["text"]), BATCH_CHARS):
             page = Page(batch)
-            at = np.flatnonzero(~page.masked)
-            for pair, at, keys in ((False, at, page.word[at]), (True, page.pair_at, page.pair)):
+            counts = np.ones(len(page.line_end), dtype=bool)
+            counts[page.long_unit] = lookup(lines, long_lines(page, host[first:])[0]) < 0
+            counts = counts[page.unit[page.line]]
+            at, pair_at = np.flatnonzero(~page.masked & counts), counts[page.pair_at]
+            for pair, at, keys in ((False, at, page.word[at]), (True, page.pair_at[pair_at], page.pair[pair_at])):
                 distinct, back = np.unique(keys, return_inverse=True)
                 short = np.bincount(back, weights=page.short[page.line[at]], minlength=len(distinct)).astype(np.int64)
                 long = np.bincount(back, minlength=len(distinct)) - short
                 out.append(pa.table({"chunk": pa.array(np.full(len(distinct), part["chunk"][0].as_py(), np.int64)), "pair": pa.array(np.full(len(distinct), pair)), "feature": pa.array(distinct.view(np.int64)), "short": pa.array(short), "long": pa.array(long)}))
         return pa.concat_tables(out)
 
-    return pages.select("chunk", "text").groupBy("chunk").applyInArrow(run, "chunk bigint, pair boolean, feature bigint, short bigint, long bigint")
+    return pages.select("chunk", "host", "text").groupBy("chunk").cogroup(repeated_lines(pages).groupBy("chunk")).applyInArrow(run, "chunk bigint, pair boolean, feature bigint, short bigint, long bigint")
 
 
 def weights(counts: DataFrame) -> DataFrame:
@@ -192,19 +229,18 @@ def tokens(pages: DataFrame, features: DataFrame) -> DataFrame:
         for first, _, batch in batches(texts_of(part["text"]), BATCH_CHARS):
             page = Page(batch)
             total, seen = evidence(page, words, pairs)
-            at = np.flatnonzero(page.is_token)
-            doc = page.owner_of(page.line_start[page.seg_line[at]])
+            doc = page.owner_of(page.line_start[page.seg_line])
             with np.errstate(over="ignore"):
-                key = mix(page.token[at] * np.uint64(BASE & MASK) + host[first + doc])
+                key = of_host(page.token, host[first + doc])
                 once = np.unique(mix(key + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
                 distinct, where, back = np.unique(key, return_index=True, return_inverse=True)
                 prints = np.zeros(len(distinct), dtype=np.uint64)
                 np.add.at(prints, back, mix(page_hash[first + doc]))
             pages_with = np.bincount(back[once], minlength=len(distinct))
-            row = at[where]
             out.append(pa.table({
-                "chunk": pa.array(np.full(len(row), part["chunk"][0].as_py(), np.int64)), "host": pa.array(host[first + doc[where]].view(np.int64)), "token": pa.array(page.token[row].view(np.int64)), "vector": pa.array(prints.view(np.int64)),
-                "pages": pa.array(pages_with.astype(np.int64)), "odds": pa.array(total[row]), "features": pa.array(seen[row]),
+                "chunk": pa.array(np.full(len(where), part["chunk"][0].as_py(), np.int64)), "host": pa.array(host[first + doc[where]].view(np.int64)), "token": pa.array(page.token[where].view(np.int64)), "vector": pa.array(prints.view(np.int64)),
+                "pages": pa.array(pages_with.astype(np.int64)), "odds": pa.array(total[where]), "features": pa.array(seen[where]),
+                "role": pa.array(np.where(page.short[page.seg_line], page.size > PHRASE_WORDS, 2)[where].astype(np.int32)),
             }))
         return pa.concat_tables(out)
 
@@ -212,10 +248,13 @@ def tokens(pages: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def deduce(seen: DataFrame) -> DataFrame:
-    """Equivalence classes of each host: (host, vector, pages, tokens, weight), weight pooled over the class."""
+    """Equivalence classes of each host: (host, vector, pages, role, tokens, weight), weight pooled over the class.
+
+    Where whole articles repeat, menu items, phrases and running text share a vector; their role keeps them apart.
+    """
     wrapped = F.sum(F.col("vector").cast("decimal(38,0)"))  # a sum that can't overflow; equal vectors have equal sums
-    each = seen.groupBy("host", "token").agg(wrapped.alias("vector"), F.sum("pages").alias("pages"), F.first("odds").alias("odds"), F.first("features").alias("features")).where(f"pages >= {LEAST_PAGES}")
-    return each.groupBy("host", "vector", "pages").agg(F.collect_list("token").alias("tokens"), (F.sum("odds") / F.nullif(F.sum("features"), F.lit(0.0))).alias("weight")).where("weight is not null")
+    each = seen.groupBy("host", "token").agg(wrapped.alias("vector"), F.sum("pages").alias("pages"), F.first("odds").alias("odds"), F.first("features").alias("features"), F.first("role").alias("role")).where(f"pages >= {LEAST_PAGES}")
+    return each.groupBy("host", "vector", "pages", "role").agg(F.collect_list("token").alias("tokens"), (F.sum("odds") / F.nullif(F.sum("features"), F.lit(0.0))).alias("weight")).where("weight is not null")
 
 
 def template(classes: DataFrame) -> DataFrame:
@@ -226,7 +265,7 @@ def template(classes: DataFrame) -> DataFrame:
 def line_scores(page: Page, words: tuple, pairs: tuple, frame: tuple) -> np.ndarray:
     """Of each line: mean weight of its tokens and features, leaning towards its neighbours; NaN where it is blank."""
     total, known = evidence(page, words, pairs)
-    row = np.where(page.is_token, lookup(frame[0], page.token), -1)
+    row = lookup(frame[0], page.token)
     fixed = row >= 0
     size = np.maximum(2 * page.size - 1, 1)
     total = np.where(fixed, (frame[1][np.maximum(row, 0)] if len(frame[1]) else 0) * size, total)

@@ -111,3 +111,20 @@ def test_chunks_do_not_change_the_result(spark, monkeypatch):
     whole = {tuple(map(str, r)) for r in furniture(frame).collect()}
     monkeypatch.setattr(boilerplate, "CHUNK_CHARS", 4000)
     assert {tuple(map(str, r)) for r in furniture(frame).collect()} == whole and len(whole) == len(rows)
+
+
+def test_long_notices_of_a_host_are_found(spark):
+    rows, _ = pages(3)
+    long = "Ce site garde des données pour retenir vos choix et compter les visites. Refuser / Régler mes choix"
+    short = "Ce site garde des données pour retenir vos choix\nCompter les visites\nRefuser / Régler mes choix"
+    notice = {i: long if h == "host0" else short if i % 10 == 0 else None for i, _, h in rows}
+    frame = spark.createDataFrame([(i, t + ("\n\n" + notice[i] if notice[i] else ""), h) for i, t, h in rows], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["furniture"] for r in furniture(frame).collect()}
+    for i, text, host in rows:
+        if host == "host0":
+            assert text.count("\n") + 3 in got[i]
+
+
+def test_every_segment_has_a_role_of_its_own_line():
+    page = Page(Batch([f"About\n{' '.join(NOUNS[:8])}.\n{' '.join(NOUNS * 2)} About. About"]))
+    assert page.size.tolist() == [1, 8, 21, 1] and len(set(page.token.tolist())) == 4 and page.long_unit.tolist() == [2]
