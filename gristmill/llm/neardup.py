@@ -13,6 +13,7 @@ probability 4e-4, one of 0.7 with 2e-6. Sets that are equal are one row from the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,6 +188,27 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.select("a", "b", "left", "right").mapInArrow(check, f"a {kind}, b {kind}, similarity double")
 
 
+def short_texts(docs: DataFrame, least: int) -> DataFrame:
+    """(id, same) of the texts of fewer than least words: same is a hash of the words, of a text without words its own hash, and null where the text is blank or null."""
+
+    def key(text: str, words: np.ndarray) -> str | None:
+        if len(words):
+            return "w" + hashlib.sha1(words.tobytes()).hexdigest()
+        return "t" + hashlib.sha1(text.encode("utf-8", "surrogatepass")).hexdigest() if text.strip() else None
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = texts_of(part.column("text"))
+            for first, _, batch in batches(texts):
+                _, _, hashes, owner = batch.words()
+                edge = np.searchsorted(owner, np.arange(batch.n + 1))
+                few = np.flatnonzero(np.diff(edge) < least)
+                same = [key(texts[first + i], hashes[edge[i] : edge[i + 1]]) for i in few]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(first + few)), pa.array(same, pa.string())], ["id", "same"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, same string")
+
+
 class NearDuplicates:
     """Documents whose sets of word runs reach a similarity.
 
@@ -196,9 +218,11 @@ class NearDuplicates:
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, min_words: int = 40, unique_ids: bool = False):
-        docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+        docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
         if not unique_ids:
             docs = docs.groupBy("id").agg(F.min("text").alias("text"))
+        self.documents, self.least = docs, max(width, min_words)
+        docs = docs.where("text is not null")
         self.similarity = similarity
         self.sketches = checkpoint(sketch(docs, width, min_words))
         #: One row for each distinct set: its smallest id and how many documents have it.
@@ -238,3 +262,11 @@ class NearDuplicates:
         ends = self.links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
         reps = self.classes.select(F.col("id").alias("rep"), "copies").join(parts.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
         return self.members().join(reps, "rep").select("id", F.coalesce("component", "rep").alias("group"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
+
+    def every_group(self) -> DataFrame:
+        """groups() of all documents: texts that are too short to be compared are grouped where they have the same words, blank and null ones are groups of their own."""
+        short = checkpoint(short_texts(self.documents, self.least))
+        named = short.where("same is not null").groupBy("same").agg(F.min("id").alias("group"), F.lit(0).cast("bigint").alias("links"), F.count("*").alias("copies"))
+        equal = short.join(named, "same").select("id", "group", "links", "copies")
+        own = short.where("same is null").select("id", F.col("id").alias("group"), F.lit(0).cast("bigint").alias("links"), F.lit(1).cast("bigint").alias("copies"))
+        return self.groups().unionByName(equal).unionByName(own)

@@ -52,8 +52,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per document of five-word runs at similarity 0.8: its group, links and copies."""
-    return NearDuplicates(documents(spark, folder), unique_ids=True).groups().withColumnRenamed("id", "doc_id")
+    """One row per document, by five-word runs at similarity 0.8: its group, links and copies; shorter texts by all their words."""
+    return NearDuplicates(documents(spark, folder), width=5, min_words=5, unique_ids=True).every_group().withColumnRenamed("id", "doc_id")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

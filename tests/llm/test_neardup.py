@@ -99,3 +99,16 @@ def test_packed_sets_round_trip(spark):
     blob = neardup.set_table(frame, 3, 3).first()["shingles"]
     values = unpack_set(bytes(blob))
     assert len(values) == 88 and (np.diff(values.astype(np.int64)) > 0).all()
+
+
+def test_every_document_has_a_group(spark, tmp_path):
+    from gristmill.llm.queries import p4_groups
+
+    docs = corpus(3) + [(910, "Too - SHORT!"), (911, " \n"), (912, "too short now"), (913, "--"), (914, "--"), (915, " ".join(WORDS[:12])), (916, " ".join(WORDS[:12]) + "."), (917, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in p4_groups(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == sorted(i for i, _ in docs)
+    for a, b in brute(docs, 5, 0.8, 5):
+        assert rows[a]["group"] == rows[b]["group"]
+    assert [rows[i]["group"] for i in (900, 901, 902, 903, 910, 911, 912, 913, 914, 915, 916, 917)] == [900, 901, 902, 903, 902, 911, 912, 913, 913, 915, 915, 917]
+    assert rows[910]["copies"] == 2 and rows[917]["copies"] == 1 and rows[916]["links"] == 0
