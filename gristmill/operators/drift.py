@@ -9,6 +9,7 @@ from types, value sketches and the similarity of names.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -282,14 +283,49 @@ def unified(rows: DataFrame, place: str, names: dict[str, str], types: dict[str,
     return base.select(*keep, *columns)
 
 
+def nested(rows: DataFrame, members: list[str], keep: list[str]) -> DataFrame:
+    """The elements of the arrays that rows have under one of the names: keep, path (places in the arrays, from 0) and body."""
+    parsed = F.from_json("body", "map<string,string>")
+    array = F.coalesce(*(F.try_element_at("_m", F.lit(m)) for m in members))
+    parts = rows.withColumn("_m", parsed).select(*keep, "path", F.posexplode(F.from_json(array, "array<string>")).alias("_at", "body"))
+    return parts.withColumn("path", F.concat("path", F.array("_at"))).drop("_at")
+
+
 def unify_kind(runs: DataFrame, eval_results: DataFrame, records: DataFrame, metrics: DataFrame, place: str) -> DataFrame:
-    """All runs' payloads of a kind (or result bodies, for eval_results) in one consistent table."""
-    found = checkpoint(profiles(eval_results, records, metrics))
-    renames = changes(found, steps(found, runs), strict=False)
-    names = canonical_names(found.where(F.col("place") == place), renames.where(F.col("place") == place)).get(place, {})
-    types = {r["field"]: r["t"] for r in found.where((F.col("place") == place) & F.col("field").isNotNull()).groupBy("field").agg(F.bit_or("types").alias("t")).collect()}
-    if place == "eval_results":
-        rows = eval_results.select("result_id", "run_id", "written_at", "body")
-        return unified(rows, place, names, types, ["result_id", "run_id", "written_at"])
-    rows = records.where(F.col("kind") == place).select("id", "run_id", "suite", "payload_schema", "received_at", F.col("payload_json").alias("body"))
-    return unified(rows, place, names, types, ["id", "run_id", "suite", "payload_schema", "received_at"])
+    """All runs' rows of a place in one consistent table.
+
+    A place is a kind of payload, eval_results, metrics_v1, or one of their arrays of objects, as in
+    faithfulness.claims: one row per object, with the keys of its record and its path, the places in
+    the arrays. Arrays go by their canonical names. Metrics keep their columns; a state that an old
+    writer left null is 'measured'.
+    """
+    if place == "metrics_v1":
+        return metrics.withColumn("state", F.coalesce("state", F.lit("measured")))
+    kind, *inner = place.split(".")
+    if kind == "eval_results":
+        keep = ["result_id", "run_id", "written_at"]
+        rows = eval_results.select(*keep, "body")
+    else:
+        keep = ["id", "run_id", "suite", "payload_schema", "received_at"]
+        rows = records.where(F.col("kind") == kind).select(*keep, F.col("payload_json").alias("body"))
+    found = checkpoint(profiles(eval_results, records, metrics).where((F.col("place") == kind) | F.startswith("place", F.lit(kind + "."))))
+
+    def names_at(at: str) -> dict[str, str]:
+        own = found.where(F.col("place") == at)
+        return canonical_names(own, changes(own, steps(own, runs), strict=False)).get(at, {})
+
+    at = kind
+    if inner:
+        rows = rows.withColumn("path", F.array().cast("array<int>"))
+    for field in inner:
+        names = names_at(at)
+        canonical = names.get(field, field)
+        members = sorted((n for n, c in names.items() if c == canonical), key=lambda m: (m != canonical, m)) or [field]
+        rows = nested(rows, members, keep)
+        # Arrays that were renamed are one place from here on, so renames inside are followed across.
+        old = "^(" + "|".join(re.escape(f"{at}.{m}") for m in members) + r")(?=\.|$)"
+        at = f"{at}.{field}"
+        found = checkpoint(combine(found.withColumn("place", F.regexp_replace("place", F.lit(old), F.lit(at.replace("\\", "\\\\").replace("$", "\\$"))))))
+    names = names_at(at)
+    types = {r["field"]: r["t"] for r in found.where((F.col("place") == at) & F.col("field").isNotNull()).groupBy("field").agg(F.bit_or("types").alias("t")).collect()}
+    return unified(rows, at, names, types, [*keep, "path"] if inner else keep)

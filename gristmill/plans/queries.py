@@ -54,6 +54,15 @@ def p1_unified_results(spark: SparkSession, folder: str) -> DataFrame:
     return unify_kind(*drift_tables(spark, folder), "eval_results")
 
 
+def _unified(place: str):
+    return lambda spark, folder: unify_kind(*drift_tables(spark, folder), place)
+
+
+#: One table for every other place; arrays of objects have tables of their own.
+for _place in ("retrieval", "faithfulness", "canary_probe", "clean_defense", "clean_screen", "metrics_v1", "faithfulness.claims", "faithfulness.citations", "attack.matched_markers", "eval_results.stage_stats"):
+    QUERIES["p1_unified_" + _place.replace("eval_results", "results").replace(".", "_")] = _unified(_place)
+
+
 @query()
 def p1_names(spark: SparkSession, folder: str) -> DataFrame:
     """(place, field, canonical): the one name under which the unified tables hold each field."""

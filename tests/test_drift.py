@@ -77,3 +77,24 @@ def test_zones(spark):
     texts = ["2030-01-01T12:00:00Z", "2030-01-01T12:00:00+00:00", "2030-01-01T05:00:00-0700", "2030-01-01 14:00:00 +02", "2030-01-01T12:00:00 utc", "2030-01-01T12:00:00", "soon"]
     values = [r["v"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(instant("t").cast("string").alias("v")).collect()]
     assert set(values[:-1]) == {"2030-01-01 12:00:00"} and values[-1] is None
+
+
+def test_unified_tables_of_arrays_follow_renames(spark):
+    payloads = [("r0", {"n": 1, "claims": [{"claim": "a", "ok": True}, {"claim": "b", "ok": False}]}), ("r1", {"n": 2, "claimList": [{"claim_text": "c", "ok": True}, 7]}), ("r2", {"n": 3, "claimList": "none"})]
+    rows = unify_kind(*frames(spark, payloads), "attack.claims")
+    text = "claim" if "claim" in rows.columns else "claim_text"
+    assert {(r["id"], tuple(r["path"]), r[text], r["ok"]) for r in rows.collect()} == {(0, (0,), "a", True), (0, (1,), "b", False), (1, (0,), "c", True)}
+    assert rows.columns == ["id", "run_id", "suite", "payload_schema", "received_at", "path", text, "ok"]
+
+
+def test_unified_metrics(spark):
+    metrics = [("r0", "s", "n", "", 1.0, None, None), ("r1", "s", "n", "", None, "skipped", "why")]
+    rows = unify_kind(*frames(spark, [("r0", {"a": 1})], metrics=metrics), "metrics_v1").collect()
+    assert {(r["run_id"], r["value"], r["state"]) for r in rows} == {("r0", 1.0, "measured"), ("r1", None, "skipped")}
+
+
+def test_every_place_has_a_unified_table():
+    from gristmill.plans.queries import QUERIES
+
+    places = "attack results retrieval faithfulness canary_probe clean_defense clean_screen metrics_v1 faithfulness_claims faithfulness_citations attack_matched_markers results_stage_stats"
+    assert {f"p1_unified_{p}" for p in places.split()} <= set(QUERIES)
