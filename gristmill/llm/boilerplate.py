@@ -6,8 +6,8 @@ of one host with the same occurrence vector over its pages form an equivalence c
 kept as a linear fingerprint, a sum of page hashes, so classes of any host are found by grouping and
 no list of pages is ever gathered. A class is valid if it is frequent and its words, pooled over the
 whole class, belong to short lines rather than to running text; so a menu's "About" or "Support"
-stays with its menu although articles use these words. Valid classes of all hosts make the template.
-A line filled by template tokens is furniture, a slot that repeats no token is judged by its own words
+stays with its menu although articles use these words. The classes of a host are its template, whatever
+other hosts do with the same tokens. A line filled by template tokens is furniture, a slot that repeats no token is judged by its own words
 and word pairs (cookie notices in new wordings, addresses, bylines of one page), all else is main body.
 """
 
@@ -36,7 +36,7 @@ NEIGHBOUR, NEIGHBOUR_LIMIT = 0.3, 2.0
 #: Characters of the pages whose weights are looked up together, and of a batch.
 CHUNK_CHARS, BATCH_CHARS = 1 << 22, 1 << 22
 WORDS, PAIRS, TOKENS = 0, 1, 2
-TOKEN_TABLE = "chunk bigint, host bigint, token bigint, vector bigint, pages bigint, odds double, features double, role int"
+TOKEN_TABLE = "chunk bigint, host bigint, token bigint, vector bigint, pages bigint, odds double, features double, role int, key bigint"
 
 
 class Page:
@@ -240,7 +240,7 @@ def tokens(pages: DataFrame, features: DataFrame) -> DataFrame:
             out.append(pa.table({
                 "chunk": pa.array(np.full(len(where), part["chunk"][0].as_py(), np.int64)), "host": pa.array(host[first + doc[where]].view(np.int64)), "token": pa.array(page.token[where].view(np.int64)), "vector": pa.array(prints.view(np.int64)),
                 "pages": pa.array(pages_with.astype(np.int64)), "odds": pa.array(total[where]), "features": pa.array(seen[where]),
-                "role": pa.array(np.where(page.short[page.seg_line], page.size > PHRASE_WORDS, 2)[where].astype(np.int32)),
+                "role": pa.array(np.where(page.short[page.seg_line], page.size > PHRASE_WORDS, 2)[where].astype(np.int32)), "key": pa.array(distinct.view(np.int64)),
             }))
         return pa.concat_tables(out)
 
@@ -258,14 +258,14 @@ def deduce(seen: DataFrame) -> DataFrame:
 
 
 def template(classes: DataFrame) -> DataFrame:
-    """(token, weight): every token of a class, its weight the mean over the hosts whose template has it."""
-    return classes.select(F.explode("tokens").alias("token"), "pages", "weight").groupBy("token").agg((F.sum(F.col("pages") * F.col("weight")) / F.sum("pages")).alias("weight"))
+    """(host, token, weight): every token of a host's classes; a token is in one class of a host."""
+    return classes.select("host", F.explode("tokens").alias("token"), "weight")
 
 
-def line_scores(page: Page, words: tuple, pairs: tuple, frame: tuple) -> np.ndarray:
+def line_scores(page: Page, words: tuple, pairs: tuple, frame: tuple, host: np.ndarray) -> np.ndarray:
     """Of each line: mean weight of its tokens and features, leaning towards its neighbours; NaN where it is blank."""
     total, known = evidence(page, words, pairs)
-    row = lookup(frame[0], page.token)
+    row = lookup(frame[0], of_host(page.token, host[page.owner_of(page.line_start[page.seg_line])]))
     fixed = row >= 0
     size = np.maximum(2 * page.size - 1, 1)
     total = np.where(fixed, (frame[1][np.maximum(row, 0)] if len(frame[1]) else 0) * size, total)
@@ -297,15 +297,15 @@ def furniture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     # Weights are looked up by joins, so that no table of words or tokens has to fit a machine.
     features = checkpoint(chunk_features(pages))
     seen = checkpoint(tokens(pages, features))
-    frame = seen.select("chunk", "token").distinct().join(template(deduce(seen)), "token").select("chunk", F.lit(TOKENS).alias("kind"), F.col("token").alias("feature"), "weight")
+    frame = seen.select("chunk", "host", "token", "key").distinct().join(template(deduce(seen)), ["host", "token"]).select("chunk", F.lit(TOKENS).alias("kind"), F.col("key").alias("feature"), "weight")
     known = features.unionByName(frame)
 
     def run(part: pa.Table, known: pa.Table) -> pa.Table:
         words, pairs, frame = tables_of(known)
-        texts, out = texts_of(part["text"]), []
+        texts, host, out = texts_of(part["text"]), part["host"].to_numpy().view(np.uint64), []
         for first, last, batch in batches(texts, BATCH_CHARS):
             page = Page(batch)
-            score = line_scores(page, words, pairs, frame)
+            score = line_scores(page, words, pairs, frame, host[first:])
             hit = np.flatnonzero(score >= np.where(page.is_sentence, sentence_threshold, threshold))
             doc = page.owner_of(page.line_start[hit])
             opening = np.searchsorted(page.line_end, batch.start)
@@ -318,5 +318,5 @@ def furniture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
             out.append(pa.table({"id": part["id"].slice(first, last - first), "furniture": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((number + 1).astype(np.int32))), "body": pa.array(bodies, pa.string())}))
         return pa.concat_tables(out)
 
-    marked = pages.select("chunk", "id", "text").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, f"id {kind}, furniture array<int>, body string")
+    marked = pages.select("chunk", "host", "id", "text").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, f"id {kind}, furniture array<int>, body string")
     return marked.withColumnRenamed("id", id_col)

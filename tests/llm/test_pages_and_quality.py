@@ -102,7 +102,12 @@ def test_rare_features_and_tokens_keep_their_weight_in_a_large_corpus(spark):
     counts = spark.createDataFrame([(0, False, 1, 9_000_000, 1_000_000), (0, False, 2, 5, 0), (1, False, 3, 2, 1), (0, True, 4, 3, 0), (1, True, 4, 2, 0)], "chunk long, pair boolean, feature long, short long, long long")
     assert {r["feature"] for r in boilerplate.weights(counts).collect()} == {1, 2, 4}
     classes = spark.createDataFrame([(1, 1, 9_000_000, [7], 1.0), (2, 2, 3, [8, 9], 2.0)], "host long, vector long, pages long, tokens array<long>, weight double")
-    assert {tuple(r) for r in boilerplate.template(classes).collect()} == {(7, 1.0), (8, 2.0), (9, 2.0)}
+    assert {tuple(r) for r in boilerplate.template(classes).collect()} == {(1, 7, 1.0), (2, 8, 2.0), (2, 9, 2.0)}
+
+
+def test_a_token_has_the_weight_of_its_host(spark):
+    classes = spark.createDataFrame([(1, 1, 9_000_000, [7], 1.0), (2, 2, 3, [7], -2.0)], "host long, vector long, pages long, tokens array<long>, weight double")
+    assert {tuple(r) for r in boilerplate.template(classes).collect()} == {(1, 7, 1.0), (2, 7, -2.0)}
 
 
 def test_chunks_do_not_change_the_result(spark, monkeypatch):
