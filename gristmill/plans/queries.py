@@ -353,6 +353,12 @@ def citation_parse(spark, folder):
     return found.where(F.size("markers") == 1)
 
 
+@query()
+def citation_markers(spark, folder):
+    """Markers of every answer, however many; citation_parse and its SQL have only those of one marker."""
+    return _answers(spark, folder).where("answer is not null").select("id", T.markers(F.col("answer"), F.lit(5)).alias("markers"))
+
+
 RETRIEVED = "retrieved AS (SELECT run_id, try_cast(json_extract_string(payload_json, '$.first_hit_rank_initial') AS INT) AS a, try_cast(json_extract_string(payload_json, '$.first_hit_rank_reranked') AS INT) AS b FROM records WHERE kind = 'retrieval' AND json_valid(payload_json))"
 
 

@@ -203,3 +203,16 @@ def test_store(spark, tmp_path):
     assert store.read("records").count() == 4
     assert [r["id"] for r in store.page("r1", "s", 2, 1).collect()] == [1, 2]
     assert len(new_run_id()) == 26 and spec_hash({"b": 1, "a": "é"}) == hashlib.sha256(b'{"a":"\\u00e9","b":1}').hexdigest()
+
+
+def test_markers_of_every_answer(spark, tmp_path):
+    import json
+    import re
+
+    from gristmill.plans.queries import QUERIES
+
+    answers = ["None.", "One [2].", "Two [3] [1] [3].", "Out [0] [6] [12] [5].", "All [5][4][3][2][1].", "[1234] [ 1]"]
+    rows = [(i, "r", "faithfulness", json.dumps({"qid": "q", "answer": a})) for i, a in enumerate(answers)] + [(90, "r", "faithfulness", "{"), (91, "r", "faithfulness", '{"qid": "q"}')]
+    spark.createDataFrame(rows, "id long, run_id string, kind string, payload_json string").write.parquet(f"{tmp_path}/records.parquet")
+    want = {i: list(dict.fromkeys(m for m in map(int, re.findall(r"\[([0-9]{1,3})\]", a)) if 1 <= m <= 5)) for i, a in enumerate(answers)}
+    assert {r["id"]: r["markers"] for r in QUERIES["citation_markers"](spark, str(tmp_path)).collect()} == want
