@@ -1,14 +1,19 @@
 """Main body of web pages: template deduction from equivalence classes of tokens on same-host pages.
 
-Tokens are the segments that a page's lines fall into (menu items, notices, teasers; names of models and
-numbers are masked), each with its role: whether its line is a long one or also holds a model name. Tokens
-of one host with the same occurrence vector over its pages form an equivalence class. The vector is
-kept as a linear fingerprint, a sum of page hashes, so classes of any host are found by grouping and
-no list of pages is ever gathered. A class is valid if it is frequent and its words, pooled over the
-whole class, belong to short lines rather than to running text; so a menu's "About" or "Support"
-stays with its menu although articles use these words. The classes of a host are its template, whatever
-other hosts do with the same tokens. A line filled by template tokens is furniture, a slot that repeats no token is judged by its own words
-and word pairs (cookie notices in new wordings, addresses, bylines of one page), all else is main body.
+A token is a word in its context: the word before it in its segment (menu item, notice, sentence) and
+whether its line is a long one; numbers and names of models are masked, and a segment of a long line is one
+token. Tokens of one host with the same occurrence vector over its pages form an equivalence
+class. The vector is kept as a linear fingerprint, a sum of page hashes, so that classes of any host are
+found by grouping and no list of pages is ever gathered.
+
+A class is valid if it is frequent and ordered, that is if its tokens come in one order on all
+pages that have them; the tokens of any other are classes of their own. Valid classes nest: the parent of a
+class is the one whose tokens stand around it on most of its pages. Whether a class is furniture or
+running text is decided by the log odds of its words in short against long lines, pooled over the
+class and its parent. Furniture classes are the host's template. Lines that the template fills are
+furniture; what remains are slots. A slot between running text is main body, whatever its words; a
+slot that the template bounds is furniture too if its own words say so (a notice or teaser of one page).
+Where a host has no template, nothing is furniture.
 """
 
 from __future__ import annotations
@@ -23,20 +28,22 @@ from gristmill.functions.codepoints import BASE, MASK, Batch, batches, mix, powe
 from gristmill.session import checkpoint
 
 LONG_LINE = 13  # words from which on a line counts as running text, unless pages of its host repeat it
-PHRASE_WORDS = 6  # a longer segment of a short line is a phrase
-NUMBER, MODEL = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC6A4A7935BD1E995)
+NUMBER, MODEL, OPENING = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC6A4A7935BD1E995), np.uint64(0x8CB92BA72F3D8DD7)
 #: A feature must be seen so often to have a weight.
 LEAST = 4
 PRIOR, PAIR_GAIN = 3.0, 1.0
 LEAST_PAGES = 3
 LIMIT = 3.0
-#: A line is furniture from this score on; one that is shaped like a sentence needs more.
-THRESHOLD, SENTENCE_THRESHOLD, SENTENCE_WORDS, OPEN_SENTENCE_WORDS = 0.6, 1.15, 6, 9
-NEIGHBOUR, NEIGHBOUR_LIMIT = 0.3, 2.0
+#: A line is furniture from this score on; one that is shaped like a sentence needs more. A slot that the template bounds needs less, by SLOT.
+THRESHOLD, SENTENCE_THRESHOLD, SENTENCE_WORDS, OPEN_SENTENCE_WORDS, SLOT = 0.6, 1.15, 6, 9, 0.2
+COVER = 0.2  # share of a line's words that template tokens must fill
+NEST, NEST_LIMIT, BOUND, SLOT_ROUNDS = 0.1, 2.0, 0.3, 3
 #: Characters of the pages whose weights are looked up together, and of a batch.
-CHUNK_CHARS, BATCH_CHARS = 1 << 22, 1 << 22
-WORDS, PAIRS, TOKENS = 0, 1, 2
-TOKEN_TABLE = "chunk bigint, host bigint, token bigint, vector bigint, pages bigint, odds double, features double, role int, key bigint"
+CHUNK_CHARS, BATCH_CHARS = 1 << 20, 1 << 22
+WORDS, PAIRS = 0, 1
+#: What is kept of a page: an entry for each token, a row for each line.
+ENTRY = np.dtype([("token", "<u8"), ("line", "<i4"), ("odds", "<f4"), ("known", "<u2"), ("size", "<u2")])
+LINE = np.dtype([("unit", "<i4"), ("solid", "?"), ("sentence", "?")])
 
 
 class Page:
@@ -84,12 +91,19 @@ class Page:
         has_model = np.bincount(self.line, weights=self.model, minlength=len(self.line_end)) > 0
         seg_line = self.line[self.first]
         self.short = self.line_words < LONG_LINE
-        self.seg_line = seg_line
         power, inverse = powers(len(start) + 1)
         with np.errstate(over="ignore"):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.word * power[: len(start)], dtype=np.uint64)])
             last = self.first + self.size
-            self.token = mix((total[last] - total[self.first]) * inverse[self.first] + has_model[seg_line].astype(np.uint64) + np.uint64(2) * ~self.short[seg_line])
+            whole = mix((total[last] - total[self.first]) * inverse[self.first] + has_model[seg_line].astype(np.uint64) + np.uint64(2))
+            before = np.concatenate([[OPENING], self.word[:-1]]) if len(start) else self.word
+            before = np.where(new, OPENING, before).astype(np.uint64)
+            in_context = mix(self.word * np.uint64(BASE & MASK) + before)
+            # One token for each word of short lines and for each segment of long ones, in order.
+            lead = np.flatnonzero(self.short[self.line] | new)
+            alone = ~self.short[self.line[lead]]
+            self.token = np.where(alone, whole[self.segment[lead]], in_context[lead])
+            self.token_line, self.token_at = self.line[lead], lead
             # Long lines, wrapped ones joined: number of the unit, hash of its words.
             unit = self.unit[self.line]
             head = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) if len(unit) else np.empty(0, np.int64)
@@ -197,7 +211,7 @@ def tables_of(known: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sorted keys and weights of each kind."""
     kind, key, weight = known["kind"].to_numpy(), known["feature"].to_numpy().view(np.uint64), known["weight"].to_numpy()
     out = []
-    for k in (WORDS, PAIRS, TOKENS):
+    for k in (WORDS, PAIRS):
         at = np.flatnonzero(kind == k)
         at = at[np.argsort(key[at])]
         out.append((key[at], weight[at]))
@@ -205,87 +219,194 @@ def tables_of(known: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def evidence(page: Page, words: tuple, pairs: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Of each segment: sum of its features' log odds and how many features have one."""
-    n = len(page.first)
+    """Of each token: sum of its features' log odds and how many features have one. A pair of words counts with its second."""
+    n = len(page.word)
     row = np.where(page.masked, -1, lookup(words[0], page.word))
     single = np.where(row >= 0, words[1][np.maximum(row, 0)] if len(words[1]) else 0, np.nan)
     pair_row = lookup(pairs[0], page.pair)
     at = page.pair_at[pair_row >= 0]
     # A pair of words that both belong to running text says little by being new there.
     double = np.fmin(pairs[1][pair_row[pair_row >= 0]], np.fmax(single[at], single[at + 1]) + PAIR_GAIN) if len(at) else np.empty(0)
-    own = np.flatnonzero(row >= 0)
-    segment = page.segment[np.concatenate([own, at])]
-    total = np.bincount(segment, weights=np.concatenate([single[own], double]), minlength=n)
-    known = np.bincount(segment, minlength=n).astype(float)
-    return total, known
+    total, known = np.nan_to_num(single), (row >= 0).astype(float)
+    total[at + 1] += double
+    known[at + 1] += 1
+    if not n:
+        return total, known
+    return np.add.reduceat(total, page.token_at), np.add.reduceat(known, page.token_at)
 
 
-def tokens(pages: DataFrame, features: DataFrame) -> DataFrame:
-    """(chunk, host, token): fingerprint of its occurrence vector, number of pages, evidence of its words."""
+def rows_of(column: pa.ChunkedArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All rows of a column of binary values, and the page of each."""
+    values = column.to_pylist()
+    size = np.fromiter((len(v) // kind.itemsize for v in values), dtype=np.int64, count=len(values))
+    return np.frombuffer(b"".join(values), dtype=kind), np.repeat(np.arange(len(values)), size)
+
+
+def packed(rows: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    data = np.ascontiguousarray(rows)
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * rows.itemsize).astype(np.int64)), pa.py_buffer(data.view(np.uint8))]).cast(pa.binary())
+
+
+def layout(pages: DataFrame, features: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per page: chunk, host, page, the columns to keep, its entries and its lines."""
 
     def run(part: pa.Table, known: pa.Table) -> pa.Table:
-        words, pairs, _ = tables_of(known)
-        page_hash, host, out = part["page"].to_numpy().view(np.uint64), part["host"].to_numpy().view(np.uint64), []
-        for first, _, batch in batches(texts_of(part["text"]), BATCH_CHARS):
+        words, pairs = tables_of(known)
+        out = []
+        for first, last, batch in batches(texts_of(part["text"]), BATCH_CHARS):
             page = Page(batch)
             total, seen = evidence(page, words, pairs)
-            doc = page.owner_of(page.line_start[page.seg_line])
-            with np.errstate(over="ignore"):
-                key = of_host(page.token, host[first + doc])
-                once = np.unique(mix(key + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
-                distinct, where, back = np.unique(key, return_index=True, return_inverse=True)
-                prints = np.zeros(len(distinct), dtype=np.uint64)
-                np.add.at(prints, back, mix(page_hash[first + doc]))
-            pages_with = np.bincount(back[once], minlength=len(distinct))
-            out.append(pa.table({
-                "chunk": pa.array(np.full(len(where), part["chunk"][0].as_py(), np.int64)), "host": pa.array(host[first + doc[where]].view(np.int64)), "token": pa.array(page.token[where].view(np.int64)), "vector": pa.array(prints.view(np.int64)),
-                "pages": pa.array(pages_with.astype(np.int64)), "odds": pa.array(total[where]), "features": pa.array(seen[where]),
-                "role": pa.array(np.where(page.short[page.seg_line], page.size > PHRASE_WORDS, 2)[where].astype(np.int32)), "key": pa.array(distinct.view(np.int64)),
-            }))
-        return pa.concat_tables(out)
+            opening = np.searchsorted(page.line_owner, np.arange(batch.n + 1))
+            unit = page.unit[page.token_line]
+            doc = page.line_owner[unit]
+            entry = np.zeros(len(page.token), ENTRY)
+            entry["token"], entry["line"], entry["odds"], entry["known"] = page.token, unit - opening[doc], total, np.minimum(seen, 65535)
+            entry["size"] = np.minimum(np.diff(np.concatenate([page.token_at, [len(page.word)]])), 65535)
+            line = np.zeros(len(page.line_end), LINE)
+            line["unit"], line["solid"], line["sentence"] = page.unit - opening[page.line_owner], page.solid, page.is_sentence
+            piece = part.slice(first, last - first)
+            columns = [piece[c].combine_chunks() for c in ("chunk", "host", "page", *keep)]
+            out.append(pa.Table.from_arrays([*columns, packed(entry, np.searchsorted(doc, np.arange(batch.n + 1))), packed(line, opening)], ["chunk", "host", "page", *keep, "entries", "lines"]))
+        return pa.concat_tables(out) if out else pa.table({})
+
+    kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in keep)
+    return pages.groupBy("chunk").cogroup(features.groupBy("chunk")).applyInArrow(run, f"chunk bigint, host bigint, page bigint, {kinds}, entries binary, lines binary")
+
+
+def tokens(laid: DataFrame) -> DataFrame:
+    """(chunk, key, role): of each token of a host its part of the occurrence vector, pages and evidence."""
+
+    def run(part: pa.Table) -> pa.Table:
+        entry, doc = rows_of(part["entries"], ENTRY)
+        page_hash, host = (part[c].to_numpy().view(np.uint64) for c in ("page", "host"))
+        key = of_host(entry["token"], host[doc])
+        with np.errstate(over="ignore"):
+            once = np.unique(mix(key + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+        distinct, where, back = np.unique(key, return_index=True, return_inverse=True)
+        prints = np.zeros(len(distinct), dtype=np.uint64)
+        np.add.at(prints, back[once], mix(page_hash[doc[once]]))
+        sums = (np.bincount(back, weights=entry[c], minlength=len(distinct)).astype(np.float32) for c in ("odds", "known"))
+        return pa.table([
+            pa.array(np.full(len(distinct), part["chunk"][0].as_py(), np.int64)), pa.array(host[doc[where]].view(np.int64)), pa.array(distinct.view(np.int64)), pa.array(prints.view(np.int64)),
+            pa.array(np.bincount(back[once], minlength=len(distinct)).astype(np.int32)), *map(pa.array, sums), pa.array(entry["size"][where] > 1),
+        ], ["chunk", "host", "key", "vector", "pages", "odds", "known", "long"])
 
-    return pages.groupBy("chunk").cogroup(features.groupBy("chunk")).applyInArrow(run, TOKEN_TABLE)
+    return laid.select("chunk", "host", "page", "entries").groupBy("chunk").applyInArrow(run, "chunk bigint, host bigint, key bigint, vector bigint, pages int, odds float, known float, long boolean")
 
 
 def deduce(seen: DataFrame) -> DataFrame:
-    """Equivalence classes of each host: (host, vector, pages, role, tokens, weight), weight pooled over the class.
+    """(key, class, odds, known, pages, own): each frequent token with its equivalence class.
 
-    Where whole articles repeat, menu items, phrases and running text share a vector; their role keeps them apart.
+    A class is the tokens of one host, of short or of long lines, with the same vector; own is the evidence of the token alone.
     """
     wrapped = F.sum(F.col("vector").cast("decimal(38,0)"))  # a sum that can't overflow; equal vectors have equal sums
-    each = seen.groupBy("host", "token").agg(wrapped.alias("vector"), F.sum("pages").alias("pages"), F.first("odds").alias("odds"), F.first("features").alias("features"), F.first("role").alias("role")).where(f"pages >= {LEAST_PAGES}")
-    return each.groupBy("host", "vector", "pages", "role").agg(F.collect_list("token").alias("tokens"), (F.sum("odds") / F.nullif(F.sum("features"), F.lit(0.0))).alias("weight")).where("weight is not null")
-
-
-def template(classes: DataFrame) -> DataFrame:
-    """(host, token, weight): every token of a host's classes; a token is in one class of a host."""
-    return classes.select("host", F.explode("tokens").alias("token"), "weight")
-
-
-def line_scores(page: Page, words: tuple, pairs: tuple, frame: tuple, host: np.ndarray) -> np.ndarray:
-    """Of each line: mean weight of its tokens and features, leaning towards its neighbours; NaN where it is blank."""
-    total, known = evidence(page, words, pairs)
-    row = lookup(frame[0], of_host(page.token, host[page.owner_of(page.line_start[page.seg_line])]))
-    fixed = row >= 0
-    size = np.maximum(2 * page.size - 1, 1)
-    total = np.where(fixed, (frame[1][np.maximum(row, 0)] if len(frame[1]) else 0) * size, total)
-    known = np.where(fixed, size, known)
-    n, unit = len(page.line_end), page.unit[page.seg_line]
-    amount = np.bincount(unit, weights=known, minlength=n)
-    score = np.divide(np.bincount(unit, weights=total, minlength=n), amount, out=np.full(n, np.nan), where=amount > 0)
-    score = np.where(page.solid, score[page.unit], np.nan)
-    # A line leans towards its neighbours, which is all that speaks for a line of names or numbers only.
-    at = np.flatnonzero(page.solid)
-    own = np.nan_to_num(np.clip(score[at], -NEIGHBOUR_LIMIT, NEIGHBOUR_LIMIT))
-    same = np.diff(page.line_owner[at]) == 0 if len(at) else np.empty(0, bool)
-    above, below = np.zeros(len(at)), np.zeros(len(at))
-    above[1:], below[:-1] = np.where(same, own[:-1], 0), np.where(same, own[1:], 0)
-    score[at] = np.nan_to_num(score[at]) + NEIGHBOUR * (above + below) / 2
-    return score
-
-
-def furniture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", threshold: float = THRESHOLD, sentence_threshold: float = SENTENCE_THRESHOLD) -> DataFrame:
-    """One row per page with text: id, furniture (sorted numbers of its furniture lines, from 1) and body (the text without them).
+    each = seen.groupBy("key").agg(F.first("host").alias("host"), F.first("long").alias("long"), wrapped.alias("vector"), F.sum("pages").alias("pages"), F.sum("odds").alias("odds"), F.sum("known").alias("known"))
+    return each.where(f"pages >= {LEAST_PAGES}").select("key", F.xxhash64("host", "long", "vector", "pages").alias("class"), "odds", "known", "pages", F.coalesce(F.try_divide("odds", "known"), F.lit(float("nan"))).alias("own"))
+
+
+def orders(laid: DataFrame, frame: DataFrame) -> DataFrame:
+    """(class, parent): in how many pages parent stands around class (0: none), and hashes of the orders of the class's tokens."""
+
+    def run(part: pa.Table, known: pa.Table) -> pa.Table:
+        entry, doc = rows_of(part["entries"], ENTRY)
+        host = part["host"].to_numpy().view(np.uint64)
+        table = known.sort_by("key")
+        keys = of_host(entry["token"], host[doc])
+        signed = table["key"].to_numpy()
+        row = lookup(signed, keys.view(np.int64))
+        at = np.flatnonzero(row >= 0)
+        names = table["class"].to_numpy()[row[at]]
+        owner = doc[at]
+        # First places of tokens, by page and class, in order.
+        order = np.lexsort((np.arange(len(at)), keys[at], owner))
+        fresh = np.concatenate([[True], (keys[at][order][1:] != keys[at][order][:-1]) | (owner[order][1:] != owner[order][:-1])]) if len(at) else np.empty(0, bool)
+        firsts = np.sort(order[fresh])
+        group = np.lexsort((firsts, names[firsts], owner[firsts]))
+        firsts = firsts[group]
+        new = np.concatenate([[True], (names[firsts][1:] != names[firsts][:-1]) | (owner[firsts][1:] != owner[firsts][:-1])]) if len(firsts) else np.empty(0, bool)
+        edge = np.flatnonzero(new)
+        if not len(edge):
+            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())], ["class", "parent", "pages", "low", "high"])
+        rank = np.arange(len(firsts)) - np.repeat(edge, np.diff(np.concatenate([edge, [len(firsts)]])))
+        power, _ = powers(len(firsts) + 1)
+        with np.errstate(over="ignore"):
+            sequence = mix(np.add.reduceat(mix(keys[at][firsts]) * power[rank], edge)).view(np.int64)
+        of_class, of_page = names[firsts[edge]], owner[firsts[edge]]
+        # The lines from its first to its last token; the parent is the latest to begin of those that reach around.
+        line, bounds = entry["line"][at], np.concatenate([firsts[edge][:, None], np.zeros((len(edge), 1), np.int64)], axis=1)
+        last = np.zeros(len(edge), np.int64)
+        slot = {(p, c): i for i, (p, c) in enumerate(zip(of_page.tolist(), of_class.tolist()))}
+        place = np.fromiter((slot[k] for k in zip(owner.tolist(), names.tolist())), np.int64, len(at))
+        np.maximum.at(last, place, line.astype(np.int64))
+        begin = line[bounds[:, 0]].astype(np.int64)
+        parent = np.zeros(len(edge), np.int64)
+        starts = np.searchsorted(of_page, np.arange(len(host) + 1))
+        for a, b in zip(starts[:-1], starts[1:]):
+            if b - a > 1:
+                outer = np.flatnonzero(last[a:b] > begin[a:b])
+                if len(outer):
+                    around = (begin[a:b][outer][None, :] < begin[a:b, None]) & (last[a:b][outer][None, :] > last[a:b, None])
+                    best = np.where(around, begin[a:b][outer][None, :], -1)
+                    pick = best.argmax(axis=1)
+                    parent[a:b] = np.where(best.max(axis=1) >= 0, of_class[a:b][outer][pick], 0)
+        pair, back = np.unique(np.stack([of_class, parent], axis=1), axis=0, return_inverse=True)
+        low, high = np.full(len(pair), np.iinfo(np.int64).max), np.full(len(pair), np.iinfo(np.int64).min)
+        np.minimum.at(low, back.ravel(), sequence)
+        np.maximum.at(high, back.ravel(), sequence)
+        return pa.table([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1])), pa.array(np.bincount(back.ravel()).astype(np.int64)), pa.array(low), pa.array(high)], ["class", "parent", "pages", "low", "high"])
+
+    each = laid.select("chunk", "host", "entries").groupBy("chunk").cogroup(frame.select("chunk", "key", "class").groupBy("chunk")).applyInArrow(run, "class bigint, parent bigint, pages bigint, low bigint, high bigint")
+    return each.groupBy("class", "parent").agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def template(tokens_of: DataFrame, seen: DataFrame) -> DataFrame:
+    """(key, weight): each token of a host's classes with the weight of its class, which its parent moves.
+
+    tokens_of are deduce()'s rows, seen are those of orders(). The tokens of a class without one order weigh what they weigh alone.
+    """
+    nested = seen.groupBy("class").agg((F.min("low") == F.max("high")).alias("ordered"), F.max_by("parent", F.struct("pages", "parent")).alias("parent"), F.max("pages").alias("with_parent"), F.sum("pages").alias("all"))
+    nested = nested.select("class", "ordered", F.when((F.col("with_parent") * 2 > F.col("all")) & (F.col("parent") != 0), F.col("parent")).alias("parent"))
+    weighed = tokens_of.groupBy("class").agg(F.try_divide(F.sum("odds"), F.sum("known")).alias("weight"))
+    above = weighed.select(F.col("class").alias("parent"), F.greatest(F.lit(-NEST_LIMIT), F.least(F.lit(NEST_LIMIT), F.col("weight"))).alias("lean"))
+    classes = weighed.join(nested, "class", "left").join(above, "parent", "left").select("class", "weight", F.coalesce("ordered", F.lit(True)).alias("ordered"), (NEST * F.coalesce("lean", F.lit(0.0))).alias("lean"))
+    rows = tokens_of.join(classes, "class").select("key", (F.when(F.col("ordered"), F.col("weight")).otherwise(F.nanvl("own", F.lit(None).cast("double"))) + F.col("lean")).alias("weight"))
+    return rows.where("weight is not null")
+
+
+def mean_of(unit: np.ndarray, total: np.ndarray, amount: np.ndarray, n: int) -> np.ndarray:
+    amount = np.bincount(unit, weights=amount, minlength=n)
+    return np.divide(np.bincount(unit, weights=total, minlength=n), amount, out=np.full(n, np.nan), where=amount > 0)
+
+
+def judge(entry: np.ndarray, unit: np.ndarray, line: np.ndarray, weight: np.ndarray, own_unit: np.ndarray, page: np.ndarray, threshold: float, sentence_threshold: float) -> np.ndarray:
+    """Whether each line is furniture: entries with the unit of each and the weight of its class (NaN: none), lines with their unit and page."""
+    n = len(line)
+    known = ~np.isnan(weight)
+    score = mean_of(unit, np.where(known, weight, 0) * entry["size"], known * entry["size"], n)[own_unit]
+    cover = np.nan_to_num(mean_of(unit, known * entry["size"].astype(float), entry["size"].astype(float), n))[own_unit]
+    own = np.nan_to_num(mean_of(unit, entry["odds"].astype(float), entry["known"].astype(float), n))[own_unit]
+    least = np.where(line["sentence"], sentence_threshold, threshold)
+    solid = line["solid"]
+    fixed = solid & (np.nan_to_num(score, nan=-9.0) >= least) & (cover >= COVER)
+    slot = solid & ~fixed & (cover < COVER)
+    at = np.flatnonzero(solid)
+    same = np.diff(page[at]) == 0
+    hit = fixed.copy()
+    edge = np.ones((2, len(at)), dtype=bool)
+    edge[0, 1:], edge[1, :-1] = ~same, ~same
+    for _ in range(SLOT_ROUNDS):
+        near = np.zeros((2, len(at)), dtype=bool)
+        near[0, 1:], near[1, :-1] = same & hit[at][:-1], same & hit[at][1:]
+        sides = (near | edge).sum(axis=0)
+        new = slot[at] & near.any(axis=0) & (own[at] + BOUND * (sides - 1) >= least[at] - SLOT)
+        if np.array_equal(new, hit[at] & slot[at]):
+            break
+        hit[at] = fixed[at] | new
+    return hit
+
+
+def furniture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", threshold: float = THRESHOLD, sentence_threshold: float = SENTENCE_THRESHOLD, body: bool = True) -> DataFrame:
+    """One row per page with text: id, furniture (sorted numbers of its furniture lines, from 1) and, if wanted, body (the text without them).
 
     A page with null text gives no row; a null host is a host of its own; blank lines are never
     furniture. Repeated rows are pages of their own. Columns other than the three named aren't read.
@@ -294,29 +415,34 @@ def furniture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     kind = pages.schema["id"].dataType.simpleString()
     chunks = 1 + (pages.agg(F.sum(F.length("text"))).first()[0] or 0) // CHUNK_CHARS
     pages = pages.withColumn("chunk", F.pmod(F.xxhash64("page", "text"), F.lit(chunks)))
-    # Weights are looked up by joins, so that no table of words or tokens has to fit a machine.
-    features = checkpoint(chunk_features(pages))
-    seen = checkpoint(tokens(pages, features))
-    frame = seen.select("chunk", "host", "token", "key").distinct().join(template(deduce(seen)), ["host", "token"]).select("chunk", F.lit(TOKENS).alias("kind"), F.col("key").alias("feature"), "weight")
-    known = features.unionByName(frame)
+    # Weights and classes are looked up by joins, so that no table of words or tokens has to fit a machine.
+    features = chunk_features(pages)
+    laid = checkpoint(layout(pages, features, ["id", "text"] if body else ["id"]))
+    seen = checkpoint(tokens(laid))
+    classed = checkpoint(deduce(seen))
+    there = seen.select("chunk", "key")
+    order = orders(laid, there.join(classed.select("key", "class"), "key"))
+    frame = there.join(template(classed, order), "key")
 
     def run(part: pa.Table, known: pa.Table) -> pa.Table:
-        words, pairs, frame = tables_of(known)
-        texts, host, out = texts_of(part["text"]), part["host"].to_numpy().view(np.uint64), []
-        for first, last, batch in batches(texts, BATCH_CHARS):
-            page = Page(batch)
-            score = line_scores(page, words, pairs, frame, host[first:])
-            hit = np.flatnonzero(score >= np.where(page.is_sentence, sentence_threshold, threshold))
-            doc = page.owner_of(page.line_start[hit])
-            opening = np.searchsorted(page.line_end, batch.start)
-            number = hit - opening[doc]
-            offsets = np.searchsorted(doc, np.arange(batch.n + 1))
+        table = known.sort_by("key")
+        entry, doc = rows_of(part["entries"], ENTRY)
+        line, page = rows_of(part["lines"], LINE)
+        opening = np.searchsorted(page, np.arange(part.num_rows + 1))
+        row = lookup(table["key"].to_numpy(), of_host(entry["token"], part["host"].to_numpy().view(np.uint64)[doc]).view(np.int64))
+        weight = np.where(row >= 0, table["weight"].to_numpy()[np.maximum(row, 0)], np.nan) if table.num_rows else np.full(len(entry), np.nan)
+        hit = np.flatnonzero(judge(entry, entry["line"] + opening[doc], line, weight, line["unit"] + opening[page], page, threshold, sentence_threshold))
+        offsets = np.searchsorted(page[hit], np.arange(part.num_rows + 1))
+        number = hit - opening[page[hit]]
+        columns = {"id": part["id"], "furniture": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((number + 1).astype(np.int32)))}
+        if body:
             bodies = []
-            for i, text in enumerate(texts[first:last]):
+            for i, text in enumerate(part["text"].to_pylist()):
                 gone = set(number[offsets[i] : offsets[i + 1]].tolist())
                 bodies.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone) if gone else text)
-            out.append(pa.table({"id": part["id"].slice(first, last - first), "furniture": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((number + 1).astype(np.int32))), "body": pa.array(bodies, pa.string())}))
-        return pa.concat_tables(out)
+            columns["body"] = pa.array(bodies, pa.string())
+        return pa.table(columns)
 
-    marked = pages.select("chunk", "host", "id", "text").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, f"id {kind}, furniture array<int>, body string")
+    taken = laid.select("chunk", "host", "id", *(["text"] if body else []), "entries", "lines")
+    marked = taken.groupBy("chunk").cogroup(frame.groupBy("chunk")).applyInArrow(run, f"id {kind}, furniture array<int>" + (", body string" if body else ""))
     return marked.withColumnRenamed("id", id_col)

@@ -39,7 +39,7 @@ def p2_top5(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    lines = furniture(web_pages(spark, folder)).select("doc_id", F.explode("furniture").alias("line_no"))
+    lines = furniture(web_pages(spark, folder), body=False).select("doc_id", F.explode("furniture").alias("line_no"))
     return lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"))
 
 

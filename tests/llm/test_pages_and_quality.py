@@ -98,16 +98,60 @@ def test_accuracies_are_learned():
     assert votes({name: np.array([1.0]) for _, name, *_ in LABELLERS}).shape == (1,)
 
 
-def test_rare_features_and_tokens_keep_their_weight_in_a_large_corpus(spark):
+def test_rare_features_keep_their_weight_in_a_large_corpus(spark):
     counts = spark.createDataFrame([(0, False, 1, 9_000_000, 1_000_000), (0, False, 2, 5, 0), (1, False, 3, 2, 1), (0, True, 4, 3, 0), (1, True, 4, 2, 0)], "chunk long, pair boolean, feature long, short long, long long")
     assert {r["feature"] for r in boilerplate.weights(counts).collect()} == {1, 2, 4}
-    classes = spark.createDataFrame([(1, 1, 9_000_000, [7], 1.0), (2, 2, 3, [8, 9], 2.0)], "host long, vector long, pages long, tokens array<long>, weight double")
-    assert {tuple(r) for r in boilerplate.template(classes).collect()} == {(1, 7, 1.0), (2, 8, 2.0), (2, 9, 2.0)}
 
 
-def test_a_token_has_the_weight_of_its_host(spark):
-    classes = spark.createDataFrame([(1, 1, 9_000_000, [7], 1.0), (2, 2, 3, [7], -2.0)], "host long, vector long, pages long, tokens array<long>, weight double")
-    assert {tuple(r) for r in boilerplate.template(classes).collect()} == {(1, 7, 1.0), (2, 7, -2.0)}
+SEEN = "chunk long, host long, key long, vector long, pages int, odds float, known float, long boolean"
+
+
+def test_classes_are_of_one_host_and_vector(spark):
+    rows = [(0, 1, 10, 5, 2, 4.0, 2.0, False), (1, 1, 10, 6, 2, 2.0, 1.0, False), (0, 1, 11, 11, 4, 1.0, 2.0, False), (0, 1, 12, 12, 4, 1.0, 1.0, False), (0, 2, 13, 11, 4, 1.0, 1.0, False), (0, 1, 14, 11, 4, 1.0, 1.0, True), (0, 1, 15, 3, 2, 1.0, 1.0, False)]
+    got = {r["key"]: r for r in boilerplate.deduce(spark.createDataFrame(rows, SEEN)).collect()}
+    assert set(got) == {10, 11, 12, 13, 14}  # fifteen is on too few pages
+    assert got[10]["class"] == got[11]["class"] and len({got[k]["class"] for k in (11, 12, 13, 14)}) == 4
+    assert got[10]["own"] == 2.0
+
+
+def test_order_and_nesting_of_classes(spark):
+    tokens = spark.createDataFrame([(1, 100, 6.0, 2.0, 9, 3.0), (2, 100, 0.0, 2.0, 9, 0.0), (3, 200, 2.0, 2.0, 5, 1.0), (4, 300, 4.0, 2.0, 5, 2.0)], "key long, class long, odds double, known double, pages long, own double")
+    seen = [(100, 0, 9, 7, 7), (200, 100, 4, 8, 8), (200, 0, 1, 8, 8), (300, 100, 2, 1, 2), (300, 0, 3, 1, 1)]
+    got = {r["key"]: r["weight"] for r in boilerplate.template(tokens, spark.createDataFrame(seen, "class long, parent long, pages long, low long, high long")).collect()}
+    assert got == {1: 1.5, 2: 1.5, 3: 1.0 + boilerplate.NEST * 1.5, 4: 2.0}
+    unordered = [(100, 0, 9, 6, 7)]
+    got = {r["key"]: r["weight"] for r in boilerplate.template(tokens.where("class = 100"), spark.createDataFrame(unordered, "class long, parent long, pages long, low long, high long")).collect()}
+    assert got == {1: 3.0, 2: 0.0}
+
+
+def test_a_class_that_stands_around_another_is_its_parent(spark):
+    rows = [(i, f"Menu alpha\nTeaser number {'one' if i % 2 else 'two'}\nMenu omega", "h") for i in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").select("doc_id", "text", "source")
+    pages = frame.selectExpr("doc_id AS id", "text", "xxhash64(source) AS host", "xxhash64(doc_id) AS page", "0L AS chunk")
+    laid = boilerplate.layout(pages, boilerplate.chunk_features(pages), ["id"])
+    seen = boilerplate.tokens(laid)
+    classed = boilerplate.deduce(seen)
+    found = boilerplate.orders(laid, seen.select("chunk", "key").join(classed.select("key", "class"), "key")).collect()
+    parents = {r["class"]: (r["parent"], r["pages"], r["low"] == r["high"]) for r in found}
+    menu = next(c for c, (p, n, _) in parents.items() if n == 8 and p == 0)
+    assert all(ordered for _, _, ordered in parents.values())
+    assert sorted((n, p == menu) for p, n, _ in parents.values()) == [(4, True), (4, True), (8, False)]  # the words that all teasers share are in the class of the menu
+
+
+def test_without_classes_nothing_is_furniture(spark, monkeypatch):
+    rows, _ = pages()
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(boilerplate, "template", lambda tokens_of, seen: tokens_of.where("false").selectExpr("key", "0D AS weight"))
+    assert furniture(frame).where("size(furniture) > 0").count() == 0
+
+
+def test_other_hosts_do_not_change_a_host(spark):
+    rows, _ = pages(5, 2, 25)
+    more, _ = pages(6, 100, 25)
+    small = {r["doc_id"]: r["furniture"] for r in furniture(spark.createDataFrame(rows, "doc_id long, text string, source string"), body=False).collect()}
+    large = spark.createDataFrame(rows + [(i + 10_000, t, "other" + h) for i, t, h in more], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["furniture"] for r in furniture(large, body=False).where("doc_id < 10000").collect()}
+    assert got == small
 
 
 def test_chunks_do_not_change_the_result(spark, monkeypatch):
@@ -116,6 +160,7 @@ def test_chunks_do_not_change_the_result(spark, monkeypatch):
     whole = {tuple(map(str, r)) for r in furniture(frame).collect()}
     monkeypatch.setattr(boilerplate, "CHUNK_CHARS", 4000)
     assert {tuple(map(str, r)) for r in furniture(frame).collect()} == whole and len(whole) == len(rows)
+    assert {(str(r["doc_id"]), str(r["furniture"])) for r in furniture(frame, body=False).collect()} == {x[:2] for x in whole}
 
 
 def test_long_notices_of_a_host_are_found(spark):
@@ -130,6 +175,7 @@ def test_long_notices_of_a_host_are_found(spark):
             assert text.count("\n") + 3 in got[i]
 
 
-def test_every_segment_has_a_role_of_its_own_line():
-    page = Page(Batch([f"About\n{' '.join(NOUNS[:8])}.\n{' '.join(NOUNS * 2)} About. About"]))
-    assert page.size.tolist() == [1, 8, 21, 1] and len(set(page.token.tolist())) == 4 and page.long_unit.tolist() == [2]
+def test_tokens_are_words_in_context_and_segments_of_long_lines():
+    page = Page(Batch([f"About us\n{' '.join(NOUNS[:8])}.\n{' '.join(NOUNS * 2)} About. About\nus About"]))
+    assert len(page.token) == 2 + 8 + 2 + 2 and page.long_unit.tolist() == [2]
+    assert len(set(page.token.tolist())) == 14  # neither "About" nor "us" is the same token in another place
