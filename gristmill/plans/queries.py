@@ -63,14 +63,25 @@ for _place in ("retrieval", "faithfulness", "canary_probe", "clean_defense", "cl
     QUERIES["p1_unified_" + _place.replace("eval_results", "results").replace(".", "_")] = _unified(_place)
 
 
+ORACLE["p1_unified_metrics_v1"] = "SELECT run_id, suite, name, variant, value, coalesce(state, 'measured') AS state, reason FROM metrics_v1"
+
+
 @query()
 def p1_names(spark: SparkSession, folder: str) -> DataFrame:
     """(place, field, canonical): the one name under which the unified tables hold each field."""
     runs, results, records, metrics = drift_tables(spark, folder)
     found = checkpoint(profiles(results, records, metrics))
     names = canonical_names(found, changes(found, steps(found, runs), strict=False))
-    rows = [(p, f, c) for p, own in sorted(names.items()) for f, c in sorted(own.items())]
-    return spark.createDataFrame(rows, "place string, field string, canonical string")
+    named = spark.createDataFrame([(*k, c) for k, c in sorted(names.items())], "place string, field string, canonical string")
+    each = found.select("place", F.explode("fields").alias("f")).select("place", "f.field").distinct()
+    return each.join(named, ["place", "field"], "left").select("place", "field", F.coalesce("canonical", "field").alias("canonical"))
+
+
+@query()
+def p1_renames(spark: SparkSession, folder: str) -> DataFrame:
+    """Every rename that the matching finds, with its score, the best other match of either field, and whether the type changed too."""
+    found = drift_report(*drift_tables(spark, folder), strict=False).where("drift_kind = 'renamed'")
+    return found.select("run_id", "place", "earlier", "field", F.round("score", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"), "retyped")
 
 
 # Pieces of SQL.

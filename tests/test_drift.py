@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from gristmill.operators import drift
 from gristmill.operators.drift import assignment, compare, drift_report, instant, name_similarity, unify_kind
 
 RUNS = "id string, claimed_by string, started_at string, extra int"
@@ -69,7 +70,7 @@ def test_assignment_is_optimal():
 def test_names_and_sketches_decide():
     one, two = [1] * 8, [2] * 8
     old, new = {"chunk_id": (4, one), "answer": (4, two)}, {"chunkId": (4, one), "answer_text": (4, two)}
-    assert {(e, f) for f, e, kind, _ in compare(old, new, False) if kind == "renamed"} == {("chunk_id", "chunkId"), ("answer", "answer_text")}
+    assert {(e, f) for f, e, kind, *_ in compare(old, new, False) if kind == "renamed"} == {("chunk_id", "chunkId"), ("answer", "answer_text")}
     assert name_similarity("chunk_id", "chunkId") == 1.0
 
 
@@ -98,3 +99,71 @@ def test_every_place_has_a_unified_table():
 
     places = "attack results retrieval faithfulness canary_probe clean_defense clean_screen metrics_v1 faithfulness_claims faithfulness_citations attack_matched_markers results_stage_stats"
     assert {f"p1_unified_{p}" for p in places.split()} <= set(QUERIES)
+
+
+def planted(spark, seed=3, workers=40):
+    """Runs whose writers rename several fields of one type at once, one of them with a new type, and their true renames."""
+    rng, runs, payloads, truth = random.Random(seed), [], [], set()
+    words = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(400)]
+    for w in range(workers):
+        values = {"question": words[:40], "answer": words[100:140], "chunk": words[200:240], "rank": list(range(30))}
+        names = {k: k for k in values}
+        for step in range(2):
+            run = f"w{w}-{step}"
+            runs.append((run, f"w{w}", f"2030-01-0{step + 1}T00:00:00Z", 0))
+            if step:
+                for field, new in (("question", "query_text"), ("answer", "answer_value"), ("chunk", "passage")):
+                    names[field] = new
+                    truth.add((run, field, new))
+                names["rank"] = "rank_no"
+                truth.add((run, "rank", "rank_no"))
+            for _ in range(60):
+                row = {names[k]: rng.choice(v) for k, v in values.items()}
+                if step:
+                    row["rank_no"] = str(row["rank_no"])
+                payloads.append((run, row))
+    return frames(spark, payloads, runs), truth
+
+
+def renames(tables):
+    rows = drift_report(*tables, strict=False).where("drift_kind = 'renamed'").collect()
+    return {(r["run_id"], r["earlier"], r["field"]) for r in rows}, {r["field"] for r in rows if r["retyped"]}, rows
+
+
+def test_planted_renames_are_found_by_sketches_and_names(spark):
+    tables, truth = planted(spark)
+    found, retyped, rows = renames(tables)
+    assert len(found & truth) / len(found) > 0.98 and len(found & truth) / len(truth) > 0.95
+    assert retyped == {"rank_no"} and all(0 <= r["runner_up"] < r["score"] <= 1 for r in rows)
+    assert {d for *_, d in report(*tables)} == {"added", "removed"}  # by types alone nothing is certain
+    assert _pairs_without("SKETCH_WEIGHT") != _pairs_without(None) != _pairs_without("NAME_WEIGHT")
+
+
+def _pairs_without(weight):
+    """The matching of one step, where a weight of the score is 0."""
+    old = {"question": (4, [1, 2, 3, 4, 5, 6, 7, 8]), "answer_text": (4, [9] * 8), "note": (4, [7] * 8)}
+    new = {"query": (4, [1, 2, 3, 4, 5, 6, 7, 0]), "answerText": (4, [8] * 8)}
+    saved = {w: getattr(drift, w) for w in ("SKETCH_WEIGHT", "NAME_WEIGHT")}
+    if weight:
+        setattr(drift, weight, 0.0)
+    try:
+        return {(e, f) for f, e, kind, *_ in compare(old, new, False) if kind == "renamed"}
+    finally:
+        for w, v in saved.items():
+            setattr(drift, w, v)
+
+
+def test_arrays_of_objects_are_unified_in_place(spark):
+    payloads = [("r0", {"n": 1, "claims": [{"claim": "a", "ok": True}]}), ("r1", {"n": 2, "claimList": [{"claim_text": "c", "ok": False}, 7]}), ("r2", {"n": 3, "claimList": None})]
+    rows = {r["n"]: r for r in unify_kind(*frames(spark, payloads), "attack").collect()}
+    column = next(c for c in rows[1.0].asDict() if c.startswith("claim"))
+    text = next(c for c in rows[1.0][column][0].asDict() if c.startswith("claim"))
+    assert [(x[text], x["ok"]) for x in rows[1.0][column]] == [("a", True)] and [(x[text], x["ok"]) for x in rows[2.0][column]] == [("c", False)] and rows[3.0][column] is None
+
+
+def test_rare_fields_share_a_map(spark, monkeypatch):
+    monkeypatch.setattr(drift, "MOST_COLUMNS", 2)
+    payloads = [("r0", {"a": 1, "b": "x"}), ("r1", {"a": 2, "b": "y", "key17": "z"}), ("r2", {"a": 3, "b": "y", "key18": "z"})]
+    rows = unify_kind(*frames(spark, payloads), "attack").collect()
+    values = lambda name: {v for r in rows for v in (r.asDict().get(name), (r["_rest"] or {}).get(name)) if v is not None}
+    assert values("a") == {1.0, 2.0, 3.0} and values("key17") | values("key18") == {"z"}
