@@ -142,7 +142,7 @@ def test_planted_renames_are_found_by_sketches_and_names(spark):
 def _pairs_without(weight):
     """The matching of one step, where a weight of the score is 0."""
     old = {"question": (4, [1, 2, 3, 4, 5, 6, 7, 8]), "answer_text": (4, [9] * 8), "note": (4, [7] * 8)}
-    new = {"query": (4, [1, 2, 3, 4, 5, 6, 7, 0]), "answerText": (4, [8] * 8)}
+    new = {"prompt": (4, [1, 2, 3, 4, 5, 6, 7, 0]), "answerText": (4, [8] * 8)}
     saved = {w: getattr(drift, w) for w in ("SKETCH_WEIGHT", "NAME_WEIGHT")}
     if weight:
         setattr(drift, weight, 0.0)
