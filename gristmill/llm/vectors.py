@@ -1,13 +1,18 @@
 """The k most similar vectors of every vector: randomly rotated one-bit codes with error bounds.
 
-Unit vectors are assigned to the nearest of some centroids, fitted on a bounded sample; a query looks
-into the cells of its nearest centroids. Within a cell, a vector is its residual from the centroid:
-the signs of the residual after a random rotation, packed into words of 64 bits, and two scalars (its
-length and how well the signs stand for its direction). From these the inner product with a query is
-estimated, with an error bound; only vectors whose upper bound reaches both the wanted similarity and
-the k-th largest lower bound are compared exactly, in double precision.
-
-What limits recall is the choice of cells and the bound's confidence, not the codes.
+Unit vectors are spread over areas, the nearest of some centroids that are fitted on a sample. A query
+goes once to its own area and to each area whose centroid is, within the spread that differences of
+similar vectors have, as near as its own. Inside an area, cells are fitted on the spot, so that what
+every task must know grows only with the number of areas.
+
+Within a cell, a vector is its residual from the cell's centroid: the signs of the residual after a
+random rotation, packed into words of 64 bits, and three scalars (its length, its inner product with the
+centroid and how well the signs stand for its direction). A query's rotated residual is quantised to
+four bits, kept as bit planes, and its inner products with codes are counted bits of the planes
+and the codes. Only vectors whose upper bound reaches both the wanted similarity and the k-th largest lower
+bound of their cell are compared exactly, in double precision.
+
+What limits recall is the choice of areas and cells and the bound's confidence, not the codes.
 """
 
 from __future__ import annotations
@@ -16,20 +21,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.arrow import sorted_groups
+from gristmill.functions.codepoints import BASE, MASK, mix
 from gristmill.session import checkpoint
 
-#: The index is fitted on at most so many vectors of a model; every vector is indexed and searched.
-SAMPLE = 40_000
-CELL = 250  # vectors per cell that the number of centroids aims at
-MOST_CELLS = 4_096
-PROBES = 16
-#: Rows of one cell that a task compares at once; a larger cell is searched in blocks.
-BLOCK = 20_000
+#: Vectors per area that the number of areas aims at; areas are fitted on so many vectors of the sample each.
+AREA, SAMPLE_OF_AREA, LEAST_SAMPLE = 20_000, 64, 8_192
+#: There are no more areas than this, so that centroids stay some 10 MB; larger areas are searched in blocks.
+MOST_AREAS = 25_000
+#: A query goes to so many areas and, in each, so many cells at most.
+AREAS, PROBES = 6, 16
+CELL = 250  # vectors per cell
+CELL_SAMPLE = 4_096
+#: Rows of one area that a task compares at once; a larger area is searched in blocks, each by all its queries.
+BLOCK = 40_000
 BOUND = 2.6  # half-width of the error bound, in standard deviations of the estimate (0.3 % of the bounds fail)
+PLANES = 4  # bits of a query's quantised coordinates
+SLICE = 256  # queries that are compared with a cell at once
 
 
 def rotation(dim: int, bits: int) -> np.ndarray:
@@ -42,197 +54,284 @@ def centroids(sample: np.ndarray, cells: int, rounds: int = 6) -> np.ndarray:
     """Spherical k-means on unit vectors from a fixed start; empty cells keep their centroid."""
     rng = np.random.default_rng(104729)
     centre = sample[rng.choice(len(sample), size=min(cells, len(sample)), replace=False)].astype(np.float32)
-    for _ in range(rounds):
+    sample = sample.astype(np.float32)
+    for _ in range(rounds if len(centre) > 1 else 1):
         best = np.concatenate([(sample[i : i + 4096] @ centre.T).argmax(axis=1) for i in range(0, len(sample), 4096)])
+        order = np.argsort(best, kind="stable")
+        filled, edge = np.unique(best[order], return_index=True)
         sums = np.zeros_like(centre)
-        np.add.at(sums, best, sample)
+        sums[filled] = np.add.reduceat(sample[order], edge, axis=0)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         centre = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), centre).astype(np.float32)
     return centre
 
 
-def bit_codes(residual: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed signs of rotated residuals, their lengths, and the inner product of direction and code."""
-    bits = turn.shape[1]
-    rotated = residual @ turn
-    length = np.linalg.norm(residual, axis=1)
-    fit = np.abs(rotated).sum(axis=1) / np.sqrt(bits) / np.maximum(length, 1e-12)
-    return np.packbits(rotated > 0, axis=1, bitorder="little").view(np.uint64), length, np.where(length > 1e-9, fit, 1.0)
-
-
 class Codes:
-    """Bit codes of a block around its centroid, with the scalars that correct the estimates.
+    """Packed bit codes of a cell's vectors around its centroid, with the scalars that correct the estimates.
 
     For unit q and x with residuals q - c and x - c, <q, x> = <q, c> + <x - c, c> + <q - c, x - c>. The
-    first two are scalars; the last is estimated as the inner product of the rotated query with the
-    signs that the packed bits stand for, divided by how well the signs fit the direction. Bits are
-    expanded once per block, so that estimates and bounds of all pairs are one product of matrices.
+    first two are scalars; the last is estimated as the inner product of the query's rotated residual with the
+    signs that the packed bits stand for, divided by how well the signs fit the direction. With residuals
+    quantised to low + step * u, that inner product is a sum over the bit planes of u of the counted bits
+    that plane and code share.
     """
 
     def __init__(self, base: np.ndarray, centre: np.ndarray, turn: np.ndarray):
-        self.centre, self.turn, bits = centre, turn, turn.shape[1]
-        code, length, fit = bit_codes(base - centre, turn)
-        signs = np.unpackbits(code.view(np.uint8), axis=1, bitorder="little").astype(np.float32) * 2 - 1
-        weight = length / np.sqrt(bits) / np.maximum(fit, 1e-6)
-        spread = length * np.sqrt(np.maximum(1 - fit**2, 0)) / np.maximum(fit, 1e-6) / np.sqrt(bits - 1)
-        self.table = np.concatenate([signs * weight[:, None], np.ones((len(base), 1)), ((base - centre) @ centre)[:, None], BOUND * spread[:, None]], axis=1).astype(np.float32).T
+        bits = turn.shape[1]
+        residual = base - centre
+        rotated = residual @ turn
+        length = np.linalg.norm(residual, axis=1)
+        fit = np.where(length > 1e-9, np.abs(rotated).sum(axis=1) / np.sqrt(bits) / np.maximum(length, 1e-12), 1.0)
+        self.centre, self.turn, self.bits = centre, turn, bits
+        self.code = np.packbits(rotated > 0, axis=1, bitorder="little").view(np.uint64)
+        self.ones = np.bitwise_count(self.code).sum(axis=1).astype(np.float32)
+        self.weight = (length / np.sqrt(bits) / np.maximum(fit, 1e-6)).astype(np.float32)
+        self.spread = (length * np.sqrt(np.maximum(1 - fit**2, 0)) / np.maximum(fit, 1e-6) / np.sqrt(max(bits - 1, 1))).astype(np.float32)
+        self.along = (residual @ centre).astype(np.float32)
+
+    def estimates(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated cosines of unit queries with all vectors, and half-widths of their bounds."""
+        residual = (query - self.centre) @ self.turn
+        low = residual.min(axis=1, keepdims=True)
+        step = np.maximum((residual.max(axis=1, keepdims=True) - low) / ((1 << PLANES) - 1), 1e-12)
+        u = np.rint((residual - low) / step).astype(np.uint8)
+        shared = np.zeros((len(query), len(self.code)), dtype=np.uint16)
+        for j in range(PLANES):
+            plane = np.packbits((u >> j) & 1, axis=1, bitorder="little").view(np.uint64)
+            for w in range(plane.shape[1]):
+                shared += np.bitwise_count(plane[:, w, None] & self.code[None, :, w]).astype(np.uint16) << j
+        total = low[:, 0] * self.bits + step[:, 0] * u.sum(axis=1)  # of the quantised residual
+        inner = 2 * (low.astype(np.float32) * self.ones + step.astype(np.float32) * shared) - total.astype(np.float32)[:, None]
+        value = inner * self.weight + self.along + (query @ self.centre).astype(np.float32)[:, None]
+        length = np.linalg.norm(residual, axis=1).astype(np.float32)
+        rough = (step[:, 0] * np.sqrt(self.bits / 12)).astype(np.float32)  # what quantising adds
+        return value, BOUND * (length[:, None] * self.spread + rough[:, None] * self.weight)
 
     def bounds(self, query: np.ndarray, side: int) -> np.ndarray:
         """Upper (side 1) or lower (side -1) bounds of the cosines of queries with all vectors, or the estimates (0)."""
-        residual = query - self.centre
-        scalars = np.stack([query @ self.centre, np.ones(len(query)), side * np.linalg.norm(residual, axis=1)], axis=1)
-        return np.concatenate([residual @ self.turn, scalars], axis=1).astype(np.float32) @ self.table
+        value, width = self.estimates(query)
+        return value + side * width
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def best_of(similarity: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """The k first by similarity, ties to the smaller id."""
-    return np.lexsort((ids, -similarity))[:k]
+def first_of(groups: np.ndarray, similarity: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Of each group the k first rows by similarity, ties to the smaller id."""
+    order = np.lexsort((ids, -similarity, groups))
+    own = groups[order]
+    start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
+    place = np.arange(len(own)) - np.repeat(start, np.diff(np.concatenate([start, [len(own)]])))
+    return order[place < k]
 
 
-def search_block(q_ids: np.ndarray, query: np.ndarray, b_ids: np.ndarray, base: np.ndarray, centre: np.ndarray, k: int, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each query: the ids and exact rounded cosines of its k best in the block, itself left out."""
+def search_area(q_ids: np.ndarray, query: np.ndarray, b_ids: np.ndarray, base: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query numbers, ids and exact rounded cosines of the k best of each query among the base, itself left out."""
     dim = base.shape[1]
     turn = rotation(dim, -(-dim // 64) * 64)
-    b_unit = unit(base)
-    codes = Codes(b_unit, centre, turn)
-    for start in range(0, len(query), 128):
-        ids = q_ids[start : start + 128]
-        q_unit = unit(query[start : start + 128])
-        upper = codes.bounds(q_unit, 1)
-        floor = np.full(len(ids), least)
-        many = np.flatnonzero((upper >= least).sum(axis=1) > 4 * k) if len(b_ids) > 4 * k else []
-        if len(many):  # the k-th best lower bound, one more because the query itself may be in the block
-            floor[many] = np.maximum(least, np.partition(codes.bounds(q_unit[many], -1), len(b_ids) - k - 1, axis=1)[:, len(b_ids) - k - 1])
-        rows, columns = np.nonzero(upper >= floor[:, None] - 1e-6)
-        exact = np.round(np.einsum("ij,ij->i", q_unit[rows], b_unit[columns]), 6)
-        edges = np.searchsorted(rows, np.arange(len(ids) + 1))
-        for i in range(len(ids)):
-            at = slice(edges[i], edges[i + 1])
-            mine, other = exact[at], b_ids[columns[at]]
-            good = np.flatnonzero((mine >= least) & (other != ids[i]))
-            top = good[best_of(mine[good], other[good], k)]
-            if len(top):
-                yield start + i, other[top], mine[top]
+    b_unit, q_unit = unit(base), unit(query)
+    pick = np.random.default_rng(15485863).permutation(len(base))[:CELL_SAMPLE]
+    centre = centroids(b_unit[pick], max(1, len(base) // CELL), 4)
+    home = np.concatenate([(b_unit[i : i + 8192].astype(np.float32) @ centre.T).argmax(axis=1) for i in range(0, len(base), 8192)])
+    order = np.argsort(home, kind="stable")
+    b_unit, b_ids = b_unit[order], b_ids[order]
+    edges = np.searchsorted(home[order], np.arange(len(centre) + 1))
+    p = min(PROBES, len(centre))
+    near = np.concatenate([np.argpartition(-(q_unit[i : i + 8192].astype(np.float32) @ centre.T), p - 1, axis=1)[:, :p] for i in range(0, len(query), 8192)])
+    asked = np.argsort(near.ravel(), kind="stable")
+    who = asked // p
+    marks = np.searchsorted(near.ravel()[asked], np.arange(len(centre) + 1))
+    found: list[list[np.ndarray]] = [[], [], []]
+    for c in range(len(centre)):
+        a, b = edges[c], edges[c + 1]
+        own = who[marks[c] : marks[c + 1]]
+        if a == b or not len(own):
+            continue
+        codes = Codes(b_unit[a:b], centre[c].astype(np.float64), turn)
+        for start in range(0, len(own), SLICE):
+            rows = own[start : start + SLICE]
+            value, width = codes.estimates(q_unit[rows])
+            upper = value + width
+            floor = np.full(len(rows), least)
+            if b - a > 4 * k:
+                many = np.flatnonzero((upper >= least).sum(axis=1) > 4 * k)
+                if len(many):  # the k-th best lower bound, one more because the query itself may be in the cell
+                    floor[many] = np.maximum(least, np.partition(value[many] - width[many], b - a - k - 1, axis=1)[:, b - a - k - 1])
+            x, y = np.nonzero(upper >= floor[:, None] - 1e-6)
+            exact = np.round(np.einsum("ij,ij->i", q_unit[rows[x]], b_unit[a + y]), 6)
+            good = np.flatnonzero((exact >= least) & (b_ids[a + y] != q_ids[rows[x]]))
+            for to, part in zip(found, (rows[x[good]], b_ids[a + y[good]], exact[good])):
+                to.append(part)
+    if not found[0]:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    q, ids, exact = map(np.concatenate, found)
+    keep = first_of(q, exact, ids, k)
+    return q[keep], ids[keep], exact[keep]
+
+
+def exploded(batches: DataFrame) -> DataFrame:
+    """(model, vec_id, batch_id, place, vector): one row per vector of a batch with as many elements as the batch says."""
+    rows = batches.select(F.coalesce("batch_id", F.lit((1 << 63) - 1)).alias("batch_id"), "model", "dim", F.posexplode(F.arrays_zip("vec_ids", "vectors")).alias("place", "v"))
+    rows = rows.select("model", F.col("v.vec_ids").alias("vec_id"), "batch_id", "place", F.col("v.vectors").alias("vector"), "dim")
+    return rows.where("vec_id is not null and model is not null and dim > 0 and size(vector) = dim").drop("dim")
+
+
+def matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (of one length) as a matrix, and which of them are usable: no null, all finite, not all zero."""
+    flat = vectors.flatten()
+    values = flat.to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    return values, np.isfinite(values).all(axis=1) & (values != 0).any(axis=1)
+
+
+def of_models(part: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    models = np.array(part.column("model").to_pylist(), dtype=object)
+    for model in dict.fromkeys(models.tolist()):
+        yield model, part.take(pa.array(np.flatnonzero(models == model)))
+
+
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """(model, vec_id, batch_id, place, same) of the usable vectors; same is a hash of the values."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for _, own in of_models(part):
+                for size in np.unique(own.column("vector").value_lengths().to_numpy()):
+                    some = own.take(pa.array(np.flatnonzero(own.column("vector").value_lengths().to_numpy() == size)))
+                    values, good = matrix(some.column("vector"))
+                    with np.errstate(over="ignore"):
+                        bits = (values.astype(np.float32) + np.float32(0)).view(np.uint32).astype(np.uint64)  # -0 is 0
+                        odd = mix(np.arange(1, bits.shape[1] + 1, dtype=np.uint64)) | np.uint64(1)
+                        same = mix((mix(bits + odd) * odd).sum(axis=1, dtype=np.uint64) * np.uint64(BASE & MASK) + np.uint64(size))
+                    keep = pa.array(np.flatnonzero(good))
+                    yield pa.RecordBatch.from_arrays([*(some.column(c).take(keep) for c in ("model", "vec_id", "batch_id", "place")), pa.array(same.view(np.int64)).take(keep)], ["model", "vec_id", "batch_id", "place", "same"])
+
+    return rows.mapInArrow(run, "model string, vec_id bigint, batch_id bigint, place int, same bigint")
 
 
 def usable(batches: DataFrame) -> DataFrame:
-    """(model, vec_id, vector) of the vectors that are not null, have dim elements, all finite, and are not all zero.
+    """(model, vec_id, batch_id, place, same) of the vectors that are not null, have dim elements, all finite, and are not all zero.
 
     A vector sent several times counts once; should its values differ, those of the smallest batch_id count.
     """
-    rows = batches.select("batch_id", "model", "dim", F.explode(F.arrays_zip("vec_ids", "vectors")).alias("v"))
-    rows = rows.select("batch_id", "model", "dim", F.col("v.vec_ids").alias("vec_id"), F.col("v.vectors").alias("vector"))
-    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("model").isNotNull() & (F.size("vector") == F.col("dim")) & (F.col("dim") > 0) & finite & F.exists("vector", lambda x: x != 0))
-    return rows.groupBy("model", "vec_id").agg(F.min_by("vector", "batch_id").alias("vector"))
+    first = fingerprints(exploded(batches)).groupBy("model", "vec_id").agg(F.min(F.struct("batch_id", "place", "same")).alias("f"))
+    return first.select("model", "vec_id", "f.batch_id", "f.place", "f.same")
 
 
 class SimilarVectors:
-    """Index over usable(batches): each distinct vector once, in the cell of its nearest centroid.
+    """Index over usable(batches): each distinct vector once, in the area of its nearest centroid.
 
     Copies of one vector under several ids are one row of the index with all searches done once; their
-    ids come back in the results, the smallest first, as ties go to the smaller id.
+    ids come back in the results, the smallest first, as ties go to the smaller id. What is shuffled
+    of vectors are the rows of areas and their queries; ids, copies and batches are settled on narrow tables.
     """
 
-    def __init__(self, batches: DataFrame, k: int = 5, probes: int = PROBES):
-        self.k, self.probes = k, probes
-        self.vectors = checkpoint(usable(batches).withColumn("same", F.xxhash64("model", "vector")))
+    def __init__(self, batches: DataFrame, k: int = 5, areas: int = AREAS):
+        self.k, self.areas = k, areas
+        rows = exploded(batches)
+        sent = checkpoint(fingerprints(rows))
+        first = sent.groupBy("model", "vec_id").agg(F.min(F.struct("batch_id", "place", "same")).alias("f"))
+        self.vectors = checkpoint(first.select("model", "vec_id", "f.batch_id", "f.place", "f.same"))
         # One row of the index per distinct vector: its smallest id, and the k + 1 smallest of its ids.
         ranked = Window.partitionBy("model", "same").orderBy("vec_id")
-        sizes = self.vectors.groupBy("model", "same").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
-        self.classes = checkpoint(sizes)
+        self.classes = checkpoint(self.vectors.groupBy("model", "same").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
         few = self.vectors.join(self.classes.where("copies > 1").select("model", "same"), ["model", "same"]).select("model", "same", "vec_id")
         self.first_ids = few.withColumn("r", F.row_number().over(ranked)).where(f"r <= {k + 1}").select("model", "same", "vec_id")
-        self.points = self.vectors.join(self.classes.select("model", "vec_id"), ["model", "vec_id"], "left_semi").select("model", "vec_id", "vector")
+        kept = self.vectors.join(self.classes.select("model", "same", "vec_id"), ["model", "same", "vec_id"], "left_semi")
+        key = ["model", "vec_id", "batch_id", "place"]
+        others = sent.select(*key).join(kept.select(*key), key, "left_anti")  # re-sent ones and copies, by far the fewer
+        self.points = rows.join(others, key, "left_anti").select("model", "vec_id", "vector")
+        self.amounts = {r["model"]: r["n"] for r in self.classes.groupBy("model").agg(F.count("*").alias("n")).collect()}
         self.index = self.fit()
 
     def fit(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        """By model: centroids, and the number of blocks that each cell is searched in."""
-        out = {}
-        for model, amount in sorted(map(tuple, self.points.groupBy("model").count().collect())):
-            taken = self.points.where(F.col("model") == model).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()
-            flat = taken["vector"].combine_chunks()
-            sample = unit(flat.values.to_numpy().reshape(len(flat), -1).astype(np.float64))
-            centre = centroids(sample, max(1, min(MOST_CELLS, amount // CELL)))
+        """By model: centroids of areas, and the number of blocks that each area is searched in."""
+        out, wanted = {}, F.lit(0.0)
+        for model, amount in self.amounts.items():
+            areas = max(1, min(MOST_AREAS, amount // AREA))
+            take = max(LEAST_SAMPLE, SAMPLE_OF_AREA * areas)
+            wanted = F.when(F.col("model") == model, min(1.0, take / amount)).otherwise(wanted)
+            out[model] = areas
+        # At most SAMPLE_OF_AREA * MOST_AREAS vectors of a model are expected.
+        chosen = self.points.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < wanted * (1 << 30)).select("model", "vec_id", "vector").toArrow()
+        for model, areas in out.items():
+            own = chosen.filter(pa.compute.equal(chosen["model"], model)).sort_by("vec_id")
+            values, good = matrix(own["vector"].combine_chunks()) if own.num_rows else (np.ones((1, 1)), np.ones(1, bool))
+            sample = unit(values[good].astype(np.float64))
+            centre = centroids(sample, areas)
             share = np.bincount((sample @ centre.T).argmax(axis=1), minlength=len(centre)) / len(sample)
-            out[model] = (centre, np.maximum(1, np.ceil(share * amount / BLOCK)).astype(np.int32))
+            out[model] = (centre, np.maximum(1, np.ceil(share * self.amounts[model] / BLOCK)).astype(np.int32))
         return out
 
-    def cells(self, queries: Column | None = None) -> DataFrame:
-        """A row for each vector's own place (kind 0) and one for each block that it is to be searched in (kind 1)."""
+    def spread(self, least: float, queries: Column | None = None) -> DataFrame:
+        """(key, home, asked, vec_id, vector): each vector in its own area, as part of the base and, if asked for, as a query; and as a query in other areas."""
         shared = self.points.sparkSession.sparkContext.broadcast(self.index)
         order = {m: i for i, m in enumerate(sorted(self.index))}
-        probes = self.probes
+        most = self.areas
+        apart = np.sqrt(max(2 - 2 * max(least, 0.5), 0.0))  # length of the difference of two vectors so similar
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for part in parts:
-                models = np.array(part.column("model").to_pylist(), dtype=object)
-                for model in dict.fromkeys(models.tolist()):
-                    rows = np.flatnonzero(models == model)
-                    own = part.take(pa.array(rows))
-                    ids = own.column("vec_id").to_numpy()
-                    flat = own.column("vector").flatten().to_numpy().reshape(len(ids), -1)
+                for model, own in of_models(part):
+                    values, good = matrix(own.column("vector"))
+                    own = own.take(pa.array(np.flatnonzero(good)))
+                    if not own.num_rows:
+                        continue
+                    values = unit(values[good].astype(np.float64)).astype(np.float32)
+                    ids, asked = own.column("vec_id").to_numpy(), own.column("asked").to_numpy(zero_copy_only=False)
                     centre, blocks = index[model]
-                    near = -(unit(flat.astype(np.float64)) @ centre.T)
-                    p = min(probes, len(centre))
-                    cells = np.argpartition(near, p - 1, axis=1)[:, :p] if p < len(centre) else np.argsort(near, axis=1)
-                    home = near.argmin(axis=1)
-                    spot = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-                    base_key = (order[model] << 40) | (home.astype(np.int64) << 20) | (spot % blocks[home])
-                    asked = own.column("asked").to_numpy(zero_copy_only=False)
-                    source = np.repeat(np.arange(len(ids)), p)
-                    times = blocks[cells.ravel()] * asked[source]
-                    source = np.repeat(source, times)
-                    cell = np.repeat(cells.ravel().astype(np.int64), times)
-                    block = np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
-                    keys = np.concatenate([base_key, (order[model] << 40) | (cell << 20) | block])
-                    take = np.concatenate([np.arange(len(ids)), source])
-                    kinds = np.concatenate([np.zeros(len(ids), np.int8), np.ones(len(source), np.int8)])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(kinds), pa.array(ids[take]), own.column("vector").take(pa.array(take))], ["key", "kind", "vec_id", "vector"])
+                    near = values @ centre.T
+                    best = near.argmax(axis=1)
+                    p = min(most, len(centre))
+                    listed = np.argpartition(-near, p - 1, axis=1)[:, :p] if p < len(centre) else np.tile(np.arange(p), (len(ids), 1))
+                    # The other of two similar vectors may lie in an area whose centroid is nearer to it by what their difference has along the line between centroids.
+                    between = np.linalg.norm(centre[listed] - centre[best][:, None, :], axis=2)
+                    reach = BOUND * apart / np.sqrt(centre.shape[1]) * between
+                    within = (near[np.arange(len(ids)), best][:, None] - np.take_along_axis(near, listed, axis=1) <= reach) & asked[:, None]
+                    within |= (listed == best[:, None]) & asked[:, None]
+                    source, column = np.nonzero(within)
+                    area = listed[source, column].astype(np.int64)
+                    times = blocks[area]
+                    source, area = np.repeat(source, times), np.repeat(area, times)
+                    block = np.arange(len(area)) - np.repeat(np.cumsum(times) - times, times)
+                    spot = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks[best]
+                    other = np.flatnonzero((area != best[source]) | (block != spot[source]))  # where it is at home it is one row
+                    keys = np.concatenate([(order[model] << 48) | (best.astype(np.int64) << 24) | spot, (order[model] << 48) | (area[other] << 24) | block[other]])
+                    take = np.concatenate([np.arange(len(ids)), source[other]])
+                    home = np.concatenate([np.ones(len(ids), bool), np.zeros(len(other), bool)])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(home), pa.array(np.concatenate([asked, np.ones(len(other), bool)])), pa.array(ids[take]), own.column("vector").take(pa.array(take))], ["key", "home", "asked", "vec_id", "vector"])
 
         points = self.points
         if queries is None:
             points = points.withColumn("asked", F.lit(True))
         else:  # a distinct vector is asked for if any of its ids is
-            asked = self.vectors.where(queries).select("model", "same").distinct().join(self.classes, ["model", "same"]).select("model", "vec_id", F.lit(True).alias("asked"))
-            points = points.join(asked, ["model", "vec_id"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-        return points.select("model", "vec_id", "vector", "asked").mapInArrow(run, "key bigint, kind tinyint, vec_id bigint, vector array<float>")
+            wanted = self.vectors.where(queries).select("model", "same").distinct().join(self.classes, ["model", "same"]).select("model", "vec_id", F.lit(True).alias("asked"))
+            points = points.join(wanted, ["model", "vec_id"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        return points.select("model", "vec_id", "vector", "asked").mapInArrow(run, "key bigint, home boolean, asked boolean, vec_id bigint, vector array<float>")
 
     def neighbours(self, least: float = -1.0, queries: Column | None = None) -> DataFrame:
         """(model, vec_id, other, similarity): for each distinct vector its k most similar distinct vectors of at least that similarity."""
-        shared = self.points.sparkSession.sparkContext.broadcast(self.index)
         names = sorted(self.index)
         k = self.k
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for table in sorted_groups(parts, "key", 20_000):
-                keys, kinds, ids = (table[c].to_numpy() for c in ("key", "kind", "vec_id"))
+                keys, home, asked, ids = (table[c].to_numpy() for c in ("key", "home", "asked", "vec_id"))
                 column = table["vector"].combine_chunks()
                 offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
                 edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
                 for a, b in zip(edges[:-1], edges[1:]):
                     rows = values[offsets[a] : offsets[b]].reshape(b - a, -1).astype(np.float64)
-                    split = int(np.searchsorted(kinds[a:b], 1))
-                    if not split or split == b - a:
+                    at = np.unique(ids[a:b], return_index=True)[1]  # a row that was repeated as a whole counts once
+                    own, ask = at[home[a:b][at]], at[asked[a:b][at]]
+                    if not len(own) or not len(ask):
                         continue
-                    model = names[int(keys[a]) >> 40]
-                    centre = index[model][0][(int(keys[a]) >> 20) & ((1 << 20) - 1)].astype(np.float64)
-                    q, other, value = [], [], []
-                    for i, x, s in search_block(ids[a + split : b], rows[split:], ids[a : a + split], rows[:split], centre, k, least):
-                        q.append(np.full(len(x), ids[a + split + i]))
-                        other.append(x)
-                        value.append(s)
-                    if q:
-                        q, other, value = map(np.concatenate, (q, other, value))
-                        yield pa.RecordBatch.from_arrays([pa.array([model] * len(q)), pa.array(q), pa.array(other), pa.array(value)], ["model", "vec_id", "other", "similarity"])
-
-        found = self.cells(queries).repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, "model string, vec_id bigint, other bigint, similarity double")
+                    q, other, value = search_area(ids[a:b][ask], rows[ask], ids[a:b][own], rows[own], k, least)
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array([names[int(keys[a]) >> 48]] * len(q)), pa.array(ids[a:b][ask][q]), pa.array(other), pa.array(value)], ["model", "vec_id", "other", "similarity"])
+
+        found = self.spread(least, queries).repartition("key").sortWithinPartitions("key").mapInArrow(run, "model string, vec_id bigint, other bigint, similarity double")
         best = Window.partitionBy("model", "vec_id").orderBy(F.desc("similarity"), "other")
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
 

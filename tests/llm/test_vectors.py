@@ -55,12 +55,13 @@ def test_all_neighbours_and_pairs(spark):
 
 
 def test_recall_with_cells_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "CELL", 50)
-    monkeypatch.setattr(vectors, "BLOCK", 20)
+    monkeypatch.setattr(vectors, "CELL", 20)
+    monkeypatch.setattr(vectors, "AREA", 100)
+    monkeypatch.setattr(vectors, "BLOCK", 60)
     rows = make(1, n=1500, groups=60)
     close = brute(list(range(len(rows))), rows, least=0.8)
     index = SimilarVectors(table(spark, rows))
-    assert len(index.index["m"][0]) == 30 and index.index["m"][1].max() > 1
+    assert len(index.index["m"][0]) == 15 and index.index["m"][1].max() > 1
     got = {tuple(r) for r in index.close_pairs(0.8).collect()}
     true = {(min(a, b), max(a, b)) for a, bs in close.items() for b in bs}
     assert len(got & true) / len(true) > 0.97
