@@ -1,10 +1,10 @@
 """Near-duplicate documents: packed sketches compared in tiles with exclusive-or and bit counts.
 
-A document is the set of its runs of three words; its population is the size of that set. Packed
-one-bit sketches (128 min-wise hashes, one bit of each) are compared tile by tile: rows of a tile
-are ordered by population, tile pairs whose populations differ beyond what the similarity allows
-are skipped, the others take one exclusive-or and bit count for all their pairs at once. Pairs
-within the radius are verified exactly on the sets.
+A document is the set of its runs of three words. Packed one-bit codes (128 min-wise hashes, one bit
+of each) are compared tile by tile: rows are ordered by the size of their sets; tile pairs whose codes'
+population counts differ beyond the radius, or whose sizes differ beyond what the similarity allows, are
+skipped, the others take exclusive-or and bit counts for all their pairs at once. Groups of any
+size go this one way. Pairs within the radius are verified exactly on the sets.
 
 Comparing all tiles would take quadratic time, so tiles are formed among rows that agree on three
 of the min-wise hashes in at least one of 32 bands; a pair of similarity 0.6 misses all bands with
@@ -24,13 +24,17 @@ from pyspark.sql import functions as F
 from gristmill.functions.arrow import binary_rows, hash_bytes, sorted_groups, texts_of
 from gristmill.functions.codepoints import batches, mix, shingles
 from gristmill.operators.components import connected_components
-from gristmill.session import checkpoint
+from gristmill.session import broadcast_if_small, checkpoint
 
 HASHES, BANDS, ROWS = 128, 32, 3
 SET_BITS = np.uint64(16)  # sets hold the upper 48 bits of their hashes, in six bytes each
 TILE = 128
-#: Rows of one bucket of bands that a task takes whole; beyond, they are spread over pairs of cells.
+#: Rows of one band key that a task takes whole; beyond, they are spread over pairs of cells of about so many.
 CELL = 20_000
+#: Code pairs that are compared at once.
+AT_ONCE = 1 << 21
+#: A table of ids is broadcast up to so many bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def shingle_sets(texts: list[str], width: int, min_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -77,18 +81,28 @@ def sketch(docs: DataFrame, width: int, min_words: int) -> DataFrame:
     return docs.mapInArrow(make, f"id {docs.schema['id'].dataType.simpleString()}, n int, same bigint, bits binary, bands array<bigint>")
 
 
-def tile_pairs(n: np.ndarray, bits: np.ndarray, start: int, end: int, similarity: float, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one group, ordered by population, whose sketches are within the radius."""
-    for a in range(start, end, TILE):
-        a_end = min(a + TILE, end)
-        for b in range(a, end, TILE):
-            b_end = min(b + TILE, end)
-            if n[a_end - 1] < similarity * n[b]:
-                break  # populations only grow from here on
-            apart = np.bitwise_count(bits[a:a_end, None, :] ^ bits[None, b:b_end, :]).sum(axis=2, dtype=np.int32)
-            x, y = np.nonzero((apart <= radius) & (n[a:a_end, None] >= similarity * n[None, b:b_end] - 1e-9))
-            keep = x + a < y + b
-            yield x[keep] + a, y[keep] + b
+def tile_pairs(edge: np.ndarray, n: np.ndarray, ones: np.ndarray, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and sizes of the two tiles of each pair of tiles that has to be compared; groups begin at edge, their rows ordered by n."""
+    size = np.diff(edge)
+    amount = np.where(size > 1, -(-size // TILE), 0)
+    group = np.repeat(np.arange(len(size)), amount)
+    start = edge[:-1][group] + TILE * (np.arange(len(group)) - np.repeat(np.cumsum(amount) - amount, amount))
+    length = np.minimum(start + TILE, edge[1:][group]) - start
+    base = np.cumsum(amount) - amount
+    one = [base[amount == 1]]
+    two = [base[amount == 1]]
+    for g in np.flatnonzero(amount > 1):
+        i, j = np.triu_indices(int(amount[g]))
+        one.append(base[g] + i)
+        two.append(base[g] + j)
+    one, two = np.concatenate(one), np.concatenate(two)
+    if len(start):
+        # Tiles of one group lie side by side, but rows of groups of one may stand between those of two groups.
+        bounds = np.stack([start, start + length], axis=1).ravel()
+        high, low = np.maximum.reduceat(np.append(ones, 0), bounds)[::2], np.minimum.reduceat(np.append(ones, 1 << 14), bounds)[::2]
+        near = (low[two] - high[one] <= radius) & (low[one] - high[two] <= radius) & (n[start[one] + length[one] - 1] >= similarity * n[start[two]] - 1e-9)
+        one, two = one[near], two[near]
+    return start[one], length[one], start[two], length[two]
 
 
 def compare_groups(similarity: float, radius: int):
@@ -100,41 +114,60 @@ def compare_groups(similarity: float, radius: int):
             bits = binary_rows(table["bits"].combine_chunks(), np.uint64, HASHES // 64)
             ids = table["id"].combine_chunks()
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            size = np.diff(edge)
-            left, right = [], []
-            for s in np.unique(size[(size > 1) & (size <= 24)]):  # all groups of one size at once
-                first, second = np.triu_indices(int(s), 1)
-                base = edge[:-1][size == s][:, None]
-                x, y = (base + first).ravel(), (base + second).ravel()
-                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int32)
-                keep = (apart <= radius) & (n[x] >= similarity * n[y] - 1e-9)
-                left.append(x[keep])
-                right.append(y[keep])
-            for g in np.flatnonzero(size > 24):
-                for x, y in tile_pairs(n, bits, edge[g], edge[g + 1], similarity, radius):
-                    left.append(x)
-                    right.append(y)
-            if left:
-                x, y = np.concatenate(left), np.concatenate(right)
+            one, rows, two, columns = tile_pairs(edge, n, np.bitwise_count(bits).sum(axis=1, dtype=np.int32), similarity, radius)
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            shape = rows * (TILE + 1) + columns
+            order = np.argsort(shape, kind="stable")
+            for these in np.split(order, np.flatnonzero(np.diff(shape[order])) + 1) if len(order) else ():  # all tile pairs of one shape
+                r, c = int(rows[these[0]]), int(columns[these[0]])
+                step = max(1, AT_ONCE // (r * c))
+                for k in range(0, len(these), step):
+                    x = one[these[k : k + step], None] + np.arange(r)
+                    y = two[these[k : k + step], None] + np.arange(c)
+                    apart = np.zeros((len(x), r, c), dtype=np.uint8)
+                    for w in range(HASHES // 64):
+                        apart += np.bitwise_count(bits[x, w][:, :, None] ^ bits[y, w][:, None, :])
+                    t, i, j = np.nonzero(apart <= radius)
+                    x, y = x[t, i], y[t, j]
+                    keep = (x < y) & (n[x] >= similarity * n[y] - 1e-9)
+                    left.append(x[keep])
+                    right.append(y[keep])
+            x, y = np.concatenate(left), np.concatenate(right)
+            if len(x):
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y))], ["x", "y"])
 
     return run
 
 
-def candidate_pairs(reps: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a < b) that share a band and whose sketches are within the radius."""
+def hot_keys(banded: DataFrame, total: int, limit: int) -> DataFrame | None:
+    """(key, n) of the keys that more than limit rows have; None if there are none. Keys are counted only where a bucket of keys is crowded."""
+    buckets = 1 << max(10, (4 * total // limit).bit_length())
+    bucket = F.pmod(F.hash("key"), F.lit(buckets)).alias("bucket")
+    crowded = checkpoint(banded.select(bucket).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("bucket"))
+    amount = crowded.count()
+    if not amount:
+        return None
+    rows = banded.select("key", bucket).join(broadcast_if_small(crowded, amount), "bucket", "left_semi")
+    hot = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit))
+    return hot if hot.limit(1).count() else None
+
+
+def candidate_pairs(reps: DataFrame, similarity: float, cell: int | None = None) -> DataFrame:
+    """Distinct pairs (a < b) that share a band and whose codes are within the radius.
+
+    A key with more than cell rows is spread: its rows are put in cells by the size of their sets and a hash, and each
+    pair of cells within reach is compared in a task of its own.
+    """
+    cell = cell or CELL
     spread = (HASHES * (1 - similarity) / 4) ** 0.5 * 1.1
     radius = int(HASHES * (1 - similarity) / 2 + 4.5 * spread)
     banded = reps.select("id", "n", "bits", F.explode("bands").alias("key"))
-    bucket = F.pmod("key", F.lit(1 << 16))
-    total = reps.count() * BANDS
-    limit = max(10 * CELL, 4 * total // (1 << 16))
-    hot = {r["bucket"]: r["count"] for r in banded.groupBy(bucket.alias("bucket")).count().where(F.col("count") > limit).collect()}  # at most 65536 rows
-    plain = banded if not hot else banded.where(~bucket.isin(list(hot)))
-    if hot:
-        cells = F.create_map(*[F.lit(x) for k, v in hot.items() for x in (int(k), -(-v // CELL))])[bucket].cast("int")
+    plain, hot = banded, hot_keys(banded, reps.count() * BANDS, cell)
+    if hot is not None:
+        marked = banded.join(broadcast_if_small(hot.withColumnRenamed("n", "rows"), hot.count()), "key", "left")
+        plain = marked.where("rows is null").select("id", "n", "bits", "key")
         step = F.floor(F.log(F.col("n")) / float(np.log(1 / similarity)) * 2).cast("int")  # rows in reach are within two steps
-        salted = banded.where(bucket.isin(list(hot))).withColumn("cells", cells).withColumn("cell", step * F.col("cells") + F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
+        salted = marked.where("rows is not null").withColumn("cells", F.ceil(F.col("rows") / cell).cast("int")).withColumn("cell", step * F.col("cells") + F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
         near = F.sequence((step - 2) * F.col("cells"), (step + 3) * F.col("cells") - 1)
         salted = salted.withColumn("other", F.explode(near))
         plain = plain.unionByName(salted.select("id", "n", "bits", F.xxhash64("key", F.least("cell", "other"), F.greatest("cell", "other")).alias("key")))
@@ -228,8 +261,9 @@ class NearDuplicates:
         #: One row for each distinct set: its smallest id and how many documents have it.
         self.classes = checkpoint(self.sketches.groupBy("same", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bits").alias("bits"), F.first("bands").alias("bands")))
         pairs = checkpoint(candidate_pairs(self.classes, similarity))
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        needed = docs.join(F.broadcast(ends) if ends.count() <= 500_000 else ends, "id", "left_semi")
+        ends = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        size = ends.agg(F.sum(F.octet_length(F.col("id").cast("string")) + 32)).first()[0] or 0
+        needed = docs.join(F.broadcast(ends) if size <= BROADCAST_BYTES else ends, "id", "left_semi")
         #: Pairs of class representatives, with their exact similarity.
         self.links = checkpoint(verified(pairs, set_table(needed, width, min_words), similarity))
 
@@ -239,17 +273,23 @@ class NearDuplicates:
         single = self.classes.where("copies = 1").select("id", F.col("id").alias("rep"))
         return self.sketches.select("id", "same", "n").join(many, ["same", "n"]).select("id", "rep").unionByName(single)
 
+    def representative_pairs(self) -> DataFrame:
+        """(a, b, similarity, copies_a, copies_b): the links between distinct texts, each by its smallest id; with members() the whole result at any size."""
+        copies = self.classes.select("id", "copies")
+        one = self.links.join(copies.select(F.col("id").alias("a"), F.col("copies").alias("copies_a")), "a")
+        return one.join(copies.select(F.col("id").alias("b"), F.col("copies").alias("copies_b")), "b").select("a", "b", "similarity", "copies_a", "copies_b")
+
     def pairs(self, expand: int = 1000) -> DataFrame:
-        """Pairs of documents (a < b).
+        """Pairs of documents (a < b), written out from representative_pairs() and members().
 
-        Groups of up to expand exact copies are written out in full. A larger group is written as
-        a star: each member with its representative, which alone has the group's other links.
+        A group of up to expand exact copies has all its pairs and all links of each copy. A larger group, whose
+        pairs would grow with its square, is a star: each member with its representative, which has the links
+        of all. So every link between different texts is there at any size of groups.
         """
-        many = self.classes.where(f"copies > 1 and copies <= {expand}").select("same", "n", F.col("id").alias("rep"))
-        big = self.classes.where(f"copies > {expand}").select("same", "n", F.col("id").alias("rep"))
-        copies = self.sketches.select("id", "same", "n").join(many, ["same", "n"]).select("id", "rep")
+        members = checkpoint(self.members().join(self.classes.where("copies > 1").select(F.col("id").alias("rep"), "copies"), "rep"))
+        copies = members.where(F.col("copies") <= expand).select("id", "rep")
         inside = copies.select(F.col("id").alias("a"), "rep").join(copies.select(F.col("id").alias("b"), "rep"), "rep").where("a < b").select("a", "b")
-        star = self.sketches.select("id", "same", "n").join(big, ["same", "n"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+        star = members.where((F.col("copies") > expand) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("id").alias("b"))
         lists = copies.groupBy("rep").agg(F.collect_list("id").alias("ids"))  # at most expand ids each
         across = self.links.select("a", "b").join(lists.select(F.col("rep").alias("a"), F.col("ids").alias("xs")), "a", "left").join(lists.select(F.col("rep").alias("b"), F.col("ids").alias("ys")), "b", "left")
         across = across.select(F.explode(F.coalesce("xs", F.array("a"))).alias("x"), F.coalesce("ys", F.array("b")).alias("ys")).select("x", F.explode("ys").alias("y"))

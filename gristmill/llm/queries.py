@@ -51,6 +51,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(spark, folder).pairs().select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p4_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The links of p4_found between distinct texts, each by its smallest id, with similarity and numbers of copies."""
+    rows = near_duplicates(spark, folder).representative_pairs()
+    return rows.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), F.round("similarity", 6).alias("similarity"), "copies_a", "copies_b")
+
+
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document, by five-word runs at similarity 0.8: its group, links and copies; shorter texts by all their words."""
     return NearDuplicates(documents(spark, folder), width=5, min_words=5, unique_ids=True).every_group().withColumnRenamed("id", "doc_id")
@@ -85,7 +91,7 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality(documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_top5, p3_found, p3_bodies, p4_found, p4_groups, p5_found, p5_pieces, p6_containers, p7_found, p7_report, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_top5, p3_found, p3_bodies, p4_found, p4_links, p4_groups, p5_found, p5_pieces, p6_containers, p7_found, p7_report, p8_found, p8_statistics)}
 
 ORACLE = {
     "p5_found": "SELECT d.doc_id FROM documents d JOIN ingest_specs s ON d.corpus = s.documents WHERE length(d.text) > 4 * s.size_tokens",

@@ -55,6 +55,42 @@ def test_hot_buckets_are_spread_without_loss(spark, monkeypatch):
     assert {tuple(r) for r in whole} == {tuple(r) for r in neardup.candidate_pairs(got.classes, 0.6).collect()}
 
 
+def test_one_key_of_a_hundred_times_the_limit(spark):
+    rng = np.random.default_rng(5)
+    seed = rng.integers(0, 256, size=(20, 16), dtype=np.uint8)
+    codes = seed[rng.integers(20, size=1000)] ^ np.packbits(rng.random((1000, 128)) < 0.06, axis=1)
+    n = rng.integers(40, 400, size=1000)
+    rows = [(i, int(n[i]), bytes(codes[i]), [7, i % 11 + 100, 10_000 + i]) for i in range(1000)]
+    reps = spark.createDataFrame(rows, "id long, n int, bits binary, bands array<long>")
+    assert neardup.hot_keys(reps.selectExpr("explode(bands) AS key"), 3000, 10).where("key = 7").first()["n"] == 1000
+    radius = int(128 * 0.4 / 2 + 4.5 * (128 * 0.4 / 4) ** 0.5 * 1.1)
+    apart = np.unpackbits(codes[:, None] ^ codes[None], axis=2).sum(axis=2, dtype=int)
+    true = {(a, b) for a, b in zip(*np.nonzero(apart <= radius)) if a < b and min(n[a], n[b]) >= 0.6 * max(n[a], n[b]) - 1e-9}
+    assert {tuple(r) for r in neardup.candidate_pairs(reps, 0.6, cell=10).collect()} == true
+    assert {tuple(r) for r in neardup.candidate_pairs(reps, 0.6).collect()} == true and neardup.hot_keys(reps.selectExpr("explode(bands) AS key"), 3000, 20_000) is None
+
+
+def test_tile_pairs_are_skipped_by_population_counts(monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 4)
+    ones, n = np.repeat([10, 60, 90], 4), np.full(12, 100)
+    one, _, two, _ = neardup.tile_pairs(np.array([0, 12]), n, ones, 0.6, 35)
+    assert set(zip(one.tolist(), two.tolist())) == {(0, 0), (4, 4), (8, 8), (4, 8)}  # ten and sixty are beyond the radius
+    one, rows, two, columns = neardup.tile_pairs(np.array([0, 1, 3, 4, 10]), np.arange(10) + 100, np.full(10, 64), 0.6, 35)
+    assert sorted(zip(one.tolist(), rows.tolist(), two.tolist(), columns.tolist())) == [(1, 2, 1, 2), (4, 4, 4, 4), (4, 4, 8, 2), (8, 2, 8, 2)]
+    assert len(neardup.tile_pairs(np.array([0]), n[:0], ones[:0], 0.6, 35)[0]) == 0
+
+
+def test_no_link_between_texts_is_lost_at_any_size_of_groups(spark):
+    docs = corpus(4)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = NearDuplicates(frame, similarity=0.6, width=3)
+    rep = {r["id"]: r["rep"] for r in got.members().collect()}
+    between = {(min(rep[a], rep[b]), max(rep[a], rep[b])) for a, b in brute(docs, 3, 0.6, 40) if rep[a] != rep[b]}
+    assert {(r["a"], r["b"]) for r in got.representative_pairs().collect()} == between
+    for expand in (1, 3, 1000):
+        assert {(min(rep[a], rep[b]), max(rep[a], rep[b])) for a, b in map(tuple, got.pairs(expand).collect()) if rep[a] != rep[b]} == between
+
+
 def test_groups(spark):
     docs = corpus(2)
     got = NearDuplicates(spark.createDataFrame(docs, "doc_id long, text string"), similarity=0.6, width=3)
