@@ -30,7 +30,8 @@ BOILERPLATE = (
     r"subscribe to our newsletter",
     r"terms of (service|use)",
 )
-BOILERPLATE_WORDS = r"(?iU)©|copyright|all rights reserved|cookie (?:policy|preferences|settings)|about us|contact|careers|home|our newsletter|terms of (?:service|use)"
+#: Every such line has one of these, lower-cased.
+BOILERPLATE_MARKS = ("©", "copyright", "all rights reserved", "cookie p", "cookie s", "about us", "contact", "careers", "home", "our newsletter", "terms of ")
 LEAST_CHARS = 80
 
 # What personal data looks like, in order, and what replaces it.
@@ -105,7 +106,11 @@ def without_boilerplate(text: Column) -> Column:
     lines = F.split(text, LINE_END)
     kept = F.filter(lines, lambda line: ~line.rlike("(?iU)" + "|".join(f"(?:{p})" for p in BOILERPLATE)))
     # Only texts with one of the words that such lines have are taken apart.
-    whole = F.when(text.rlike(BOILERPLATE_WORDS), F.array_join(kept, "\n")).otherwise(F.regexp_replace(text, LINE_END, "\n"))
+    folded = F.translate(F.lower(text), "\u017f", "s")
+    marked = F.lit(False)
+    for mark in BOILERPLATE_MARKS:
+        marked = marked | F.contains(folded, F.lit(mark))
+    whole = F.when(marked, F.array_join(kept, "\n")).otherwise(F.regexp_replace(text, LINE_END, "\n"))
     return strip(F.regexp_replace(whole, "\n{3,}", "\n\n"))
 
 

@@ -23,8 +23,7 @@ SECURITY = ("none", "prompt_isolation", "injection_filter", "answer_integrity")
 
 def index(docs: DataFrame, kind: str = "structure", size: int = 350, overlap: int = 60) -> DataFrame:
     """Chunks of (doc_id, path, text, verified, trust_score) with their vectors."""
-    cut = chunk(docs, kind, size, overlap)
-    cut = cut.join(docs.select("doc_id", "path", "verified", "trust_score"), "doc_id")
+    cut = chunk(docs, kind, size, overlap, keep=("path", "verified", "trust_score"))
     return cut.select("doc_id", "chunk_id", F.col("path").alias("source"), "section", F.col("chunk").alias("text"), "verified", "trust_score", hashed_embedding(F.col("chunk")).alias("vector"))
 
 

@@ -11,9 +11,9 @@ from gristmill.operators import analytics as A
 from gristmill.operators import evaluation as E
 from gristmill.operators import suites
 from gristmill.operators.attacks import HELDOUT, PAYLOADS, SEEN, canaries, foreign_markers, injections, poison, targets
-from gristmill.operators.chunking import chunk
+from gristmill.operators.chunking import chunk, chunk_by_specs
 from gristmill.operators.drift import canonical_names, changes, drift_report, instant, profiles, steps, unify_kind
-from gristmill.operators.filters import apply_filter, apply_filters, drop_rates, filter_after, provenance
+from gristmill.operators.filters import apply_filter, drop_rates, dropped, filter_after, outcomes, provenance
 from gristmill.operators.retrieval import exact_top_k, extractive_answers, hashed_embedding, prompts, rerank
 from gristmill.operators.store import drill_down, newest_runs, next_pending
 from gristmill.session import checkpoint, read_table
@@ -129,7 +129,7 @@ def dedup_first_wins(spark, folder):
 
 @query(f"WITH {FIRSTS} SELECT 0 AS filter_no, 'dedup' AS filter, doc_id, 'exact_duplicate' AS reason FROM firsts WHERE place > 1")
 def dedup_audit(spark, folder):
-    return apply_filters(tables(spark, folder, "documents"), ["dedup"])[1]
+    return dropped(tables(spark, folder, "documents"), ["dedup"])
 
 
 @query(f"SELECT doc_id, {GATE} AS is_english FROM documents")
@@ -157,10 +157,9 @@ SELECT filter_no, filter, dropped, round_even(dropped / (SELECT count(*) FROM do
 def filter_chain_report(spark, folder):
     docs = tables(spark, folder, "documents")
     names = ["dedup", "language", "boilerplate"]
-    audit = apply_filters(docs, names)[1].groupBy("filter_no").agg(F.count("*").alias("dropped"))
-    listed = spark.createDataFrame(list(enumerate(names)), "filter_no int, filter string").join(audit, "filter_no", "left")
-    total = docs.agg(F.count("*").alias("total"))  # one row
-    rows = listed.crossJoin(total).withColumn("dropped", F.coalesce("dropped", F.lit(0)))
+    counted = outcomes(docs, [names], F.array(*map(F.lit, names))).groupBy("dropped").agg(F.count("*").alias("n"))
+    one = counted.agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct(F.coalesce("dropped", F.lit(-1)), "n"))).alias("by"))  # one row
+    rows = one.select("total", "by", F.posexplode(F.array(*map(F.lit, names))).alias("filter_no", "filter")).withColumn("dropped", F.coalesce(F.try_element_at("by", F.col("filter_no")), F.lit(0)))
     return rows.select("filter_no", "filter", "dropped", F.bround(F.col("dropped") / F.col("total"), 4).alias("rate"))
 
 
@@ -212,14 +211,49 @@ def usage_sum(spark, folder):
     return tables(spark, folder, "embed_results").groupBy("model").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.count("*").alias("batches"))
 
 
-@query()
+def _chunk_sql(size: int, overlap: int) -> str:
+    """Windows by recursion: the last word that fits and the first of the next window are known for every word by nearest-row joins."""
+    return f"""WITH RECURSIVE parts AS (SELECT doc_id, regexp_extract_all(text, '[{WS}]+|[^{WS}]+') AS p FROM documents WHERE text IS NOT NULL),
+runs AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS w FROM parts), placed AS (SELECT doc_id, w, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS e FROM runs),
+words AS (SELECT doc_id, e - length(w) AS s, e, row_number() OVER (PARTITION BY doc_id ORDER BY e) AS n FROM placed WHERE regexp_matches(w, '[^{WS}]')),
+lasts AS (SELECT a.doc_id, a.n, a.s, greatest(a.n, coalesce(b.n, 0)) AS last FROM words a ASOF LEFT JOIN words b ON a.doc_id = b.doc_id AND a.s + {size} >= b.e),
+ends AS (SELECT l.*, w.e, max(l.n) OVER (PARTITION BY l.doc_id) AS final FROM lasts l JOIN words w ON l.doc_id = w.doc_id AND l.last = w.n),
+steps AS (SELECT e.doc_id, e.n, e.s, e.e, e.last < e.final AS more, greatest(e.n + 1, least(e.last + 1, coalesce(w.n, e.last + 1))) AS following FROM ends e ASOF LEFT JOIN words w ON e.doc_id = w.doc_id AND e.e - {overlap} <= w.s),
+chain AS (SELECT doc_id, 0 AS chunk_no, s, e, more, following FROM steps WHERE n = 1 UNION ALL SELECT c.doc_id, c.chunk_no + 1, t.s, t.e, t.more, t.following FROM chain c JOIN steps t ON c.doc_id = t.doc_id AND c.following = t.n WHERE c.more)
+SELECT c.doc_id, c.chunk_no::INT AS chunk_no, substr(sha1(c.doc_id || ':' || s || ':' || e), 1, 16) AS chunk_id, s::INT AS "start", e::INT AS "end", NULL::VARCHAR AS section, sha1(substr(d.text, s + 1, e - s)) AS digest FROM chain c JOIN documents d ON c.doc_id = d.doc_id"""
+
+
+def _digested(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("digest", F.sha1("chunk")).drop("chunk")
+
+
+@query(_chunk_sql(1400, 240))
 def chunk_fixed(spark, folder):
-    return chunk(tables(spark, folder, "documents"), "fixed").drop("chunk")
+    return _digested(chunk(tables(spark, folder, "documents"), "fixed"))
 
 
 @query()
 def chunk_structure(spark, folder):
-    return chunk(tables(spark, folder, "documents"), "structure").drop("chunk")
+    return _digested(chunk(tables(spark, folder, "documents"), "structure"))
+
+
+@query()
+def chunk_corpora(spark, folder):
+    """Every document by the chunker that its corpus names in ingest_specs."""
+    return _digested(chunk_by_specs(*tables(spark, folder, "documents", "ingest_specs")))
+
+
+# Sections of documents and whether they are cut further: what chunk_structure's chunks must tile.
+HEADED = f"""heads AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS line FROM (SELECT doc_id, regexp_extract_all(text, '[^\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]+') AS p FROM documents WHERE text IS NOT NULL))"""
+
+
+@query(f"""WITH {HEADED} SELECT doc_id, regexp_replace(regexp_extract(line, '^#{{1,6}}[{WS}]+(.*)$', 1), '[{WS}]+$', '') AS title, count(*) AS n FROM heads WHERE regexp_matches(line, '^#{{1,6}}[{WS}]+.*[^{WS}]') GROUP BY ALL""")
+def chunk_headings(spark, folder):
+    """How often each heading of a document begins a section, read from the sections of its chunks."""
+    chunks = chunk(tables(spark, folder, "documents"), "structure").where("section is not null")
+    begins = chunks.where(F.col("chunk").rlike("^#{1,6}[" + WS + "]"))
+    last = F.element_at(F.split("section", " › "), -1)
+    return begins.groupBy("doc_id", last.alias("title")).agg(F.count("*").alias("n"))
 
 
 @query()

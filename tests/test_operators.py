@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gristmill.operators import analytics as A
 from gristmill.operators import evaluation as E
 from gristmill.operators.attacks import canaries, foreign_markers, injections, poison, targets
-from gristmill.operators.chunking import chunk, sections, windows
+from gristmill.functions.codepoints import Batch
+from gristmill.operators.chunking import chunk, chunk_by_specs, spans
 from gristmill.operators.components import connected_components
 from gristmill.operators.filters import apply_filters, filter_after, guard
 from gristmill.operators.retrieval import VectorIndex, exact_top_k, extractive_answers, hashed_embedding, prompts, rerank
@@ -57,17 +58,44 @@ def slow_windows(text, size, overlap):
     return out
 
 
+def cut(text, structure, size, overlap):
+    _, start, end, section = spans(Batch([text]), [text], structure, size, overlap)
+    return list(zip(start.tolist(), end.tolist(), section))
+
+
 def test_windows_equal_brute_force():
     rng = random.Random(3)
-    for _ in range(200):
-        text = " ".join("x" * rng.randint(1, 12) for _ in range(rng.randint(0, 60)))
-        assert windows(text, 30, 10) == slow_windows(text, 30, 10)
+    texts = [" ".join("x" * rng.randint(1, 12) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    owner, start, end, _ = spans(Batch(texts), texts, False, 30, 10)
+    for i, text in enumerate(texts):
+        assert list(zip(start[owner == i].tolist(), end[owner == i].tolist())) == slow_windows(text, 30, 10)
 
 
 def test_sections():
     text = "intro\n# A\none\n### B\ntwo\n## C\nthree\n"
-    assert [(text[a:b].split("\n")[0], s) for a, b, s in sections(text)] == [("intro", None), ("# A", "A"), ("### B", "A › B"), ("## C", "A › C")]
-    assert sections("no heading") == []
+    assert [(text[a:b].split("\n")[0], s) for a, b, s in cut(text, True, 100, 10)] == [("intro", None), ("# A", "A"), ("### B", "A › B"), ("## C", "A › C")]
+    assert cut("no heading", True, 100, 10) == [(0, 10, None)] and cut(" \n", True, 100, 10) == [] and cut("", False, 100, 10) == []
+    assert [s for *_, s in cut("# \n#none\n####### x\n#\tY \r\n\x85###### Z", True, 100, 10)] == [None, "Y", "Y › Z"]
+
+
+def test_sections_of_all_texts_of_a_batch_are_apart():
+    rng = random.Random(4)
+    texts = ["\n".join(rng.choice(["# a", "## b", "### c", "word " * rng.randint(1, 30), ""]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    owner, start, end, section = spans(Batch(texts), texts, True, 40, 10)
+    for i, text in enumerate(texts):
+        assert list(zip(start[owner == i].tolist(), end[owner == i].tolist(), [s for o, s in zip(owner, section) if o == i])) == cut(text, True, 40, 10)
+
+
+def test_chunks_by_the_settings_of_corpora(spark):
+    text = "# H\n" + "word " * 60
+    docs = spark.createDataFrame([(1, text, "a", 7), (2, text, "b", 8), (3, text, "c", 9), (4, None, "a", 0)], "doc_id long, text string, corpus string, size_tokens int")
+    specs = spark.createDataFrame([(1, "a", "fixed", 25, 5), (2, "b", "structure", 200, 10), (0, "b", "structure", 100, 10), (3, "d", "fixed", 20, 1)], "spec_id int, documents string, chunker_type string, size_tokens int, overlap_tokens int")
+    got = chunk_by_specs(docs, specs, keep=("corpus",)).collect()
+    assert {(r["doc_id"], r["section"]) for r in got} == {(1, None), (2, "H")} and {r["corpus"] for r in got} == {"a", "b"}
+    assert [r["end"] - r["start"] for r in got if r["doc_id"] == 2] == [len(text)]
+    with pytest.raises(ValueError, match="smaller"):
+        chunk(docs, "fixed", 10, 10)
+    assert chunk(docs.limit(0)).count() == 0
 
 
 def test_chunks_are_slices(spark):
