@@ -39,6 +39,8 @@ CELL = 250  # vectors per cell
 CELL_SAMPLE = 4_096
 #: Rows of one area that a task compares at once; a larger area is searched in blocks, each by all its queries.
 BLOCK = 40_000
+#: Without a wanted similarity, areas and cells are chosen as for this one.
+LEAST_REACH = 0.5
 BOUND = 2.6  # half-width of the error bound, in standard deviations of the estimate (0.3 % of the bounds fail)
 PLANES = 4  # bits of a query's quantised coordinates
 SLICE = 256  # queries that are compared with a cell at once
@@ -95,14 +97,23 @@ class Codes:
         low = residual.min(axis=1, keepdims=True)
         step = np.maximum((residual.max(axis=1, keepdims=True) - low) / ((1 << PLANES) - 1), 1e-12)
         u = np.rint((residual - low) / step).astype(np.uint8)
-        shared = np.zeros((len(query), len(self.code)), dtype=np.uint16)
-        for j in range(PLANES):
-            plane = np.packbits((u >> j) & 1, axis=1, bitorder="little").view(np.uint64)
-            for w in range(plane.shape[1]):
-                shared += np.bitwise_count(plane[:, w, None] & self.code[None, :, w]).astype(np.uint16) << j
+        planes = [np.packbits((u >> j) & 1, axis=1, bitorder="little").view(np.uint64) for j in range(PLANES)]
+        shared = np.zeros((len(query), len(self.code)), dtype=np.float32)
+        for w in range(self.code.shape[1]):
+            for j in range(0, PLANES, 2):  # two planes add up to at most 192 in a byte
+                pair = np.bitwise_count(planes[j + 1][:, w, None] & self.code[:, w])
+                pair <<= 1
+                pair += np.bitwise_count(planes[j][:, w, None] & self.code[:, w])
+                shared += np.multiply(pair, np.float32(1 << j), dtype=np.float32)
         total = low[:, 0] * self.bits + step[:, 0] * u.sum(axis=1)  # of the quantised residual
-        inner = 2 * (low.astype(np.float32) * self.ones + step.astype(np.float32) * shared) - total.astype(np.float32)[:, None]
-        value = inner * self.weight + self.along + (query @ self.centre).astype(np.float32)[:, None]
+        # value = (2 * (low * ones + step * shared) - total) * weight + along + <q, c>, with the terms that don't need a pair taken together
+        shared *= 2 * step.astype(np.float32)
+        shared -= total.astype(np.float32)[:, None]
+        shared += 2 * low.astype(np.float32) * self.ones
+        shared *= self.weight
+        shared += self.along
+        shared += (query @ self.centre).astype(np.float32)[:, None]
+        value = shared
         length = np.linalg.norm(residual, axis=1).astype(np.float32)
         rough = (step[:, 0] * np.sqrt(self.bits / 12)).astype(np.float32)  # what quantising adds
         return value, BOUND * (length[:, None] * self.spread + rough[:, None] * self.weight)
@@ -126,6 +137,27 @@ def first_of(groups: np.ndarray, similarity: np.ndarray, ids: np.ndarray, k: int
     return order[place < k]
 
 
+def within_reach(rows: np.ndarray, centre: np.ndarray, most: int, least: float, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, centroid) of the centroids near each row, the nearest and up to most in all, where the other of two vectors of similarity least may be.
+
+    That one may have another nearest centroid by what the difference of the two has along the line between
+    the centroids, which for a difference in a random direction is normal with deviation length / sqrt(dim).
+    """
+    near = rows @ centre.T
+    best = near.argmax(axis=1)
+    if most < len(centre):
+        listed = np.argpartition(-near, most - 1, axis=1)[:, :most]
+    else:
+        listed = np.broadcast_to(np.arange(len(centre)), near.shape)
+    apart = np.sqrt(max(2 - 2 * max(least, LEAST_REACH), 0.0))
+    product = centre @ centre.T if len(centre) <= 1024 else None
+    along = product[listed, best[:, None]] if product is not None else np.einsum("ijk,ik->ij", centre[listed], centre[best])
+    between = np.sqrt(np.maximum(2 - 2 * along, 0))
+    behind = near[np.arange(len(rows)), best][:, None] - np.take_along_axis(near, listed, axis=1)
+    row, column = np.nonzero((behind <= BOUND * apart / np.sqrt(centre.shape[1]) * between) | (listed == best[:, None]))
+    return row + first, listed[row, column].astype(np.int64)
+
+
 def search_area(q_ids: np.ndarray, query: np.ndarray, b_ids: np.ndarray, base: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query numbers, ids and exact rounded cosines of the k best of each query among the base, itself left out."""
     dim = base.shape[1]
@@ -138,10 +170,10 @@ def search_area(q_ids: np.ndarray, query: np.ndarray, b_ids: np.ndarray, base: n
     b_unit, b_ids = b_unit[order], b_ids[order]
     edges = np.searchsorted(home[order], np.arange(len(centre) + 1))
     p = min(PROBES, len(centre))
-    near = np.concatenate([np.argpartition(-(q_unit[i : i + 8192].astype(np.float32) @ centre.T), p - 1, axis=1)[:, :p] for i in range(0, len(query), 8192)])
-    asked = np.argsort(near.ravel(), kind="stable")
-    who = asked // p
-    marks = np.searchsorted(near.ravel()[asked], np.arange(len(centre) + 1))
+    who, cell = (np.concatenate(x) for x in zip(*(within_reach(q_unit[i : i + 8192].astype(np.float32), centre, p, least, i) for i in range(0, len(query), 8192))))
+    asked = np.argsort(cell, kind="stable")
+    who = who[asked]
+    marks = np.searchsorted(cell[asked], np.arange(len(centre) + 1))
     found: list[list[np.ndarray]] = [[], [], []]
     for c in range(len(centre)):
         a, b = edges[c], edges[c + 1]
@@ -268,7 +300,6 @@ class SimilarVectors:
         shared = self.points.sparkSession.sparkContext.broadcast(self.index)
         order = {m: i for i, m in enumerate(sorted(self.index))}
         most = self.areas
-        apart = np.sqrt(max(2 - 2 * max(least, 0.5), 0.0))  # length of the difference of two vectors so similar
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -281,17 +312,9 @@ class SimilarVectors:
                     values = unit(values[good].astype(np.float64)).astype(np.float32)
                     ids, asked = own.column("vec_id").to_numpy(), own.column("asked").to_numpy(zero_copy_only=False)
                     centre, blocks = index[model]
-                    near = values @ centre.T
-                    best = near.argmax(axis=1)
-                    p = min(most, len(centre))
-                    listed = np.argpartition(-near, p - 1, axis=1)[:, :p] if p < len(centre) else np.tile(np.arange(p), (len(ids), 1))
-                    # The other of two similar vectors may lie in an area whose centroid is nearer to it by what their difference has along the line between centroids.
-                    between = np.linalg.norm(centre[listed] - centre[best][:, None, :], axis=2)
-                    reach = BOUND * apart / np.sqrt(centre.shape[1]) * between
-                    within = (near[np.arange(len(ids)), best][:, None] - np.take_along_axis(near, listed, axis=1) <= reach) & asked[:, None]
-                    within |= (listed == best[:, None]) & asked[:, None]
-                    source, column = np.nonzero(within)
-                    area = listed[source, column].astype(np.int64)
+                    best = (values @ centre.T).argmax(axis=1)
+                    source, area = within_reach(values, centre, most, least)
+                    source, area = source[asked[source]], area[asked[source]]
                     times = blocks[area]
                     source, area = np.repeat(source, times), np.repeat(area, times)
                     block = np.arange(len(area)) - np.repeat(np.cumsum(times) - times, times)
