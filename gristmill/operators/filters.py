@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.functions.filtering import with_steps
+from gristmill.session import checkpoint
 
 REASONS = {"dedup": "exact_duplicate", "language": "not_english", "boilerplate": "too_little_content", "pii": "redacted"}
 
@@ -67,6 +68,7 @@ def outcomes(docs: DataFrame, chains: list[list[str]], chain: Column, group: Col
     state = with_steps(rows, ["group", "doc_id", "order"], "chain")
     failed = F.array_position(F.transform("steps", lambda x: F.coalesce(x["ok"], F.lit(True))), False) - 1
     state = state.select("group", "doc_id", "order", F.when(failed >= 0, failed.cast("int")).alias("dropped"), *(F.get("steps", F.lit(i))["digest"].alias(f"d{i}") for i in places))
+    state = checkpoint(state) if places else state  # narrow, and read twice for each place
     for i in places:
         inside = F.col(f"d{i}").isNotNull() & (F.col("dropped").isNull() | (F.col("dropped") > i))
         first = state.where(inside).groupBy("group", F.col(f"d{i}").alias("digest")).agg(F.min("order").alias("first"), F.count("*").alias("copies")).where("copies > 1").select(F.col("group").alias("g"), "digest", "first")
