@@ -4,9 +4,10 @@ Sizes are tokens of a public byte-pair tokeniser. Texts are cut into the tokenis
 operations, and each distinct word is encoded once per process, so counts are those of the tokeniser
 although most text never passes through it. Items go, largest first, into the bin with the least
 room that still takes them; each bin carries bitmaps of its sources and duplicate clusters, and
-the search goes on to the next larger residual until a compatible bin is found. Two copies of one text
-never share a bin. Sources are kept apart as long as some open bin allows it; an item that finds none
-takes the tightest bin without a copy of it, so that a source with most of the rows costs no space.
+the search goes on to the next larger residual until a compatible bin is found. Two members of one cluster
+(equal texts, or the groups that the caller names) never share a bin. Sources are kept apart as long as some open
+bin allows it; an item that finds none takes the tightest bin without its cluster and is marked, or opens a
+new one if the caller refuses such conflicts, which costs space where a source has most of the rows.
 
 Packing runs in shards of some ten thousand items, spread by hash; each leaves a few bins open, so the
 waste against one global packing is under a bin or two per shard.
@@ -33,13 +34,16 @@ SHARD = 10_000
 MOST_TASKS = 20_000
 
 
-def encoding(path: str):
+def encoding(path: str, data: bytes | None = None):
+    """The tokeniser of a vocabulary file; executors are given its bytes, so that only the driver needs the file."""
     cache = worker_cache()
     if ("encoding", path) not in cache:
         import tiktoken
 
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        if data is None:
+            with open(path, "rb") as file:
+                data = file.read()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         cache["encoding", path] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return cache["encoding", path]
 
@@ -100,9 +104,11 @@ def token_counts(batch: Batch, path: str) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def items(docs: DataFrame, capacity: int, path: str) -> DataFrame:
     """Texts, or pieces of texts above the capacity: id, piece, start, end (code points), tokens, copy (hash)."""
+    with open(path, "rb") as file:
+        vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding(path)
+        encoding(path, vocabulary.value)
         for part in parts:
             texts = texts_of(part.column("text"))
             for first, _, batch in batches(texts):
@@ -156,8 +162,8 @@ class Bins:
     same sources are passed over together.
     """
 
-    def __init__(self, capacity: int):
-        self.capacity, self.present = capacity, 0
+    def __init__(self, capacity: int, refuse: bool = False):
+        self.capacity, self.refuse, self.present = capacity, refuse, 0
         self.groups: dict[int, dict[int, list[int]]] = {}
         self.copies: list[int] = []
         self.last: tuple = (None, 0)
@@ -172,21 +178,21 @@ class Bins:
             step = (above & -above).bit_length() - 1
             at += step
             for sources, bins in self.groups[at].items():
-                if sources & source and spare is not None:
+                if sources & source and (spare is not None or self.refuse):
                     continue
                 for place in range(len(bins) - 1, -1, -1):
                     if not self.copies[bins[place]] & copy:
                         if not sources & source:
                             self.last = ((size, source, copy), at)
                             return at, sources, place
-                        spare = (at, sources, place)
+                        spare = None if self.refuse else (at, sources, place)
                         break
             above >>= step + 1
             at += 1
         return spare
 
-    def put(self, size: int, source: int, copy: int) -> int:
-        """The bin for an item; source and copy are single bits."""
+    def put(self, size: int, source: int, copy: int) -> tuple[int, bool]:
+        """The bin for an item, and whether it holds its source already; source and copy are single bits."""
         found = self.find(size, source, copy)
         if found is None:
             residual, sources, b = self.capacity, 0, len(self.copies)
@@ -203,12 +209,12 @@ class Bins:
         if residual > size:
             self.groups.setdefault(residual - size, {}).setdefault(sources | source, []).append(b)
             self.present |= 1 << (residual - size)
-        return b
+        return b, bool(sources & source)
 
 
-def pack_shard(tokens: list[int], sources: list, copies: list[int], capacity: int) -> list[int]:
-    """The bin of each item: largest first, copies of one text next to one another."""
-    bins, out = Bins(capacity), [0] * len(tokens)
+def pack_shard(tokens: list[int], sources: list, copies: list[int], capacity: int, refuse: bool = False) -> list[tuple[int, bool]]:
+    """The bin of each item and whether its source was in there: largest first, members of one cluster next to one another."""
+    bins, out = Bins(capacity, refuse), [(0, False)] * len(tokens)
     source_bit: dict = {}
     copy_bit: dict[int, int] = {}
     often: dict[int, int] = {}
@@ -221,12 +227,15 @@ def pack_shard(tokens: list[int], sources: list, copies: list[int], capacity: in
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per text or piece: id, piece, start, end (code points), tokens, container.
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", clusters: DataFrame | None = None, refuse: bool = False) -> DataFrame:
+    """One row per text or piece: id, piece, start, end (code points), tokens, container, same_source.
 
     Only texts above the capacity have more than one piece. Null and empty texts have no row; a null
-    source is a source of its own; rows with equal text never share a container. Repeated rows are
-    texts of their own. Other columns aren't read.
+    source is a source of its own. Repeated rows are texts of their own. Other columns aren't read. clusters
+    (id, group) names groups of near duplicates, one row per id; of two texts of a group, the pieces in the same place never
+    share a container. Without it, or for ids that it lacks, groups are equal texts. same_source marks an item that was put
+    beside one of its source, as no other open container had room; with refuse there are none. tokenizer is
+    a file that the driver can read.
     """
     if capacity < 16:
         raise ValueError("a container holds at least 16 tokens")
@@ -235,11 +244,17 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER,
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
-        bins = pack_shard(table["tokens"].to_pylist(), table["source"].to_pylist(), table["copy"].to_pylist(), capacity)
+        placed = pack_shard(table["tokens"].to_pylist(), table["source"].to_pylist(), table["copy"].to_pylist(), capacity, refuse)
         shard = table["shard"].to_numpy().astype(np.int64)
-        return table.drop_columns(["shard", "source", "copy"]).append_column("container", pa.array((shard << 32) | np.array(bins, dtype=np.int64)))
-
-    spread = items(texts, capacity, tokenizer).withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).cast("int"))
+        bins = np.array([b for b, _ in placed], dtype=np.int64)
+        return table.drop_columns(["shard", "source", "copy"]).append_column("container", pa.array((shard << 32) | bins)).append_column("same_source", pa.array([c for _, c in placed]))
+
+    found = items(texts, capacity, tokenizer)
+    if clusters is not None:
+        named = clusters.select(F.col(clusters.columns[0]).alias("id"), F.xxhash64(F.col(clusters.columns[1])).alias("cluster"))
+        found = found.join(named, "id", "left").withColumn("copy", F.when(F.col("cluster").isNotNull(), F.xxhash64("cluster", "piece")).otherwise(F.col("copy"))).drop("cluster")
+        found = found.select("id", "source", "piece", "start", "end", "tokens", "copy")
+    spread = found.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).cast("int"))
     spread = spread.repartition(min(shards, MOST_TASKS), "shard")  # by number, as its bytes don't tell the work of a shard
-    packed = spread.groupBy("shard").applyInArrow(run, f"id {kind}, piece int, start int, end int, tokens int, container bigint")
+    packed = spread.groupBy("shard").applyInArrow(run, f"id {kind}, piece int, start int, end int, tokens int, container bigint, same_source boolean")
     return packed.withColumnRenamed("id", id_col)

@@ -71,7 +71,8 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(documents(spark, folder))
+    """Containers of all documents; members of one group of p4_groups never share one."""
+    return pack(documents(spark, folder), clusters=p4_groups(spark, folder).select("doc_id", "group"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,14 +1,18 @@
 """Pieces of texts over a size limit, packed from the tree of their structure.
 
-A text is a tree: sections by heading level, then blocks between blank lines, lines, sentences, words
-and, for a word longer than a piece, characters. Sibling subtrees are merged from left to right while
-they fit; only a node that is too large itself is opened, and what is left over from it may still take
-in the siblings after it. Pieces tile the text; each but the first also repeats the end of the one before.
+A text is a tree: sections by the levels of their headings (of Markdown, outside fenced code, or of HTML), then
+blocks between blank lines or block tags, items of lists by their indentation, lines, sentences,
+words and, for a word longer than a piece, characters. Bottom-up, sibling subtrees are merged from left to
+right while they fit; only a node that is too large itself is opened. Sections merge with sections
+only: what is left over from an opened section never takes in what follows under a later heading. Inside one
+section, the rest of an opened block, item, line or sentence may take in what comes next. Pieces tile
+the text; each but the first also repeats the end of the one before.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect, bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,41 +24,81 @@ from gristmill.functions.arrow import texts_of
 from gristmill.session import broadcast_if_small
 
 CHARS_PER_TOKEN = 4
-#: What a cut may follow, from coarse to fine; the match stays with the part before it. Headings come first, by level.
-BLOCKS, LINES, SENTENCES, WORDS = (re.compile(p) for p in (r"\n[^\S\n]*(?:\n[^\S\n]*)+", r"\n", r"[.!?…:;。！？][\"'”’»)\]]*\s+", r"\s+"))
-HEADING = re.compile(r"^(#{1,6})[ \t]+\S", re.M)
-NAMES = ("heading", "block", "line", "sentence", "word", "character")
-
-
-def children(text: str, start: int, end: int, level: int, headings: list[tuple[int, int]]) -> list[int]:
-    """Where the parts of text[start:end] begin, at one level of the tree."""
-    if level == 0:
-        inside = [(at, depth) for at, depth in headings if start < at < end]
-        top = min((depth for _, depth in inside), default=0)
-        return [start, *(at for at, depth in inside if depth == top)]
-    return [start, *(m.end() for m in (BLOCKS, LINES, SENTENCES, WORDS)[level - 1].finditer(text, start, end) if start < m.end() < end)]
+#: What a cut may follow, from coarse to fine; the match stays with the part before it.
+LINES, SENTENCES, WORDS = (re.compile(p) for p in (r"\n", r"[.!?…:;。！？][\"'”’»)\]]*\s+", r"\s+"))
+BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
+#: What a part begins with: headings of two kinds, block tags, items of lists.
+HEADING = re.compile(r"^(#{1,6})[ \t]+\S|<h([1-6])\b[^>]*>", re.M | re.I)
+FENCE = re.compile(r"^[ \t]*(```|~~~).*$", re.M)
+TAG = re.compile(r"<(?:p|ul|ol|dl|li|dt|dd|table|tr|div|section|article|pre|blockquote)\b[^>]*>", re.I)
+ITEM = re.compile(r"^([ \t]*)(?:[-*+•]|\d{1,3}[.)])[ \t]+\S", re.M)
+NAMES = ("heading", "block", "item", "line", "sentence", "word", "character")
+SECTION, BLOCK, ITEMS, CHARACTER = 0, 1, 2, 6
+
+
+def headings(text: str) -> tuple[list[int], list[int]]:
+    """Places and depths of all headings; lines of fenced code aren't headings."""
+    fences = [m.start() for m in FENCE.finditer(text)]
+    found = [(m.start(), len(m.group(1)) if m.group(1) else int(m.group(2))) for m in HEADING.finditer(text)]
+    found = [(at, depth) for at, depth in found if bisect(fences, at) % 2 == 0 or bisect(fences, at) == len(fences)] if fences else found
+    return [at for at, _ in found], [depth for _, depth in found]
+
+
+class Tree:
+    """The nodes of one text, found where they are needed; a node is a span and the level at which it is opened."""
+
+    def __init__(self, text: str, limit: int):
+        self.text, self.limit = text, limit
+        self.at, self.depth = headings(text)
+
+    def parts(self, start: int, end: int, level: int) -> list[int]:
+        """Where the children of a node begin."""
+        text = self.text
+        if level == SECTION:
+            low, high = bisect(self.at, start), bisect_left(self.at, end)
+            top = min(self.depth[low:high], default=0)
+            marks = [self.at[i] for i in range(low, high) if self.depth[i] == top]
+        elif level == BLOCK:
+            marks = sorted({m.end() for m in BLANK.finditer(text, start, end)} | {m.start() for m in TAG.finditer(text, start, end)})
+        elif level == ITEMS:
+            found = [(m.start(), len(m.group(1).expandtabs(4))) for m in ITEM.finditer(text, start, end)]
+            below = [(at, indent) for at, indent in found if at > start]
+            least = min((indent for _, indent in below), default=0)
+            marks = [at for at, indent in below if indent == least]
+        else:
+            marks = [m.end() for m in (LINES, SENTENCES, WORDS)[level - 3].finditer(text, start, end)]
+        return [start, *(m for m in marks if start < m < end)]
+
+    def pack(self, start: int, end: int, level: int = SECTION) -> list[list[int]]:
+        """Pieces [start, end, level of the cut before it] of a node: whole if it fits, else those of its children, merged."""
+        if end - start <= self.limit:
+            return [[start, end, level]]
+        if level == CHARACTER:
+            return [[a, min(a + self.limit, end), level] for a in range(start, end, self.limit)]
+        marks = self.parts(start, end, level)
+        if len(marks) == 1:
+            return self.pack(start, end, level + 1)
+        # Sections have sections below them and lists have lists; all else is opened at the next level.
+        below = level if level in (SECTION, ITEMS) else level + 1
+        out: list[list[int]] = []
+        merging = False
+        for a, b in zip(marks, [*marks[1:], end]):
+            if b - a > self.limit:
+                opened = self.pack(a, b, below)
+                opened[0][2] = level
+                out += opened
+                merging = level != SECTION
+            elif merging and b - out[-1][0] <= self.limit:
+                out[-1][1] = b
+            else:
+                out.append([a, b, level])
+                merging = True
+        return out
 
 
 def cut(text: str, limit: int) -> list[tuple[int, int, int]]:
     """Spans of at most limit characters that tile the text, each with the level at which it was cut off."""
-    headings = [(m.start(), len(m.group(1))) for m in HEADING.finditer(text)]
-    out: list[list[int]] = []
-
-    def place(start: int, end: int, level: int, fresh: bool) -> None:
-        if out and not fresh and end - out[-1][0] <= limit:
-            out[-1][1] = end
-        elif end - start <= limit:
-            out.append([start, end, level])
-        elif level == 5:
-            out.extend([at, min(at + limit, end), 5] for at in range(start, end, limit))
-        else:
-            marks = children(text, start, end, level, headings)
-            deeper = level if level == 0 and len(marks) > 1 else level + 1
-            for i, (a, b) in enumerate(zip(marks, [*marks[1:], end])):
-                place(a, b, deeper if b - a > limit else level, fresh and i == 0)
-
-    place(0, len(text), 0, True)
-    return [tuple(x) for x in out]
+    return [tuple(x) for x in Tree(text, limit).pack(0, len(text))] if text else []
 
 
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:

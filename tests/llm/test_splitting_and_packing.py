@@ -6,7 +6,7 @@ import regex
 
 from gristmill.functions.codepoints import Batch
 from gristmill.llm.packing import PATTERN, TOKENIZER, Bins, encoding, pack, pack_shard, token_counts, word_spans
-from gristmill.llm.splitting import cut, oversized, piece_rows, pieces, split
+from gristmill.llm.splitting import cut, headings, oversized, piece_rows, pieces, split
 
 TEXTS = [
     "I'm we'll they've 'tis don't  stop'd it's'", "a  \n\n b\t c   d 'S 've  'll x'", "   ", "\n's end", "'", "''s", "٣٤ ½ x²y", "l'équipe d'usage s'arrête 'r're", "中文,。🎈🎈 x", "x" * 300, "\x1ca b\x85",
@@ -54,7 +54,14 @@ def test_bins_are_compatible_and_tight(seed):
     copies = [rng.choice([i, 7, 7]) if rng.random() < 0.3 else i for i in range(n)]
     for i in range(n):
         tokens[i] = tokens[7] if copies[i] == 7 else tokens[i]
-    got = pack_shard(tokens, sources, copies, 100)
+    placed = pack_shard(tokens, sources, copies, 100)
+    got = [b for b, _ in placed]
+    held = defaultdict(list)
+    for i in range(n):
+        held[got[i]].append(sources[i])
+    assert sum(clash for _, clash in placed) == sum(len(x) - len(set(x)) for x in held.values())
+    refused = pack_shard(tokens, sources, copies, 100, refuse=True)
+    assert not any(clash for _, clash in refused) and len({(b, sources[i]) for i, (b, _) in enumerate(refused)}) == n
     load, seen = defaultdict(int), defaultdict(set)
     for b, t, c in zip(got, tokens, copies):
         load[b] += t
@@ -66,9 +73,11 @@ def test_bins_are_compatible_and_tight(seed):
 
 def test_tightest_bin_first():
     bins = Bins(10)
-    assert [bins.put(6, 1, 0), bins.put(7, 2, 0), bins.put(3, 4, 0)] == [0, 1, 1]
-    assert bins.put(4, 1, 0) == 0  # only a bin with its source has room
-    assert bins.put(10, 1, 0) == 2
+    assert [bins.put(6, 1, 0), bins.put(7, 2, 0), bins.put(3, 4, 0)] == [(0, False), (1, False), (1, False)]
+    assert bins.put(4, 1, 0) == (0, True)  # only a bin with its source has room
+    assert bins.put(10, 1, 0) == (2, False)
+    bins = Bins(10, refuse=True)
+    assert [bins.put(6, 1, 0), bins.put(4, 1, 0)] == [(0, False), (1, False)]
 
 
 def test_pack_whole_table(spark):
@@ -93,6 +102,39 @@ def test_pack_whole_table(spark):
     assert pack(frame.limit(0)).count() == 0
 
 
+def test_clusters_are_kept_apart(spark):
+    rows = [(i, "alpha beta gamma " * 20 + f"x{i}", "s") for i in range(12)] + [(50, None, "s")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    groups = spark.createDataFrame([(i, i % 3) for i in range(9)] + [(50, 0), (77, 1)], "doc_id long, group long")
+    got = {r["doc_id"]: r["container"] for r in pack(frame, clusters=groups).collect()}
+    assert sorted(got) == list(range(12))
+    assert all(got[a] != got[b] for a in range(9) for b in range(a) if a % 3 == b % 3)
+    assert len({got[a] for a in range(9)}) == 3
+
+
+def straddling(text, spans):
+    """Pieces that begin inside a section and go on under a later heading."""
+    at, _ = headings(text)
+    return [(a, b) for a, b, _ in spans if a not in at and a > 0 and any(a < h < b for h in at)]
+
+
+def test_no_piece_goes_on_from_inside_a_section_under_a_later_heading():
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "".join(rng.choice(["A sentence of some words. ", "\n", "\n\n", "\n# Head\n", "\n## Sub\n", "\n- item one\n", "\n  - item two\n", "\n<h3>Title</h3>", "<li>entry</li>"]) for _ in range(rng.randint(20, 120)))
+        assert straddling(text, cut(text, 80)) == []
+
+
+def test_lists_markup_and_fences_are_nodes():
+    text = "- one two three\n  - four five\n  - six seven\n- eight nine\n- ten eleven twelve\n"
+    assert [text[a:b].split("\n")[0] for a, b, _ in cut(text, 45)] == ["- one two three", "- eight nine"]
+    page = "<ul><li>first entry here</li><li>second entry here</li></ul><p>closing words</p>"
+    assert all(page[a] == "<" for a, _, _ in cut(page, 40))
+    code = "# A\ntext\n```\n# no heading\n```\n# B\n"
+    assert [code[a:].split("\n")[0] for a in headings(code)[0]] == ["# A", "# B"]
+    assert headings("```\n# open fence")[0] == [4] and headings("<h2 class=x>T</h2>") == ([0], [2])
+
+
 def test_pieces_tile_the_text_within_the_limit():
     rng = random.Random(6)
     for _ in range(300):
