@@ -49,6 +49,34 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert {tuple(r) for r in leaks(d, h).collect()} == brute(docs, items)
 
 
+def test_many_runs_without_a_bitmap(spark, monkeypatch):
+    docs, items = data(4)
+    d, h = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(leakage, "bitmap", lambda runs, amount: None)
+    assert {tuple(r) for r in leaks(d, h).collect()} == brute(docs, items)
+
+
+def test_only_prefixes_are_gathered(spark):
+    common, rare = "the same old words again and again in all of", "quite unheard of things"
+    docs = spark.createDataFrame([(i, f"{common} the texts number {i}") for i in range(30)] + [(99, f"{common} {rare} here")], "id long, text string")
+    items = spark.createDataFrame([(1, f"{common} {rare} here", 0)], "item long, text string, block long")
+    runs = leakage.runs_of(items)
+    counts = runs.join(leakage.frequencies(docs, leakage.bitmap(runs.select("run"), runs.count())), "run").select("block", "run", "docs")
+    chosen = leakage.prefixes(items, counts, 10)
+    assert counts.where("docs = 31").count() == 6 and chosen.count() < counts.count() / 2
+    assert chosen.join(counts, "run").where("docs = 31").count() == 1  # of the one window that has nothing rarer
+
+
+def test_bitmap_passes_its_runs(spark):
+    import numpy as np
+
+    values = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    frame = spark.createDataFrame([(int(v),) for v in values[:100].view(np.int64)], "run long")
+    at = leakage.passes(leakage.bitmap(frame, 100), values)
+    assert set(range(100)) <= set(at.tolist()) and len(at) < 200
+    assert len(leakage.passes(None, values)) == 5000
+
+
 def test_empty_tables_and_string_ids(spark):
     docs = spark.createDataFrame([("d", "a b c d e f g h i j")], "doc_id string, text string")
     items = spark.createDataFrame([("i", "x a b c d e f g h i j", None)], "item_id string, text string, suite string")
