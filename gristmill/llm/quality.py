@@ -4,8 +4,10 @@ Each line gets votes from thresholds on its statistics (share of common words, s
 length, word count, closing punctuation, lower-case words, field separators). A vote says "running
 sentence", "something else" or nothing. How far each threshold can be trusted is learned from how the
 votes agree over all lines, without labels (Dawid and Skene's model), and gives the probability that
-a line with a given pattern of votes is running text. A document's type follows from the share of its
-characters in lines that are not.
+a line with a given pattern of votes is running text. Types of documents come from a second model of the same kind:
+thresholds on a document's statistics, the share of its characters outside running lines among them, vote
+for prose, list, table or junk, often for several of them at once; how often each class gets each vote is
+learned over all documents, and every document has the probabilities of the four types.
 """
 
 from __future__ import annotations
@@ -109,33 +111,76 @@ def digits_of(codes: np.ndarray) -> np.ndarray:
     return (codes[:, None] // 3 ** np.arange(m - 1, -1, -1)) % 3
 
 
-def posteriors(codes: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Probability that a line with each pattern is running text, and P(vote | class) of each labeller.
+def learn(seen: np.ndarray, weight: np.ndarray, likely: np.ndarray, prior: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Class probabilities of each pattern of votes, and P(vote | class) of each labeller, by expectation-maximisation.
 
-    Starts from votes weighed by trust and alternates between classes and accuracies, which PRIOR
-    imagined lines keep from drifting where there are few lines or all are of one kind.
+    seen has a row of votes for each pattern and weight says how often it occurs. Learning starts from
+    likely[class, labeller, vote] and prior, which weigh as much as PRIOR imagined cases throughout, so that classes
+    don't drift where there are few cases or all are of one kind.
     """
-    seen = digits_of(codes)
-    trust = np.array([x[4] for x in LABELLERS])
-    right = 1 / (1 + np.exp(-trust))
-    imagined = PRIOR * np.stack([np.stack([np.full(len(trust), 0.2), 0.8 * a, 0.8 * b], axis=1) for a, b in ((right, 1 - right), (1 - right, right))])
-    p = 1 / (1 + np.exp(-np.where(seen == 1, trust, np.where(seen == 2, -trust, 0)).sum(axis=1)))
-    table = np.full((2, len(LABELLERS), 3), 1 / 3)
+    k, m, size = likely.shape
+    table, share = likely, prior / prior.sum()
+    p = np.full((len(seen), k), 1 / k)
     for _ in range(rounds):
-        shares = np.stack([p, 1 - p]) * weight
-        for k in range(2):
-            for j in range(len(LABELLERS)):
-                table[k, j] = np.bincount(seen[:, j], weights=shares[k], minlength=3) + imagined[k, j]
-        table /= table.sum(axis=2, keepdims=True)
-        prior = (shares.sum(axis=1) + PRIOR) / (weight.sum() + 2 * PRIOR)
-        score = np.log(prior)[:, None] + sum(np.log(table[:, j, :])[:, seen[:, j]] for j in range(len(LABELLERS)))
-        new = 1 / (1 + np.exp(np.clip(score[1] - score[0], -700, 700)))
+        score = np.log(share) + sum(np.log(table[:, j, :])[:, seen[:, j]].T for j in range(m))
+        score -= score.max(axis=1, keepdims=True) if len(seen) else 0
+        new = np.exp(score)
+        new /= new.sum(axis=1, keepdims=True)
         if np.abs(new - p).max(initial=0) < 1e-9:
             break
         p = new
+        mass = p * weight[:, None]
+        counts = np.stack([np.stack([np.bincount(seen[:, j], weights=mass[:, c], minlength=size) for j in range(m)]) for c in range(k)])
+        table = counts + PRIOR * likely
+        table /= table.sum(axis=2, keepdims=True)
+        share = mass.sum(axis=0) + PRIOR * prior
+        share /= share.sum()
     return p, table
 
 
+def posteriors(codes: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Probability that a line with each pattern is running text, and P(vote | class) of each labeller."""
+    right = 1 / (1 + np.exp(-np.array([x[4] for x in LABELLERS])))
+    likely = np.stack([np.stack([np.full(len(right), 0.2), 0.8 * a, 0.8 * b], axis=1) for a, b in ((right, 1 - right), (1 - right, right))])
+    p, table = learn(digits_of(codes), weight, likely, np.ones(2), rounds)
+    return p[:, 0], table
+
+
+TYPES = ("prose", "list", "table", "junk")
+#: name, statistic, low, high, types voted for up to low, types voted for from high on: as LABELLERS, but a vote may be for several types.
+DOCUMENT_LABELLERS = (
+    ("outside", "outside_share", 0.5, 0.500001, ("prose",), ("list", "table", "junk")),
+    ("symbols", "symbol_ratio", 0.09, 0.14, ("prose", "list"), ("table",)),
+    ("length", "mean_word_length", 9.0, 13.0, ("prose", "list", "table"), ("junk",)),
+    ("line", "words_per_line", 0.999999, 10.0, ("junk",), ("prose",)),
+    ("fields", "separators_per_line", 0.5, 1.5, ("prose", "list", "junk"), ("table",)),
+    ("digits", "digit_ratio", 0.06, 0.25, ("prose", "list"), ("table", "junk")),
+    ("closing", "closed_line_share", 0.15, 0.6, ("list", "table", "junk"), ("prose",)),
+    ("common", "common_word_share", 0.03, 0.15, ("table", "junk"), ("prose",)),
+)
+RIGHT, SILENT = 0.9, 0.2  # how often votes are thought to be right, and missing, before anything is learned
+
+
+def document_votes() -> Column:
+    """One number per document whose base-3 digits are the votes: 0 none, 1 low, 2 high."""
+    code = F.lit(0)
+    for _, name, low, high, _, _ in DOCUMENT_LABELLERS:
+        code = code * 3 + F.when(F.col(name) >= high, 2).when(F.col(name) <= low, 1).otherwise(0)
+    return code
+
+
+def type_posteriors(codes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of TYPES of each pattern of document votes, and P(vote | type) of each labeller."""
+    likely = np.empty((len(TYPES), len(DOCUMENT_LABELLERS), 3))
+    for c, name in enumerate(TYPES):
+        for j, (*_, low, high) in enumerate(DOCUMENT_LABELLERS):
+            for v, own, other in ((1, low, high), (2, high, low)):
+                # A type that neither vote names gets both alike.
+                likely[c, j, v] = (1 - SILENT) * (RIGHT if name in own else 1 - RIGHT if name in other else 0.5)
+            likely[c, j, 0] = SILENT
+    return learn(digits_of(codes), weight, likely / likely.sum(axis=2, keepdims=True), np.array([4.0, 1.0, 1.0, 1.0]) / 7)
+
+
 def profile(docs: DataFrame) -> DataFrame:
     """Statistics of each document, and how many of its characters and lines have each pattern of votes."""
     common = np.sort(np.concatenate([word_hashes(w) for w in dict.fromkeys(COMMON_WORDS)]))
@@ -145,7 +190,7 @@ def profile(docs: DataFrame) -> DataFrame:
             for first, last, batch in batches(texts_of(part.column("text"))):
                 owner, chars, stats = line_statistics(batch, common)
                 code = votes(stats)
-                sums = {k: np.bincount(owner, weights=v, minlength=batch.n) for k, v in ((k, stats[k]) for k in ("chars", "lines", "words", "length", "symbols_all", "solid", "closing", "common"))}
+                sums = {k: np.bincount(owner, weights=v, minlength=batch.n) for k, v in ((k, stats[k]) for k in ("chars", "lines", "words", "length", "symbols_all", "solid", "closing", "common", "digits", "separators"))}
                 key, at = np.unique(owner * 3 ** len(LABELLERS) + code, return_inverse=True)
                 row, pattern = np.divmod(key, 3 ** len(LABELLERS))
                 offsets = pa.array(np.searchsorted(row, np.arange(batch.n + 1)).astype(np.int32))
@@ -153,38 +198,36 @@ def profile(docs: DataFrame) -> DataFrame:
                 safe = lambda a, b: np.divide(a, b, out=np.zeros(batch.n), where=b > 0)
                 yield pa.RecordBatch.from_arrays([
                     part.column("id").slice(first, last - first), pa.array(sums["chars"].astype(np.int64)), pa.array(sums["lines"].astype(np.int64)), pa.array(sums["words"].astype(np.int64)),
-                    pa.array(safe(sums["length"], sums["words"])), pa.array(safe(sums["symbols_all"], sums["solid"])), pa.array(safe(sums["closing"], sums["lines"])), pa.array(safe(sums["common"], sums["words"])), *lists,
-                ], ["id", "chars", "lines", "words", "mean_word_length", "symbol_ratio", "closed_line_share", "common_word_share", "patterns", "pattern_chars", "pattern_lines"])
+                    pa.array(safe(sums["length"], sums["words"])), pa.array(safe(sums["symbols_all"], sums["solid"])), pa.array(safe(sums["closing"], sums["lines"])), pa.array(safe(sums["common"], sums["words"])), pa.array(safe(sums["digits"], sums["solid"])), pa.array(safe(sums["separators"], sums["lines"])), *lists,
+                ], ["id", "chars", "lines", "words", "mean_word_length", "symbol_ratio", "closed_line_share", "common_word_share", "digit_ratio", "separators_per_line", "patterns", "pattern_chars", "pattern_lines"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, chars bigint, lines bigint, words bigint, mean_word_length double, symbol_ratio double, closed_line_share double, common_word_share double, patterns array<int>, pattern_chars array<bigint>, pattern_lines array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, chars bigint, lines bigint, words bigint, mean_word_length double, symbol_ratio double, closed_line_share double, common_word_share double, digit_ratio double, separators_per_line double, patterns array<int>, pattern_chars array<bigint>, pattern_lines array<bigint>")
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: statistics, the share of characters outside running text and a type.
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", types: bool = True) -> DataFrame:
+    """One row per input row: statistics, the share of characters outside running text and, if wanted, the type and probabilities of all types.
 
-    Types: empty (null or blank text), prose (at most half outside), else table (mostly separators or
-    digits), list or junk (hardly any words that could be read). Repeated rows each give a row; other
-    columns aren't read; an empty table gives an empty one.
+    The type is the likeliest of prose, list, table and junk, ties in that order; a null or blank text is empty, without
+    probabilities. Repeated rows each give a row; other columns aren't read; an empty table gives an empty one.
     """
     base = checkpoint(profile(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
     counted = base.select(F.explode(F.arrays_zip("patterns", "pattern_lines")).alias("x")).groupBy("x.patterns").agg(F.sum("x.pattern_lines").alias("lines")).orderBy("patterns").collect()  # at most 3**8 rows
     codes = np.array([r["patterns"] for r in counted], dtype=np.int64)
     p, _ = posteriors(codes, np.array([r["lines"] for r in counted], dtype=float))
     outside = codes[p < 0.5].tolist()
-    return base.select(F.col("id").alias(id_col), "chars", "lines", "words", "mean_word_length", "symbol_ratio", "closed_line_share", "common_word_share", _share(outside).alias("outside_share")).withColumn("text_type", text_type())
+    rows = base.select(F.col("id").alias(id_col), "chars", "lines", "words", "mean_word_length", "symbol_ratio", "closed_line_share", "common_word_share", "digit_ratio", "separators_per_line", _share(outside).alias("outside_share"))
+    if not types:
+        return rows
+    rows = rows.withColumn("words_per_line", F.try_divide("words", "lines")).withColumn("pattern", F.when(F.col("lines") > 0, document_votes()))
+    seen = rows.where("pattern is not null").groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # at most 3**8 rows
+    codes = np.array([r["pattern"] for r in seen], dtype=np.int64)
+    p, _ = type_posteriors(codes, np.array([r["n"] for r in seen], dtype=float))
+    known = [(int(c), TYPES[int(x.argmax())], *map(float, x)) for c, x in zip(codes, p)]
+    table = docs.sparkSession.createDataFrame(known, "pattern int, text_type string, " + ", ".join(f"p_{t} double" for t in TYPES))
+    return rows.join(F.broadcast(table), "pattern", "left").drop("pattern", "words_per_line").withColumn("text_type", F.coalesce("text_type", F.lit("empty")))
 
 
 def _share(outside: list[int]) -> Column:
     hit = F.filter(F.arrays_zip("patterns", "pattern_chars"), lambda x: F.array_contains(F.lit(outside) if outside else F.array().cast("array<int>"), x["patterns"]))
     return F.when(F.col("chars") > 0, F.aggregate(hit, F.lit(0).cast("bigint"), lambda a, x: a + x["pattern_chars"]) / F.col("chars"))
-
-
-def text_type() -> Column:
-    return (
-        F.when(F.col("lines") == 0, "empty")
-        .when(F.col("outside_share") <= 0.5, "prose")
-        .when((F.col("words") < F.col("lines")) | (F.col("mean_word_length") > 14), "junk")
-        .when(F.col("symbol_ratio") > 0.14, "table")
-        .otherwise("list")
-    )

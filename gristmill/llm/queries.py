@@ -85,7 +85,7 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).where(~F.coalesce(F.col("filetype").isin(*WEB), F.lit(False)))
-    return quality(docs).where("outside_share > 0.5").select("doc_id")
+    return quality(docs, types=False).where("outside_share > 0.5").select("doc_id")
 
 
 def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:

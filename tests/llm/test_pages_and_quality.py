@@ -5,7 +5,7 @@ import numpy as np
 from gristmill.functions.codepoints import Batch
 from gristmill.llm import boilerplate
 from gristmill.llm.boilerplate import Page, furniture
-from gristmill.llm.quality import LABELLERS, posteriors, quality, votes
+from gristmill.llm.quality import DOCUMENT_LABELLERS, LABELLERS, TYPES, posteriors, quality, type_posteriors, votes
 
 NOUNS = "pump valve motor gauge sensor panel belt filter housing spindle".split()
 VERBS = "checks drains warms stops feeds lifts cools turns".split()
@@ -80,10 +80,29 @@ def test_types(spark):
     kinds = {i: r["text_type"] for i, r in got.items()}
     assert [kinds[i] for i in (1, 3, 9, 10)] == ["prose"] * 4
     assert kinds[2] == kinds[8] == "table" and kinds[4] == "list" and kinds[5] == kinds[6] == "empty" and kinds[7] == "junk"
+    sums = {i: sum(r[f"p_{t}"] for t in TYPES) if r["p_prose"] is not None else None for i, r in got.items()}
+    assert sums[5] is None and sums[6] is None and all(abs(v - 1) < 1e-9 for v in sums.values() if v is not None)
+    assert all(r["text_type"] == max(TYPES, key=lambda t: r[f"p_{t}"]) for r in got.values() if r["p_prose"] is not None)
     assert quality(frame).count() == len(rows) and quality(frame.limit(0)).count() == 0
     assert got[1]["words"] == 21 * 6 and got[2]["lines"] == 24 and abs(got[1]["mean_word_length"] - np.mean([len(w) for w in PROSE.replace(",", "").replace(".", "").split()])) < 1e-9
 
 
+def test_types_are_learned_from_votes():
+    rng = np.random.default_rng(2)
+    truth = rng.choice(4, size=6000, p=[0.7, 0.1, 0.12, 0.08])
+    named = [[[t in own for t in TYPES] for own in (low, high)] for *_, low, high in DOCUMENT_LABELLERS]
+    cast = np.zeros((6000, 8), dtype=int)
+    for j, (low, high) in enumerate(named):
+        for i, c in enumerate(truth):
+            right = 1 if low[c] else 2 if high[c] else rng.integers(1, 3)
+            cast[i, j] = 0 if rng.random() < 0.15 else right if rng.random() < (0.97 if j else 0.6) else 3 - right  # the first is worse than thought
+    codes, at, weight = np.unique(cast @ 3 ** np.arange(7, -1, -1), return_inverse=True, return_counts=True)
+    p, table = type_posteriors(codes, weight.astype(float))
+    assert (p[at].argmax(axis=1) == truth).mean() > 0.95
+    heard = table[0, 0, 1] / table[0, 0, 1:].sum()
+    assert abs(heard - 0.6) < 0.05 and table[0, 1, 1] / table[0, 1, 1:].sum() > 0.93
+
+
 def test_accuracies_are_learned():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.7
