@@ -10,6 +10,7 @@ from gristmill.functions import text as T
 from gristmill.operators import analytics as A
 from gristmill.operators import evaluation as E
 from gristmill.operators import suites
+from gristmill.operators.answering import DEFENSES, answer
 from gristmill.operators.attacks import HELDOUT, PAYLOADS, SEEN, canaries, foreign_markers, injections, poison, targets
 from gristmill.operators.chunking import chunk, chunk_by_specs
 from gristmill.operators.drift import canonical_names, changes, drift_report, instant, profiles, steps, unify_kind
@@ -638,7 +639,11 @@ def evidence_drilldown(spark, folder):
 
 
 def _indexed(spark, folder):
-    return suites.index(suites.with_provenance(tables(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "path", "text")))
+    return suites.index(suites.filtered(suites.with_provenance(tables(spark, folder, "documents")), FILTERS))
+
+
+#: The filter chain that the suites' corpus passes; the language filter would leave three of the four languages out.
+FILTERS = ("dedup", "boilerplate")
 
 
 @query()
@@ -650,16 +655,24 @@ def suite_retrieval(spark, folder):
 
 @query()
 def suite_faithfulness(spark, folder):
-    return suites.faithfulness_suite(_indexed(spark, folder), tables(spark, folder, "qa"))
+    return suites.faithfulness_suite(_indexed(spark, folder), tables(spark, folder, "qa")).metrics
 
 
 @query()
 def suite_security(spark, folder):
     docs, qa = tables(spark, folder, "documents", "qa")
-    return suites.security_suite(suites.with_provenance(docs), qa)
+    return suites.security_suite(docs, qa, filters=FILTERS).metrics
 
 
 @query()
 def suite_privacy(spark, folder):
-    hosts = canaries(spark, {"api_key": ["the billing gateway", "the archive store"], "email": ["Ada Quill", "Ben Marsh"], "phone": ["the night desk", "the field team"]})
-    return suites.privacy_suite(suites.with_provenance(tables(spark, folder, "documents")), hosts)
+    hosts = canaries(spark, {"api_key": ["the billing gateway", "the archive store"], "email": [("Ada Quill", "the plant manager"), ("Ben Marsh", "the shift lead")], "phone": ["the night desk", "the field team"]})
+    return suites.privacy_suite(tables(spark, folder, "documents"), hosts, filters=FILTERS).metrics
+
+
+@query()
+def answers_under_defenses(spark, folder):
+    """Every question answered from the corpus under every defense: the answer's digest, abstention and citations."""
+    qa = tables(spark, folder, "qa")
+    said = answer(suites.context(suites.retrieve(_indexed(spark, folder), qa)), qa, DEFENSES)
+    return said.select("defense", "qid", F.sha1("answer").alias("digest"), "abstained", "reason", F.size("context").alias("passages"), F.transform("citations", lambda c: c["marker"]).alias("markers"), F.coalesce(F.forall("citations", lambda c: c["parsed"]), F.lit(False)).alias("parsed"))

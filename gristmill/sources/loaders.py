@@ -145,15 +145,25 @@ def load_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def load_qa(spark: SparkSession, path: str) -> DataFrame:
-    """Questions from JSON lines; a malformed line is an error; label_source says what labels there are."""
+    """Questions from JSON lines; a malformed line or a file without questions is an error.
+
+    label_source, only where a line lacks the key, says whether there are labels: a gold fact, gold documents or an answer.
+    """
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     rows = spark.read.schema(QA_SCHEMA).option("mode", "FAILFAST").json(path)
-    default = F.when(F.col("gold_fact").isNotNull() | F.col("gold_doc").isNotNull() | (F.size(F.coalesce("gold_docs", F.array().cast("array<string>"))) > 0), "legacy").otherwise("none")
-    return rows.withColumn("gold_docs", F.coalesce("gold_docs", F.array().cast("array<string>"))).withColumn("label_source", F.coalesce("label_source", default))
+    if not lines.limit(1).count():
+        raise ValueError(f"no questions in {path}")
+    keyed = lines.select(F.from_json("value", QA_SCHEMA, {"mode": "FAILFAST"}).alias("q"), F.coalesce(F.array_contains(F.json_object_keys("value"), "label_source"), F.lit(False)).alias("named")).select("q.*", "named")
+    docs = F.coalesce("gold_docs", F.array().cast("array<string>"))
+    labelled = F.col("gold_fact").isNotNull() | (F.size(docs) > 0) | (F.length("answer") > 0)
+    default = F.when(F.coalesce(labelled, F.lit(False)), "legacy").otherwise("none")
+    return keyed.withColumn("gold_docs", docs).withColumn("label_source", F.when(F.col("named"), F.col("label_source")).otherwise(default)).select(*rows.columns)
 
 
 def load_judgments(spark: SparkSession, path: str) -> DataFrame:
-    """(key, supported): of repeated keys the last line counts."""
-    rows = spark.read.text(path).select(F.from_json("value", "key string, supported boolean").alias("j"), F.monotonically_increasing_id().alias("line"))
+    """(key, supported): of repeated keys the last line counts, files in order of their names."""
+    place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = spark.read.text(path).select(F.from_json("value", "key string, supported boolean").alias("j"), place.alias("line"))
     return rows.where("j.key is not null").groupBy("j.key").agg(F.max_by("j.supported", "line").alias("supported"))
 
 
