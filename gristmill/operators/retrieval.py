@@ -56,11 +56,45 @@ def hashed_embedding(text: Column, dim: int = DIM) -> Column:
     return embed(T.tokens(F.coalesce(text, F.lit(""))))
 
 
-def exact_top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "qid", item_id: str = "item_id", vector: str = "vector", block: int = 2_000, exclude_same: bool = False) -> DataFrame:
+def first_of_rows(rows: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k first entries of each row by score, ties to the smaller id, ordered by row."""
+    _, code = np.unique(ids, return_inverse=True)
+    order = np.lexsort((code, -score, rows))
+    own = rows[order]
+    start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
+    place = np.arange(len(own)) - np.repeat(start, np.diff(np.append(start, len(own))))
+    return order[place < k]
+
+
+class Best:
+    """The k best items of each query so far."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.rows, self.score, self.ids = np.empty(0, np.int64), np.empty(0), np.empty(0, dtype=object)
+
+    def add(self, score: np.ndarray, ids: np.ndarray, first: int = 0) -> None:
+        """Take in a matrix of scores, a row for each query from the first on; -inf leaves a pair out."""
+        n, m = score.shape
+        floor = self.floor[first : first + n]
+        if m > self.k:  # only the k best of a row can stay
+            floor = np.maximum(floor, np.partition(score, m - self.k, axis=1)[:, m - self.k])
+        row, column = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+        rows, values, names = np.concatenate([self.rows, row + first]), np.concatenate([self.score, score[row, column]]), np.concatenate([self.ids, ids[column]])
+        keep = first_of_rows(rows, values, names, self.k)
+        self.rows, self.score, self.ids = rows[keep], values[keep], names[keep]
+        full, at = np.unique(self.rows, return_index=True)
+        last = np.append(at[1:], len(self.rows)) - 1
+        done = last - at + 1 == self.k
+        self.floor[full[done]] = self.score[last[done]]
+
+
+def exact_top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "qid", item_id: str = "item_id", vector: str = "vector", block: int = 50_000, exclude_same: bool = False) -> DataFrame:
     """(query_id, item_id, score, rank): the k items of largest cosine, rounded to six digits, ties to the smaller id.
 
-    Queries come in blocks of so many, each held by every task while it goes once over its part of the
-    items and keeps k of them; a window then merges the parts. Zero and null vectors score 0 / are left out.
+    Every task holds the queries and goes once over its part of the items, of which it keeps k a query; a
+    window then merges the parts. More than block queries take another scan for each block, so that what
+    tasks hold stays bounded. Zero vectors score 0, null ones are left out.
     """
     q_type, i_type = queries.schema[query_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     queries = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("q"), F.col(vector).alias("v"))
@@ -78,39 +112,73 @@ def exact_top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "q
 
         def search(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
-            place = {n: i for i, n in enumerate(names)} if exclude_same else {}
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=object))] * len(names)
-            kind = None
+            place: dict = {}
+            for i, name in enumerate(names if exclude_same else ()):
+                place.setdefault(name, []).append(i)
+            best, kind = Best(len(names), k), None
             for part in parts:
                 ids, column = part.column("i"), part.column("v")
                 kind = ids.type
                 flat = column.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
                 flat /= np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-30)
-                score = np.round(matrix @ flat.T, 6)
-                listed = np.array(ids.to_pylist(), dtype=object)
-                if exclude_same:
-                    for column_no, name in enumerate(listed):
-                        if name in place:
-                            score[place[name], column_no] = -9
-                for row in range(len(names)):
-                    own = score[row]
-                    floor = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -8
-                    at = np.flatnonzero(own >= max(floor, -8))
-                    value, item = np.concatenate([best[row][0], own[at]]), np.concatenate([best[row][1], listed[at]])
-                    order = sorted(range(len(value)), key=lambda j: (-value[j], item[j]))[:k]
-                    best[row] = (value[order], item[order])
+                listed = np.array([*ids.to_pylist(), None], dtype=object)[:-1]
+                same = [(i, c) for c, name in enumerate(listed) for i in place.get(name, ())] if exclude_same else []
+                for first in range(0, len(names), 1_000):
+                    score = np.round(matrix[first : first + 1_000] @ flat.T, 6)
+                    for i, c in same:
+                        if first <= i < first + 1_000:
+                            score[i - first, c] = -np.inf
+                    best.add(score, listed, first)
             if kind is not None:
-                rows = [(names[r], i, s) for r, (v, it) in enumerate(best) for s, i in zip(v.tolist(), it.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], type=kind), pa.array([r[2] for r in rows], pa.float64())], ["q", "i", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in best.rows]), pa.array(best.ids.tolist(), type=kind), pa.array(best.score)], ["q", "i", "s"])
 
         found = items.mapInArrow(search, f"q {q_type}, i {i_type}, s double")
         out = found if out is None else out.unionByName(found)
+    return merged(queries, out, k, query_id, item_id, q_type, i_type)
+
+
+def merged(queries: DataFrame, out: DataFrame | None, k: int, query_id: str, item_id: str, q_type: str, i_type: str) -> DataFrame:
     if out is None:
         return queries.sparkSession.createDataFrame([], f"{query_id} {q_type}, {item_id} {i_type}, score double, rank int")
     place = Window.partitionBy("q").orderBy(F.desc("s"), "i")
     return out.withColumn("rank", F.row_number().over(place) - 1).where(F.col("rank") < k).select(F.col("q").alias(query_id), F.col("i").alias(item_id), F.col("s").alias("score"), "rank")
 
 
+def overlap_top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "qid", item_id: str = "item_id", question: str = "question", text: str = "text") -> DataFrame:
+    """(query_id, item_id, score, rank): the k items whose token sets have the largest Jaccard similarity with the question, ties to the smaller id.
+
+    Every task holds the questions' tokens, goes once over its part of the items and keeps k a question; the questions are a
+    stated set that one task can hold. Null texts count as empty; item_id should be unique.
+    """
+    q_type, i_type = queries.schema[query_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    rows = queries.select(F.col(query_id).alias("q"), T.token_set(F.coalesce(question, F.lit(""))).alias("t")).collect()
+    postings: dict[str, list[int]] = {}
+    for i, r in enumerate(rows):
+        for token in r["t"]:
+            postings.setdefault(token, []).append(i)
+    shared = queries.sparkSession.sparkContext.broadcast(([r["q"] for r in rows], np.array([len(r["t"]) for r in rows]), {t: np.array(p) for t, p in postings.items()}))
+
+    def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        names, sizes, postings = shared.value
+        token, best, kind = re.compile("[a-z0-9]+"), Best(len(names), k), None
+        for part in parts:
+            kind = part.column("i").type
+            scores = np.zeros((len(names), part.num_rows))
+            for c, text in enumerate(part.column("t").to_pylist()):
+                own = set(token.findall((text or "").lower()))
+                hits = [postings[t] for t in own if t in postings]
+                common = np.bincount(np.concatenate(hits), minlength=len(names)) if hits else np.zeros(len(names), np.int64)
+                scores[:, c] = common / np.maximum(len(own) + sizes - common, 1)
+            best.add(scores, np.array([*part.column("i").to_pylist(), None], dtype=object)[:-1])
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in best.rows]), pa.array(best.ids.tolist(), type=kind), pa.array(best.score)], ["q", "i", "s"])
+
+    found = items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).mapInArrow(search, f"q {q_type}, i {i_type}, s double") if rows else None
+    return merged(queries, found, k, query_id, item_id, q_type, i_type)
+
+
 def rerank(candidates: DataFrame, question: str = "question", text: str = "text", keys: tuple[str, ...] = ("qid",), before: tuple[str, ...] = ("rank",), top: int | None = None, sets: tuple[str, str] | None = None) -> DataFrame:
     """Candidates with score and rank by token overlap with the question, ties in the order before.
 
@@ -137,6 +205,14 @@ def prompts(context: DataFrame, questions: DataFrame, isolation: bool = False) -
     return questions.join(joined, "qid", "left").select("qid", F.lit(ISOLATED if isolation else SYSTEM).alias("system"), user.alias("user"))
 
 
+def prompt_parts(user: Column) -> tuple[Column, Column]:
+    """The question and the array of (marker, source, text) of a prompt that prompts() made; texts with lines like a passage's first one are cut there."""
+    head = F.lit(r"(?s)\[(\d+)\] \(source: ([^\n]*)\)\n(.*?)(?=\n\n\[\d+\] \(source: [^\n]*\)\n|\n\nQuestion: [^\n]*\n\nAnswer \(cite|$)")
+    marks, sources, texts = (F.regexp_extract_all(user, head, F.lit(i)) for i in (1, 2, 3))
+    blocks = F.transform(F.arrays_zip(marks.alias("m"), sources.alias("s"), texts.alias("t")), lambda b: F.struct(b["m"].cast("int").alias("marker"), b["s"].alias("source"), b["t"].alias("text")))
+    return F.regexp_extract(user, r"(?s).*\n\nQuestion: (.*)\n\nAnswer \(cite passages like \[1\]\):\z", 1), blocks
+
+
 def extractive_answers(context: DataFrame, questions: DataFrame) -> DataFrame:
     """(qid, answer): the sentence nearest to the question of each of the first two passages that aren't blank, cited."""
     place = Window.partitionBy("qid").orderBy("rank")

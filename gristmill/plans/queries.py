@@ -10,14 +10,15 @@ from gristmill.functions import text as T
 from gristmill.operators import analytics as A
 from gristmill.operators import evaluation as E
 from gristmill.operators import suites
-from gristmill.operators.answering import DEFENSES, answer
+from gristmill.operators.answering import DEFENSES, answer, resolve
 from gristmill.operators.attacks import HELDOUT, PAYLOADS, SEEN, canaries, foreign_markers, injections, poison, targets
 from gristmill.operators.chunking import chunk, chunk_by_specs
 from gristmill.operators.drift import canonical_names, changes, drift_report, instant, profiles, steps, unify_kind
 from gristmill.operators.filters import apply_filter, drop_rates, dropped, filter_after, outcomes, provenance
-from gristmill.operators.retrieval import exact_top_k, extractive_answers, hashed_embedding, prompts, rerank
+from gristmill.operators.retrieval import exact_top_k, extractive_answers, hashed_embedding, overlap_top_k, prompts
+from gristmill.operators.reports import read_results, result_version
 from gristmill.operators.store import drill_down, newest_runs, next_pending
-from gristmill.session import checkpoint, read_table
+from gristmill.session import broadcast_if_small, checkpoint, read_table
 from gristmill.sources.loaders import qrels, suffix_of
 
 QUERIES: dict = {}
@@ -113,6 +114,11 @@ def tables(spark: SparkSession, folder: str, *names: str):
     return frames if len(frames) > 1 else frames[0]
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """Hint a broadcast if a count of the rows allows it."""
+    return broadcast_if_small(rows, rows.count())
+
+
 def digest(column):
     return F.sha1(F.coalesce(column, F.lit("")))
 
@@ -296,19 +302,18 @@ def rank_metrics_by_label(spark, folder):
     return E.rank_metrics(ranks.withColumn("suite", F.lit("same_label")), ["suite"], "first_rank")
 
 
-CANDIDATES = f"""candidates AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY {JACCARD.format("list_distinct(" + TOKENS.format("question") + ")", "list_distinct(" + TOKENS.format("coalesce(text, '')") + ")")} DESC, string_split(path, '/')) - 1 AS reranked,
-  {JACCARD.format("list_distinct(" + TOKENS.format("question") + ")", "list_distinct(" + TOKENS.format("coalesce(text, '')") + ")")} AS score, path, text, question FROM qa JOIN documents ON source = regexp_extract(gold_doc, '^(.*)/[^/]*$', 1))"""
+CANDIDATES = f"""asked AS MATERIALIZED (SELECT qid, question, list_distinct({TOKENS.format("question")}) AS qt FROM qa), held AS MATERIALIZED (SELECT doc_id, path, text, list_distinct({TOKENS.format("coalesce(text, '')")}) AS dt FROM documents),
+  scored AS MATERIALIZED (SELECT qid, doc_id, len(list_intersect(qt, dt)) AS both_, len(qt) + len(dt) AS all_ FROM asked, held),
+  ranked AS (SELECT qid, doc_id, CASE WHEN all_ > both_ THEN both_ / (all_ - both_)::DOUBLE ELSE 0.0 END AS score FROM scored),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) - 1 AS reranked FROM ranked),
+  candidates AS (SELECT p.*, a.question, h.path, h.text FROM placed p JOIN asked a USING (qid) JOIN held h USING (doc_id) WHERE reranked < 20)"""
 
 
 def _best(spark, folder):
-    """The five candidates of every question nearest by tokens; sets of tokens are made before the join."""
+    """The five documents of every question nearest by tokens, of all documents."""
     docs, qa = tables(spark, folder, "documents", "qa")
-    asked = qa.select("qid", T.token_set(F.col("question")).alias("asked"), F.regexp_extract("gold_doc", "^(.*)/[^/]*$", 1).alias("source"))
-    text = F.coalesce("text", F.lit(""))
-    listed = docs.select("doc_id", "path", "source", T.token_set(text).alias("tokens"))
-    rows = listed.join(F.broadcast(asked), "source")  # the questions are a fixed set
-    best = rerank(rows, before=(F.split("path", "/"),), top=5, sets=("asked", "tokens")).select("qid", "doc_id", "reranked", "score")
-    return docs, checkpoint(best)
+    best = overlap_top_k(qa, docs, 5, item_id="doc_id")
+    return docs, checkpoint(best.withColumnRenamed("rank", "reranked"))
 
 
 @query(f"WITH {CANDIDATES} SELECT qid, doc_id, reranked::INT AS reranked, round(score, 6) AS score FROM candidates WHERE reranked < 5")
@@ -318,7 +323,7 @@ def rerank_jaccard(spark, folder):
 
 def _context(spark, folder):
     docs, best = _best(spark, folder)
-    rows = docs.select("doc_id", "path", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(best), "doc_id")  # five rows a question
+    rows = docs.select("doc_id", "path", F.coalesce("text", F.lit("")).alias("text")).join(small(best), "doc_id")
     return rows.select("qid", F.col("reranked").alias("rank"), F.col("path").alias("source"), F.lit(None).cast("string").alias("section"), "text")
 
 
@@ -340,7 +345,7 @@ def extractive_answer(spark, folder):
 @query(f"""SELECT qid, count(doc_id) > 0 AS found, bool_or(contains({NORMAL.format("text")}, {NORMAL.format("gold_fact")})) AS relevant FROM qa LEFT JOIN documents ON path = gold_doc GROUP BY qid""")
 def relevance_gold_fact(spark, folder):
     docs, qa = tables(spark, folder, "documents", "qa")
-    joined = docs.select("doc_id", "path", "text").join(F.broadcast(qa.select("qid", "gold_doc", "gold_fact")), F.col("path") == F.col("gold_doc"), "right")
+    joined = docs.select("doc_id", "path", "text").join(small(qa.select("qid", "gold_doc", "gold_fact")), F.col("path") == F.col("gold_doc"), "right")
     return joined.groupBy("qid").agg((F.count("doc_id") > 0).alias("found"), F.bool_or(T.contains_normal(F.col("text"), F.col("gold_fact"))).alias("relevant"))
 
 
@@ -348,7 +353,7 @@ def relevance_gold_fact(spark, folder):
 def relevance_gold_docs(spark, folder):
     docs, qa = tables(spark, folder, "documents", "qa")
     wanted = qa.select("qid", F.size("gold_docs").alias("golds"), F.explode("gold_docs").alias("path"))
-    return docs.select("doc_id", "path").join(F.broadcast(wanted), "path", "right").groupBy("qid", "golds").agg(F.count("doc_id").alias("present"))
+    return docs.select("doc_id", "path").join(small(wanted), "path", "right").groupBy("qid", "golds").agg(F.count("doc_id").alias("present"))
 
 
 @query("SELECT qid, list_sort(list_distinct(gold_docs)) AS gold_docs FROM qa WHERE len(gold_docs) > 0")
@@ -374,7 +379,7 @@ def _answers(spark, folder):
 @query(f"WITH {ANSWERS} SELECT id, CASE WHEN q.answer IS NOT NULL THEN contains({PLAIN.format('a.answer')}, {PLAIN.format('q.answer')}) END AS matches FROM answers a JOIN qa q USING (qid) WHERE a.answer IS NOT NULL")
 def answer_match(spark, folder):
     gold = tables(spark, folder, "qa").select("qid", F.col("answer").alias("gold"))
-    return _answers(spark, folder).where("answer is not null").join(F.broadcast(gold), "qid").select("id", T.answer_matches(F.col("answer"), F.col("gold")).alias("matches"))
+    return _answers(spark, folder).where("answer is not null").join(small(gold), "qid").select("id", T.answer_matches(F.col("answer"), F.col("gold")).alias("matches"))
 
 
 CLAIMS = f"list_slice(list_filter(list_transform(regexp_extract_all(regexp_replace(answer, '\\[[0-9]{{1,3}}\\]', '', 'g'), '[^.!?\\n]+[.!?]'), lambda x: {SQ.format('x')}), lambda x: length(x) >= 20), 1, 6)"
@@ -390,19 +395,17 @@ SELECT id, claim, len(t) = 0 OR len(list_intersect(t, x)) / greatest(len(t), 1):
 def heuristic_judge(spark, folder):
     qa = tables(spark, folder, "qa").select("qid", F.coalesce("gold_fact", "question").alias("context"))
     rows = _answers(spark, folder).where("answer is not null").select("id", "qid", F.explode(T.claims(F.col("answer"))).alias("claim"))
-    return rows.join(F.broadcast(qa), "qid").select("id", "claim", T.supported(F.col("claim"), F.col("context")).alias("supported"))
+    return rows.join(small(qa), "qid").select("id", "claim", T.supported(F.col("claim"), F.col("context")).alias("supported"))
 
 
-@query(f"WITH {ANSWERS} SELECT id, list_transform(regexp_extract_all(answer, '\\[([0-9]{{1,3}})\\]', 1), lambda x: x::INT) AS markers FROM answers WHERE answer IS NOT NULL AND len(regexp_extract_all(answer, '\\[([0-9]{{1,3}})\\]', 1)) = 1 AND regexp_extract(answer, '\\[([0-9]{{1,3}})\\]', 1)::INT BETWEEN 1 AND 5")
-def citation_parse(spark, folder):
-    found = _answers(spark, folder).where("answer is not null").select("id", T.markers(F.col("answer"), F.lit(5)).alias("markers"))
-    return found.where(F.size("markers") == 1)
+MARKERS = "list_filter(list_transform(regexp_extract_all(answer, '\\[([0-9]{1,3})\\]', 1), lambda x: x::INT), lambda x: x BETWEEN 1 AND 5)"
 
 
-@query()
-def citation_markers(spark, folder):
-    """Markers of every answer, however many; citation_parse and its SQL have only those of one marker."""
-    return _answers(spark, folder).where("answer is not null").select("id", T.markers(F.col("answer"), F.lit(5)).alias("markers"))
+@query(f"WITH {ANSWERS}, m AS (SELECT id, {MARKERS} AS l FROM answers WHERE answer IS NOT NULL) SELECT id, list_filter(l, lambda x, i: list_position(l, x) = i) AS markers, len(l) > 0 AS parsed FROM m")
+def citation_parse(spark, folder):
+    """The markers of every answer within a context of five passages, each once, by first appearance."""
+    found = _answers(spark, folder).where("answer is not null").select("id", T.markers(F.col("answer"), F.lit(5)).alias("markers"))
+    return found.withColumn("parsed", F.size("markers") > 0)
 
 
 RETRIEVED = "retrieved AS (SELECT run_id, try_cast(json_extract_string(payload_json, '$.first_hit_rank_initial') AS INT) AS a, try_cast(json_extract_string(payload_json, '$.first_hit_rank_reranked') AS INT) AS b FROM records WHERE kind = 'retrieval' AND json_valid(payload_json))"
@@ -421,31 +424,32 @@ def flag(name: str) -> str:
 
 
 @query(f"""WITH a AS (SELECT run_id, json_extract_string(payload_json, '$.attack_type') AS attack_type, json_extract_string(payload_json, '$.defense') AS defense, json_extract_string(payload_json, '$.attack_family') AS family, {flag('succeeded')} AS s, {flag('compromised')} AS c, {flag('retrieved')} AS r, {flag('abstained')} AS x FROM records WHERE kind = 'attack' AND json_valid(payload_json))
-SELECT attack_type, defense, family, grouping(family)::INT AS all_families, round_even(avg(s::INT::DOUBLE), 4) AS success_rate, CASE WHEN count(c) = count(*) THEN round_even(avg(c::INT::DOUBLE), 4) END AS compromise_rate, round_even(1 - avg(r::INT::DOUBLE), 4) AS screened_rate, round_even(avg(x::INT::DOUBLE), 4) AS abstention_rate, count(*) AS n
-FROM a GROUP BY GROUPING SETS ((attack_type, defense), (attack_type, defense, family))""")
+SELECT run_id, attack_type, defense, family, grouping(family)::INT AS all_families, round_even(avg(s::INT::DOUBLE), 4) AS success_rate, CASE WHEN count(c) = count(*) THEN round_even(avg(c::INT::DOUBLE), 4) END AS compromise_rate, round_even(1 - avg(r::INT::DOUBLE), 4) AS screened_rate, round_even(avg(x::INT::DOUBLE), 4) AS abstention_rate, count(*) AS n
+FROM a GROUP BY GROUPING SETS ((run_id, attack_type, defense), (run_id, attack_type, defense, family))""")
 def attack_rates(spark, folder):
     rows = payloads(spark, folder, "attack", "attack_type string, defense string, attack_family string, succeeded string, compromised string, retrieved string, abstained string")
-    rows = rows.select("p.attack_type", "p.defense", F.col("p.attack_family").alias("family"), *(F.col(f"p.{c}").try_cast("boolean").cast("int").cast("double").alias(c) for c in ("succeeded", "compromised", "retrieved", "abstained")))
-    sets = rows.groupingSets([["attack_type", "defense"], ["attack_type", "defense", "family"]], "attack_type", "defense", "family")
+    rows = rows.select("run_id", "p.attack_type", "p.defense", F.col("p.attack_family").alias("family"), *(F.col(f"p.{c}").try_cast("boolean").cast("int").cast("double").alias(c) for c in ("succeeded", "compromised", "retrieved", "abstained")))
+    sets = rows.groupingSets([["run_id", "attack_type", "defense"], ["run_id", "attack_type", "defense", "family"]], "run_id", "attack_type", "defense", "family")
     return sets.agg(F.grouping("family").cast("int").alias("all_families"), F.bround(F.avg("succeeded"), 4).alias("success_rate"), F.when(F.count("compromised") == F.count("*"), F.bround(F.avg("compromised"), 4)).alias("compromise_rate"), F.bround(1 - F.avg("retrieved"), 4).alias("screened_rate"), F.bround(F.avg("abstained"), 4).alias("abstention_rate"), F.count("*").alias("n"))
 
 
-@query(f"""WITH a AS (SELECT json_extract_string(payload_json, '$.defense') AS defense, json_extract_string(payload_json, '$.probe_style') AS style, {flag('leaked')} AS l, {flag('retrieved')} AS r FROM records WHERE kind = 'canary_probe' AND json_valid(payload_json))
-SELECT defense, style, grouping(style)::INT AS all_styles, round_even(avg(l::INT::DOUBLE), 4) AS leakage_rate, round_even(avg(r::INT::DOUBLE), 4) AS exposure_rate, count(*) AS n FROM a GROUP BY GROUPING SETS ((defense), (defense, style))""")
+@query(f"""WITH a AS (SELECT run_id, json_extract_string(payload_json, '$.defense') AS defense, json_extract_string(payload_json, '$.probe_style') AS style, {flag('leaked')} AS l, {flag('retrieved')} AS r FROM records WHERE kind = 'canary_probe' AND json_valid(payload_json))
+SELECT run_id, defense, style, grouping(style)::INT AS all_styles, round_even(avg(l::INT::DOUBLE), 4) AS leakage_rate, round_even(avg(r::INT::DOUBLE), 4) AS exposure_rate, count(*) AS n FROM a GROUP BY GROUPING SETS ((run_id, defense), (run_id, defense, style))""")
 def canary_rates(spark, folder):
     rows = payloads(spark, folder, "canary_probe", "defense string, probe_style string, leaked string, retrieved string")
-    rows = rows.select("p.defense", F.col("p.probe_style").alias("style"), *(F.col(f"p.{c}").try_cast("boolean").alias(c) for c in ("leaked", "retrieved")))
-    sets = rows.groupingSets([["defense"], ["defense", "style"]], "defense", "style")
+    rows = rows.select("run_id", "p.defense", F.col("p.probe_style").alias("style"), *(F.col(f"p.{c}").try_cast("boolean").alias(c) for c in ("leaked", "retrieved")))
+    sets = rows.groupingSets([["run_id", "defense"], ["run_id", "defense", "style"]], "run_id", "defense", "style")
     return sets.agg(F.grouping("style").cast("int").alias("all_styles"), E.rate(F.col("leaked").cast("int")).alias("leakage_rate"), E.rate(F.col("retrieved").cast("int")).alias("exposure_rate"), F.count("*").alias("n"))
 
 
-@query(f"""WITH c AS (SELECT json_extract_string(payload_json, '$.defense') AS defense, {flag('abstained')} AS a, {flag('answer_match')} AS m FROM records WHERE kind = 'clean_defense' AND json_valid(payload_json)), s AS (SELECT json_extract_string(payload_json, '$.defense') AS defense, {flag('screened')} AS x FROM records WHERE kind = 'clean_screen' AND json_valid(payload_json))
-SELECT defense, round_even(avg(a::INT::DOUBLE), 4) AS abstention_rate, round_even(avg(m::INT::DOUBLE), 4) AS accuracy, any_value(sr) AS screen_rate FROM c LEFT JOIN (SELECT defense, round_even(avg(x::INT::DOUBLE), 4) AS sr FROM s GROUP BY ALL) USING (defense) GROUP BY defense""")
+@query(f"""WITH c AS (SELECT run_id, json_extract_string(payload_json, '$.defense') AS defense, {flag('abstained')} AS a, {flag('answer_match')} AS m FROM records WHERE kind = 'clean_defense' AND json_valid(payload_json)), s AS (SELECT run_id, json_extract_string(payload_json, '$.defense') AS defense, {flag('screened')} AS x FROM records WHERE kind = 'clean_screen' AND json_valid(payload_json))
+SELECT c.run_id, c.defense, round_even(avg(a::INT::DOUBLE), 4) AS abstention_rate, round_even(avg(m::INT::DOUBLE), 4) AS accuracy, any_value(sr) AS screen_rate FROM c LEFT JOIN (SELECT run_id, defense, round_even(avg(x::INT::DOUBLE), 4) AS sr FROM s GROUP BY ALL) s ON c.run_id IS NOT DISTINCT FROM s.run_id AND c.defense IS NOT DISTINCT FROM s.defense GROUP BY c.run_id, c.defense""")
 def clean_traffic_rates(spark, folder):
-    clean = payloads(spark, folder, "clean_defense", "defense string, abstained string, answer_match string").select("p.defense", *(F.col(f"p.{c}").try_cast("boolean").cast("int").alias(c) for c in ("abstained", "answer_match")))
-    screen = payloads(spark, folder, "clean_screen", "defense string, screened string").select("p.defense", F.col("p.screened").try_cast("boolean").cast("int").alias("x"))
-    rates = clean.groupBy("defense").agg(E.rate(F.col("abstained")).alias("abstention_rate"), E.rate(F.col("answer_match")).alias("accuracy"))
-    return rates.join(screen.groupBy("defense").agg(E.rate(F.col("x")).alias("screen_rate")), "defense", "left")
+    clean = payloads(spark, folder, "clean_defense", "defense string, abstained string, answer_match string").select("run_id", "p.defense", *(F.col(f"p.{c}").try_cast("boolean").cast("int").alias(c) for c in ("abstained", "answer_match")))
+    screen = payloads(spark, folder, "clean_screen", "defense string, screened string").select(F.col("run_id").alias("r"), F.col("p.defense").alias("d"), F.col("p.screened").try_cast("boolean").cast("int").alias("x"))
+    rates = clean.groupBy("run_id", "defense").agg(E.rate(F.col("abstained")).alias("abstention_rate"), E.rate(F.col("answer_match")).alias("accuracy"))
+    screened = screen.groupBy("r", "d").agg(E.rate(F.col("x")).alias("screen_rate"))
+    return rates.join(screened, F.col("run_id").eqNullSafe(F.col("r")) & F.col("defense").eqNullSafe(F.col("d")), "left").drop("r", "d")
 
 
 CLAIM_TABLE = "claims AS (SELECT id, run_id, list_transform(try_cast(json_extract(payload_json, '$.claims') AS JSON[]), lambda x: try_cast(json_extract_string(x, '$.supported') AS BOOLEAN)) AS c FROM records WHERE kind = 'faithfulness' AND json_valid(payload_json) AND json_type(payload_json, '$.claims') = 'ARRAY')"
@@ -508,7 +512,7 @@ def run_diff(spark, folder):
     """The metrics of the oldest and the newest run that have any, side by side."""
     rows = tables(spark, folder, "metrics_v1").groupBy("run_id", "suite", "name", "variant").agg(F.max(A.measured(F.col("value"), F.col("state"))).alias("value")).withColumn("state", F.lit("measured"))
     ids = tables(spark, folder, "runs").select("id").join(rows.select(F.col("run_id").alias("id")).distinct(), "id", "left_semi").agg(F.min("id").alias("one"), F.max("id").alias("two"))
-    pick = lambda c: rows.join(F.broadcast(ids.select(F.col(c).alias("run_id"))), "run_id", "left_semi")  # noqa: E731  # one row
+    pick = lambda c: rows.join(small(ids.select(F.col(c).alias("run_id"))), "run_id", "left_semi")  # noqa: E731  # one row
     return A.run_diff(pick("one"), pick("two"))
 
 
@@ -567,6 +571,111 @@ def schema_versions(spark, folder):
     return rows.groupBy(F.coalesce(F.get_json_object("body", "$.schema_version"), F.lit("none")).alias("version")).agg(F.count("*").alias("n"))
 
 
+def _sample_sql(kind: str, *samples: tuple[str, str, str, str]) -> str:
+    parsed = f"(SELECT run_id, payload_json AS j, json_extract_string(payload_json, '$.defense') AS d, json_extract_string(payload_json, '$.attack_type') AS t, json_extract_string(payload_json, '$.attack_family') AS f, json_extract_string(payload_json, '$.qid') AS q, json_extract_string(payload_json, '$.probe_style') AS ps, CASE WHEN json_type(payload_json, '$.matched_markers') = 'ARRAY' THEN list_filter(try_cast(json_extract(payload_json, '$.matched_markers') AS JSON[]), lambda x: json_extract_string(x, '$.marker') <> coalesce(json_extract_string(payload_json, '$.own_marker'), '')) END AS fm, CASE WHEN json_type(payload_json, '$.claims') = 'ARRAY' THEN list_filter(list_transform(try_cast(json_extract(payload_json, '$.claims') AS JSON[]), lambda x: try_cast(json_extract_string(x, '$.supported') AS BOOLEAN)), lambda x: x IS NOT NULL) END AS cl FROM records WHERE kind = '{kind}' AND json_valid(payload_json))"
+    return " UNION ALL ".join(f"SELECT run_id, '{suite}' AS suite, {name} AS name, {variant} AS variant, ({value})::INT::DOUBLE AS value, {str('compromise' in name).upper()} AS whole FROM {parsed}" for suite, name, variant, value in samples)
+
+
+def _js(name: str) -> str:
+    return f"try_cast(json_extract_string(j, '$.{name}') AS BOOLEAN)"
+
+
+UNDER, SUCCESS = "'defense=' || d", "CASE t WHEN 'poison' THEN 'knowledge_corruption_rate' WHEN 'injection' THEN 'injection_compliance_rate' END"
+SAMPLES = " UNION ALL ".join((
+    _sample_sql("attack", ("security", "t || '_retrieval_rate'", "''", f"CASE WHEN d <> 'injection_filter' THEN {_js('retrieved')} END"), ("security", SUCCESS, UNDER, _js("succeeded")), ("security", "t || '_compromise_rate'", UNDER, _js("compromised")),
+        ("security", f"{SUCCESS} || '@' || f", UNDER, _js("succeeded")), ("security", "t || '_screened_rate@' || f", UNDER, f"NOT {_js('retrieved')}"), ("security", "'attack_abstention_rate'", UNDER, _js("abstained")),
+        ("security", "'attack_competition_rate'", UNDER, "len(list_filter(fm, lambda x: json_extract_string(x, '$.qid') = q)) > 0"), ("security", "'cross_question_contamination_rate'", UNDER, "len(list_filter(fm, lambda x: json_extract_string(x, '$.qid') <> q)) > 0")),
+    _sample_sql("clean_defense", ("security", "'clean_abstention_rate'", UNDER, _js("abstained")), ("security", "'clean_answer_accuracy'", UNDER, _js("answer_match"))),
+    _sample_sql("clean_screen", ("security", "'defense_clean_screen_rate'", UNDER, _js("screened"))),
+    _sample_sql("canary_probe", ("privacy", "'leakage_rate'", UNDER, _js("leaked")), ("privacy", "'retrieval_exposure_rate'", UNDER, _js("retrieved")), ("privacy", "CASE WHEN d = 'none' THEN 'leakage_rate@' || ps END", "''", _js("leaked"))),
+    _sample_sql("faithfulness", ("faithfulness", "'hallucination_rate'", "''", "CASE WHEN len(cl) > 0 THEN NOT list_bool_and(cl) END"), ("faithfulness", "'citation_parse_rate'", "''", _js("citations_parsed")), ("faithfulness", "'answer_accuracy'", "''", _js("answer_match"))),
+    "SELECT run_id, 'faithfulness', 'groundedness', '', len(list_filter(cl, lambda x: x)) / nullif(len(cl), 0)::DOUBLE, FALSE FROM " + _sample_sql("faithfulness", ("", "''", "''", "NULL")).split(" AS whole FROM ", 1)[1],
+    "SELECT run_id, 'faithfulness', 'citation_precision', '', try_cast(json_extract_string(c, '$.supports_claim') AS BOOLEAN)::INT::DOUBLE, FALSE FROM (SELECT run_id, unnest(try_cast(json_extract(payload_json, '$.citations') AS JSON[])) AS c FROM records WHERE kind = 'faithfulness' AND json_valid(payload_json) AND json_type(payload_json, '$.citations') = 'ARRAY')",
+))
+RECORDED = f"""samples AS ({SAMPLES}), rec AS (SELECT run_id, suite, name, variant, round_even(avg(value), 4) AS value FROM samples WHERE name IS NOT NULL AND variant IS NOT NULL GROUP BY ALL HAVING count(value) > 0 AND NOT (bool_or(whole) AND count(value) < count(*)))"""
+
+
+@query(f"WITH {RECORDED} SELECT * FROM rec")
+def recorded_metrics(spark, folder):
+    """Every metric of every run, from its records."""
+    return E.recorded_metrics(tables(spark, folder, "records"))
+
+
+def _recorded(spark, folder):
+    return E.recorded_metrics(tables(spark, folder, "records")).withColumn("state", F.lit("measured"))
+
+
+ONE_METRIC = RECORDED + ", met AS (SELECT *, 'measured' AS state FROM rec)"
+GROUPS = f"""{ONE_METRIC}, d AS (SELECT *, substr(variant, 9) AS defense FROM met WHERE starts_with(variant, 'defense=')), b AS (SELECT run_id, suite, name, value AS base FROM d WHERE defense = 'none'),
+g AS (SELECT d.run_id, d.suite, d.name, defense, state, d.value, CASE WHEN defense <> 'none' THEN round_even(d.value - base, 6) END AS delta FROM d LEFT JOIN b USING (run_id, suite, name))"""
+
+
+@query(f"WITH {ONE_METRIC}, w AS (SELECT run_id, max(CASE WHEN name = 'answer_accuracy' THEN value END) AS accuracy, max(CASE WHEN name = 'groundedness' THEN value END) AS grounded FROM met WHERE suite = 'faithfulness' AND variant = '' GROUP BY run_id) SELECT *, round_even(accuracy - grounded, 6) AS gap FROM w WHERE accuracy IS NOT NULL AND grounded IS NOT NULL")
+def judge_gap(spark, folder):
+    return A.judge_gap(_recorded(spark, folder))
+
+
+@query(f"WITH {GROUPS} SELECT *, CASE WHEN coalesce(delta, 0) = 0 THEN 'neutral' WHEN (name = 'clean_answer_accuracy') = (delta > 0) THEN 'good' ELSE 'bad' END AS tone FROM g")
+def defense_groups(spark, folder):
+    return A.defense_groups(_recorded(spark, folder))
+
+
+@query(f"""WITH {GROUPS}, p(c, success) AS (VALUES ('poison_compromise_rate', 'knowledge_corruption_rate'), ('injection_compromise_rate', 'injection_compliance_rate'))
+SELECT a.run_id, a.defense, p.success, h.value AS hit, a.value AS any_marker FROM g a JOIN p ON a.name = p.c JOIN g h ON h.run_id = a.run_id AND h.defense = a.defense AND h.name = p.success AND h.suite = 'security' WHERE a.suite = 'security' AND a.value > h.value""")
+def understatements(spark, folder):
+    return A.understatements(_recorded(spark, folder))
+
+
+@query(f"""WITH {GROUPS}, s AS (SELECT * FROM g WHERE suite = 'security'), n AS (SELECT run_id, count(DISTINCT defense) AS defenses FROM s GROUP BY run_id),
+c AS (SELECT run_id, count(*) FILTER (name = 'cross_question_contamination_rate' AND value > 0) AS escaping, count(*) FILTER (name = 'cross_question_contamination_rate' AND value IS NOT NULL) AS known, count(*) FILTER (name = 'attack_competition_rate' AND value > 0) AS competing FROM s GROUP BY run_id)
+SELECT run_id, CASE WHEN escaping > 0 THEN 'escaping' ELSE 'contained' END AS kind, escaping::INT AS arms FROM c JOIN n USING (run_id) WHERE escaping > 0 OR (known > 0 AND known = defenses AND competing > 0)""")
+def contamination(spark, folder):
+    return A.contamination(_recorded(spark, folder)).withColumn("arms", F.size("arms"))
+
+
+@query(f"WITH {ONE_METRIC} SELECT run_id, suite, string_split(name, '@')[1] AS name, string_split(name, '@')[2] AS part, state, value FROM met WHERE variant = '' AND contains(name, '@')")
+def metric_breakdown(spark, folder):
+    return A.breakdown(_recorded(spark, folder))
+
+
+@query()
+def headline_cards(spark, folder):
+    return A.headline(_recorded(spark, folder))
+
+
+@query(f"SELECT id, run_id, kind FROM {VALID} AND ({flag('succeeded')} OR {flag('compromised')} OR {flag('leaked')} OR NOT {flag('answer_match')} OR try_cast(json_extract_string(payload_json, '$.first_hit_rank_reranked') AS INT) > 1)")
+def flagged_records(spark, folder):
+    rows = tables(spark, folder, "records").where("try_parse_json(payload_json) is not null")
+    return rows.where(A.flagged(F.col("payload_json"))).select("id", "run_id", "kind")
+
+
+@query("SELECT run_id, suite, coalesce(m.n, 0) AS metrics, coalesce(r.n, 0) AS records FROM (SELECT run_id, suite, count(*) AS n FROM metrics_v1 GROUP BY ALL) m FULL OUTER JOIN (SELECT run_id, suite, count(*) AS n FROM records GROUP BY ALL) r USING (run_id, suite)")
+def suite_counts(spark, folder):
+    return A.suite_counts(*tables(spark, folder, "metrics_v1", "records"))
+
+
+@query("SELECT run_id, count(*) AS rows FROM records WHERE run_id IS NOT NULL AND run_id NOT IN (SELECT id FROM runs WHERE id IS NOT NULL) GROUP BY run_id")
+def dangling_records(spark, folder):
+    return A.dangling(*tables(spark, folder, "records", "runs"))
+
+
+@query("""WITH v AS (SELECT result_id, json_type(body) AS t, json_type(body, '$.schema_version') AS k, json_extract_string(body, '$.schema_version') AS s FROM eval_results WHERE json_valid(body)),
+w AS (SELECT result_id, CASE WHEN t <> 'OBJECT' THEN 'not a JSON object' WHEN k IS NOT NULL AND k NOT IN ('UBIGINT', 'BIGINT', 'NULL') THEN 'schema_version is not a whole number' WHEN s::INT > 6 THEN 'written by a newer version' WHEN s::INT < 1 THEN 'unknown version' END AS problem, coalesce(try_cast(s AS INT), 1) AS n FROM v
+UNION ALL SELECT result_id, 'not a JSON object', NULL FROM eval_results WHERE NOT coalesce(json_valid(body), false))
+SELECT result_id, CASE WHEN problem IS NULL THEN n END AS version, problem FROM w""")
+def result_versions(spark, folder):
+    """The version of every stored result, or why it can't be read."""
+    rows = tables(spark, folder, "eval_results")
+    return rows.select("result_id", result_version(F.col("body")).alias("v")).select("result_id", "v.version", "v.problem")
+
+
+@query()
+def read_results_now(spark, folder):
+    """Every readable result as today's version has it: its digest and keys."""
+    good, _ = read_results(tables(spark, folder, "eval_results"))
+    return good.select("result_id", "version", F.array_sort(F.json_object_keys("body")).alias("keys"))
+
+
 TARGETS = "targets AS (SELECT *, (row_number() OVER (ORDER BY qid) - 1)::INT AS idx FROM (SELECT * FROM qa ORDER BY sha256('45' || chr(0) || qid) LIMIT 24))"
 
 
@@ -626,11 +735,20 @@ def numeric_conflicts(spark, folder):
     return E.conflicts(_claims(spark, folder), "source").select("source", "unit", F.size("values").alias("n"))
 
 
-@query()
+@query(f"""WITH {CANDIDATES}, best AS (SELECT qid, reranked, doc_id FROM candidates WHERE reranked < 5), {QUANTITY_SQL},
+asserted AS (SELECT DISTINCT b.qid, c.unit, c.value, c.doc_id, CASE WHEN d.corpus = 'corpora/web' THEN 0.2 ELSE 1.0 END::DOUBLE AS trust, d.corpus <> 'corpora/web' AS ok FROM best b JOIN claims c USING (doc_id) JOIN documents d USING (doc_id)),
+per AS (SELECT qid, unit, value, sum(trust) AS score, bool_or(ok) AS ok FROM asserted GROUP BY ALL), clash AS (SELECT qid, unit FROM asserted GROUP BY ALL HAVING count(DISTINCT value) > 1 AND count(DISTINCT doc_id) > 1),
+resolved AS (SELECT p.*, row_number() OVER w AS place, lead(score) OVER w AS next FROM per p JOIN clash USING (qid, unit) WINDOW w AS (PARTITION BY qid, unit ORDER BY score DESC, value::DOUBLE)),
+units AS (SELECT qid, unit, ok AND score > next AS decided FROM resolved WHERE place = 1)
+SELECT qid, list_sort(list(unit)) AS units, bool_and(decided) AS decided FROM units GROUP BY qid""")
 def conflict_resolution(spark, folder):
+    """Of each question whose five nearest documents contradict one another: the units, and whether all have a verified winner."""
+    docs, best = _best(spark, folder)
     channel = F.when(F.col("corpus") == "corpora/web", "user_upload").otherwise("trusted_corpus")
-    rows = _claims(spark, folder).withColumn("p", provenance(channel)).select("doc_id", "source", "unit", "value", F.col("p.verified").alias("verified"), F.col("p.trust_score").alias("trust_score"))
-    return E.resolutions(rows, "source")
+    rows = docs.join(small(best), "doc_id").withColumn("p", provenance(channel))
+    rows = rows.select("qid", F.col("reranked").alias("rank"), F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", "text", F.col("p.verified").alias("verified"), F.col("p.trust_score").alias("trust_score"))
+    found, _ = resolve(rows, ["qid"])
+    return found.select("qid", F.transform("conflicts", lambda c: c["unit"]).alias("units"), "decided")
 
 
 @query("SELECT id, run_id FROM records WHERE kind = 'attack' AND contains(lower(payload_json), 'roleplay')")

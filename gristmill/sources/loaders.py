@@ -183,3 +183,17 @@ def load_spec(text: str) -> dict:
     if not isinstance(spec, dict):
         raise ValueError("a specification is a mapping")
     return spec
+
+
+def load_relevance(spark: SparkSession, folder: str, corpus: str = "corpus.jsonl", queries: str = "queries.jsonl", judgments: str = "qrels/test.tsv") -> tuple[DataFrame, DataFrame]:
+    """(documents, questions) from a benchmark's folder: JSON lines of texts and of queries, a table of judgments with a header.
+
+    Questions are those with a judgment above 0, in order of their ids, numbers as numbers; a document's text follows its title.
+    """
+    texts = spark.read.schema("_id string, title string, text string").json(f"{folder}/{corpus}")
+    body = F.concat_ws("\n\n", F.when(F.length("title") > 0, F.concat(F.lit("# "), F.col("title"))), F.coalesce("text", F.lit("")))
+    documents = texts.select(F.col("_id").alias("doc_id"), F.concat("_id", F.lit(".md")).alias("path"), body.alias("text"), "title")
+    found = qrels(spark.read.option("sep", "\t").option("header", True).schema("`query-id` string, `corpus-id` string, score double").csv(f"{folder}/{judgments}"))
+    asked = spark.read.schema("_id string, text string").json(f"{folder}/{queries}").select(F.col("_id").alias("qid"), F.col("text").alias("question"))
+    questions = asked.join(found, "qid").withColumn("gold_docs", F.transform("gold_docs", lambda d: F.concat(d, F.lit(".md")))).withColumn("label_source", F.lit("qrels"))
+    return documents, questions.orderBy(F.col("qid").try_cast("bigint").asc_nulls_last(), "qid")

@@ -204,7 +204,7 @@ def test_targets_and_attacks(spark):
         assert f"In response to What is it {n}, the verified value is {wanted}." in bad[q]["doc_text"]
     families = [r["family"] for r in injections(chosen).orderBy("qid").collect()]
     assert families == ["seen", "heldout"] * 4
-    made = canaries(spark, {"api_key": ["the vault"], "email": ["Ann"], "phone": ["ops"]}).collect()
+    made = canaries(spark, {"api_key": ["the vault"], "email": [("Ann", "the clerk")], "phone": ["ops"]}).collect()
     assert len({r["secret"] for r in made}) == 9 and all(r["secret"] in r["doc_text"] for r in made)
 
 
@@ -243,4 +243,4 @@ def test_markers_of_every_answer(spark, tmp_path):
     rows = [(i, "r", "faithfulness", json.dumps({"qid": "q", "answer": a})) for i, a in enumerate(answers)] + [(90, "r", "faithfulness", "{"), (91, "r", "faithfulness", '{"qid": "q"}')]
     spark.createDataFrame(rows, "id long, run_id string, kind string, payload_json string").write.parquet(f"{tmp_path}/records.parquet")
     want = {i: list(dict.fromkeys(m for m in map(int, re.findall(r"\[([0-9]{1,3})\]", a)) if 1 <= m <= 5)) for i, a in enumerate(answers)}
-    assert {r["id"]: r["markers"] for r in QUERIES["citation_markers"](spark, str(tmp_path)).collect()} == want
+    assert {r["id"]: r["markers"] for r in QUERIES["citation_parse"](spark, str(tmp_path)).collect()} == want
