@@ -94,6 +94,22 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_top5, p3_found, p3_bodies, p4_found, p4_links, p4_groups, p5_found, p5_pieces, p6_containers, p7_found, p7_report, p8_found, p8_statistics)}
 
+WORD_LIST = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+USABLE = """rows_ AS (SELECT batch_id, model, dim, unnest(vec_ids) AS vec_id, unnest(vectors) AS v FROM embed_results),
+good AS (SELECT model, vec_id, arg_min(v, batch_id)::DOUBLE[] AS v FROM rows_ WHERE vec_id IS NOT NULL AND len(v) = dim AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0 GROUP BY ALL),
+sims AS MATERIALIZED (SELECT a.model, a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM good a JOIN good b ON a.model = b.model AND a.vec_id <> b.vec_id),
+tops AS (SELECT *, row_number() OVER (PARTITION BY model, vec_id ORDER BY similarity DESC, other)::INT AS rank FROM sims)"""
+LEAKED = f"""dw AS (SELECT doc_id, {WORD_LIST} AS w FROM documents), iw AS (SELECT item_id, suite, {WORD_LIST} AS w FROM holdout),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 9], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 9)) AS i FROM dw WHERE len(w) >= 10)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 9], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 9)) AS i FROM iw WHERE len(w) >= 10)), leaked AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))"""
+NEAR = f"""w AS (SELECT doc_id, {WORD_LIST} AS w FROM documents), s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 2], ' ')) AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 40)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL), both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)"""
+
 ORACLE = {
     "p5_found": "SELECT d.doc_id FROM documents d JOIN ingest_specs s ON d.corpus = s.documents WHERE length(d.text) > 4 * s.size_tokens",
+    "p2_found": f"WITH {USABLE} SELECT DISTINCT least(vec_id, other) AS vec_id_a, greatest(vec_id, other) AS vec_id_b FROM tops WHERE rank <= 5 AND similarity >= 0.8",
+    "p2_top5": f"WITH {USABLE} SELECT model, vec_id, other, similarity, rank FROM tops WHERE rank <= 5 AND vec_id % 50 = 0",
+    "p4_found": f"WITH {NEAR} SELECT a AS doc_id_a, b AS doc_id_b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c)::DOUBLE >= 0.6",
+    "p7_found": f"WITH {LEAKED} SELECT * FROM leaked",
+    "p7_report": f"WITH {LEAKED}, first_of AS (SELECT item_id, min(suite) AS suite FROM holdout GROUP BY ALL) SELECT item_id, count(*) AS docs, min(doc_id) AS first_doc, any_value(suite) AS suite FROM leaked JOIN first_of USING (item_id) GROUP BY item_id",
 }
