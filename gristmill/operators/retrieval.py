@@ -207,7 +207,7 @@ def prompts(context: DataFrame, questions: DataFrame, isolation: bool = False) -
 
 def prompt_parts(user: Column) -> tuple[Column, Column]:
     """The question and the array of (marker, source, text) of a prompt that prompts() made; texts with lines like a passage's first one are cut there."""
-    head = F.lit(r"(?s)\[(\d+)\] \(source: ([^\n]*)\)\n(.*?)(?=\n\n\[\d+\] \(source: [^\n]*\)\n|\n\nQuestion: [^\n]*\n\nAnswer \(cite|$)")
+    head = F.lit(r"(?s)\[(\d+)\] \(source: ([^\n]*)\)\n(.*?)(?=\n\n\[\d+\] \(source: [^\n]*\)\n|\n\nQuestion: (?:(?!\n\nQuestion: ).)*\n\nAnswer \(cite passages like \[1\]\):\z)")
     marks, sources, texts = (F.regexp_extract_all(user, head, F.lit(i)) for i in (1, 2, 3))
     blocks = F.transform(F.arrays_zip(marks.alias("m"), sources.alias("s"), texts.alias("t")), lambda b: F.struct(b["m"].cast("int").alias("marker"), b["s"].alias("source"), b["t"].alias("text")))
     return F.regexp_extract(user, r"(?s).*\n\nQuestion: (.*)\n\nAnswer \(cite passages like \[1\]\):\z", 1), blocks
