@@ -34,7 +34,7 @@ AREA, SAMPLE_OF_AREA, LEAST_SAMPLE = 20_000, 64, 8_192
 #: There are no more areas than this, so that centroids stay some 10 MB; larger areas are searched in blocks.
 MOST_AREAS = 25_000
 #: A query goes to so many areas and, in each, so many cells at most.
-AREAS, PROBES = 8, 24
+AREAS, PROBES = 8, 16
 CELL = 250  # vectors per cell
 CELL_SAMPLE = 4_096
 #: Rows of one area that a task compares at once; a larger area is searched in blocks, each by all its queries.

@@ -195,6 +195,6 @@ def test_long_notices_of_a_host_are_found(spark):
 
 
 def test_tokens_are_words_in_context_and_segments_of_long_lines():
-    page = Page(Batch([f"About us\n{' '.join(NOUNS[:8])}.\n{' '.join(NOUNS * 2)} About. About\nus About"]))
+    page = Page(Batch([f"About us\n{' '.join(NOUNS[:8])}.\n{' '.join(NOUNS * 2)} About. About\nUs About"]))
     assert len(page.token) == 2 + 8 + 2 + 2 and page.long_unit.tolist() == [2]
     assert len(set(page.token.tolist())) == 14  # neither "About" nor "us" is the same token in another place
