@@ -336,7 +336,8 @@ def field_column(entries: Column, members: list[str], mask: int, inner: list[tup
     if mask == 2:
         return value.try_cast("double")
     if mask == 8 and inner:
-        objects = F.filter(F.from_json(value, "array<map<string,string>>"), lambda m: m.isNotNull())
+        parts = F.filter(F.from_json(value, "array<string>"), lambda x: F.startswith(F.ltrim(x), F.lit("{")))  # other elements aren't objects
+        objects = F.filter(F.transform(parts, lambda x: F.from_json(x, "map<string,string>")), lambda m: m.isNotNull())
         return F.transform(objects, lambda m: F.struct(*(field_column(m, own, t, []).alias(name) for name, own, t in inner)))
     return value
 
